@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from gneiss.llm.minhash_dedup import op10_minhash_dedup
 from gneiss.llm.substring_dedup import op9_substring_dedup
 
 QUERIES = {
+    "op10_minhash_dedup": op10_minhash_dedup,
     "op9_substring_dedup": op9_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
