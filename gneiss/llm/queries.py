@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from gneiss.llm.minhash_dedup import op10_minhash_dedup
 from gneiss.llm.substring_dedup import op9_substring_dedup
+from gneiss.llm.token_counts import op5_token_counts
 
 QUERIES = {
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op5_token_counts": op5_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
 }
 ORACLES: dict[str, str] = {}

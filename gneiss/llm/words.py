@@ -6,10 +6,9 @@ the UTF-8 text, which is exactly what ``bytes.split()`` without arguments yields
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 M1 = np.uint64(0x9E3779B97F4A7C15)
 M2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -24,8 +23,7 @@ class WordHash(dict):
         self.limit = limit
 
     def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        self[word] = h
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
