@@ -22,18 +22,19 @@ from pyspark.sql import functions as F
 
 from gneiss.llm.components import components
 from gneiss.llm.store import cut
-from gneiss.llm.words import M2, M3, WordHash, as_bytes, grams, mix, small
+from gneiss.llm.words import LOWER, M2, M3, Chunk, chunks, grams, mix
 
 EMPTY = np.empty(0, np.uint64)
 
 
-def shingles(table: WordHash, text: bytes | None, size: int) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text; a text with fewer words is one shingle."""
-    words = text.lower().split() if text else ()  # bytes.lower touches A-Z only
-    if not words:
-        return EMPTY
-    h = table.of(words)
-    return np.unique(grams(h, min(size, len(h))) + np.uint64(min(size, len(h))))
+def shingle_sets(c: Chunk, size: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text of the chunk; a text with fewer words is one shingle."""
+    g = grams(c.h, size)
+    for start, n in zip(c.start.tolist(), c.size.tolist(), strict=True):
+        if n >= size:
+            yield np.unique(g[start : start + n - size + 1])
+        else:
+            yield grams(c.h[start : start + n], n, M3) if n else EMPTY
 
 
 def multipliers(n: int) -> np.ndarray:
@@ -55,12 +56,10 @@ def signatures(size: int, bands: int, rows: int):
     by = multipliers(-(-bands * rows // 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordHash()
         salt = mix(np.arange(bands, dtype=np.uint64) + M2)
-        for b in small(batches):
+        for c in chunks(batches, values=LOWER):
             ids, count, one, two, keys = [], [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
-                s = shingles(table, t, size)
+            for (i,), s in zip(c.rows, shingle_sets(c, size), strict=True):
                 ids.append(i)
                 count.append(len(s))
                 d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
@@ -126,7 +125,6 @@ def confirm(size: int, top: int, bottom: int):
     """Input, sorted by cluster and pair of blocks: cluster, i, j, block, doc_id, s1, s2, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordHash()
         at, seen, ids, sets, blocks = None, set(), [], [], []
 
         def done():
@@ -135,15 +133,13 @@ def confirm(size: int, top: int, bottom: int):
                 if found := links_within(ids, sets, side, top, bottom):
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
-        for b in small(batches):
-            c = [b.column(k).to_pylist() for k in range(7)]
-            for cluster, i, j, block, d, s1, s2, t in zip(*c, as_bytes(b.column(7)), strict=True):
+        for c in chunks(batches, text=7, values=LOWER):
+            for (cluster, i, j, block, d, s1, s2), s in zip(c.rows, shingle_sets(c, size), strict=True):
                 if (cluster, i, j) != at:
                     yield from done()
                     at, seen, ids, sets, blocks = (cluster, i, j), set(), [], [], []
                 if (d, s1, s2) in seen:
                     continue
-                s = shingles(table, t, size)
                 h = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 if (int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)) == (s1, s2):
                     seen.add((d, s1, s2))

@@ -20,10 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.words import M1, M2, M3, WordHash, as_bytes, grams, mix, small
+from gneiss.llm.store import cut
+from gneiss.llm.words import M1, M2, M3, POWERS, Chunk, as_bytes, chunks, grams, mix, small
 
 OCCURRENCES = "doc_id long, pos int, anchor long, region long"
 
@@ -31,120 +33,131 @@ OCCURRENCES = "doc_id long, pos int, anchor long, region long"
 def owners(h: np.ndarray, window: int, seed: int) -> np.ndarray:
     """For each window start, the place of the gram that is the window's anchor."""
     g = grams(h, seed, M3)
-    n, w = len(h) - window + 1, window - seed + 1
-    best = g[:n].copy()
-    at = np.zeros(n, np.int32)
-    for j in range(1, w):
-        other = g[j : j + n]
-        take = other <= best
-        np.copyto(best, other, where=take)
-        at[take] = j
-    return at + np.arange(n, dtype=np.int32)
-
-
-def regions(h: np.ndarray, window: int, seed: int):
-    """(place, anchor, region hash, first window, last window) of each anchor occurrence, as arrays."""
-    own = owners(h, window, seed)
-    cut = np.flatnonzero(np.diff(own)) + 1
-    first = np.concatenate([[0], cut])
-    last = np.concatenate([cut, [len(own)]]) - 1
-    at = own[first]
-    g = grams(h, seed, M3)[at]
-    # region: words first .. last + window - 1, hashed by differences of a prefix sum weighted by place in region
-    words = mix(h + M2)
-    power = np.full(len(h), M1, np.uint64)
-    power[0] = 1
-    power = np.multiply.accumulate(power)
-    total = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(words * power)])
-    end = last + window
-    inverse = np.uint64(pow(int(M1), -1, 1 << 64))
-    back = np.full(len(h), inverse, np.uint64)
-    back[0] = 1
-    back = np.multiply.accumulate(back)
-    span = (total[end] - total[first]) * back[first]
-    shape = (at - first).astype(np.uint64) * np.uint64(1 << 20) + (end - first).astype(np.uint64)
-    return at, g, mix(mix(span) + shape * M3), first, last
+    at = np.arange(len(g), dtype=np.int32)
+    w, span = window - seed + 1, 1
+
+    def halves(best: np.ndarray, at: np.ndarray, by: int) -> tuple[np.ndarray, np.ndarray]:
+        n = len(best) - by
+        right = best[by:] <= best[:n]  # the rightmost of equals
+        return np.where(right, best[by:], best[:n]), np.where(right, at[by:], at[:n])
+
+    while 2 * span <= w:
+        g, at = halves(g, at, span)
+        span *= 2
+    if span < w:
+        g, at = halves(g, at, w - span)
+    return at
+
+
+def valid_windows(c: Chunk, window: int) -> np.ndarray:
+    """Which windows of the chunk lie inside one text of a row that has an id."""
+    named = np.array([r[0] is not None for r in c.rows], bool)
+    n = max(0, len(c.h) - window + 1)
+    return (c.of[:n] == c.of[window - 1 :]) & named[c.of[:n]]
+
+
+def marked_windows(c: Chunk, places: list[list[int] | None], window: int, seed: int) -> np.ndarray:
+    """Which windows have their anchor at one of the places listed for their row."""
+    at = np.zeros(len(c.h), bool)
+    for start, p in zip(c.start.tolist(), places, strict=True):
+        if p:
+            p = np.array(p, np.int64)
+            at[start + p[p < len(c.h) - start]] = True
+    return valid_windows(c, window) & at[owners(c.h, window, seed)]
 
 
 def occurrences(window: int, seed: int):
+    """(doc_id, pos, anchor, region) of every anchor occurrence."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordHash()
-        for b in small(batches):
-            out: list[tuple] = []
-            for i, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
-                words = t.split() if t else ()
-                if i is None or len(words) < window:
-                    continue
-                at, g, r, _, _ = regions(table.of(words), window, seed)
-                out.append((np.full(len(at), i, np.int64), at.astype(np.int32), g.view(np.int64), r.view(np.int64)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["doc_id", "pos", "anchor", "region"])
+        for c in chunks(batches):
+            valid = np.flatnonzero(valid_windows(c, window))
+            if not len(valid):
+                continue
+            own = owners(c.h, window, seed)[valid]
+            cut = np.flatnonzero(np.diff(own))
+            first = valid[np.concatenate([[0], cut + 1])]
+            last = valid[np.concatenate([cut, [len(own) - 1]])]
+            at = own[np.concatenate([[0], cut + 1])]
+            doc = c.of[first]
+            # a region is the words first .. last + window - 1: a difference of prefix sums weighted by place
+            up, down = POWERS(len(c.h))
+            total = np.zeros(len(c.h) + 1, np.uint64)
+            np.cumsum(mix(c.h + M2) * up, out=total[1:])
+            span = (total[last + window] - total[first]) * down[first]
+            shape = (at - first).astype(np.uint64) * np.uint64(1 << 24) + (last - first).astype(np.uint64)
+            anchor = grams(c.h, seed, M3)[at]
+            ids = np.array([r[0] for r in c.rows], np.int64)[doc]
+            cols = [ids, (at - c.start[doc]).astype(np.int32), anchor.view(np.int64), mix(mix(span) + shape * M3).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["doc_id", "pos", "anchor", "region"])
 
     return run
 
 
 def expand(window: int, seed: int):
-    """Windows of the anchor occurrences listed for a document: (doc_id, start, two hashes)."""
+    """(doc_id, start, two hashes) of the windows of the anchor occurrences listed for a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordHash()
-        for b in small(batches):
-            out = []
-            for i, t, places in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
-                words = t.split() if t else ()
-                if len(words) < window:
-                    continue
-                h = table.of(words)
-                own = owners(h, window, seed)
-                start = np.flatnonzero(np.isin(own, np.array(places, np.int64)))
-                one, two = grams(h, window, M1)[start], grams(h, window, M2)[start]
-                out.append((np.full(len(start), i, np.int64), start.astype(np.int32), one.view(np.int64), two.view(np.int64)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["doc_id", "start", "h1", "h2"])
+        for c in chunks(batches):
+            if len(c.h) < window:
+                continue
+            at = np.flatnonzero(marked_windows(c, [r[1] for r in c.rows], window, seed))
+            doc = c.of[at]
+            ids = np.array([r[0] for r in c.rows], np.int64)[doc]
+            cols = [ids, (at - c.start[doc]).astype(np.int32), grams(c.h, window, M1)[at].view(np.int64), grams(c.h, window, M2)[at].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["doc_id", "start", "h1", "h2"])
 
     return run
 
 
+RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>"
+
+
 def remove(window: int, seed: int, texts: bool):
+    """Rows (id, text, places, starts) -> the result."""
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), span] + [pa.binary()] * texts
+        cols = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+        if texts:
+            cols[-1] = cols[-1].cast(pa.string())
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept_text"][: len(cols)])
+
+    def row(i, n: int, keep: list[bytes], runs: list) -> tuple:
+        kept = b" ".join(keep)
+        return (i, n, n - len(keep), hashlib.sha256(kept).hexdigest(), runs, kept)[: 5 + texts]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordHash()
         for b in small(batches):
-            ids, n_words, gone, sha, spans, kept_texts = [], [], [], [], [], []
-            for i, t, places, starts in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                words = t.split() if t else []
-                n = len(words)
-                runs: list[tuple[int, int]] = []
-                if n >= window and (places or starts):
-                    hit = np.zeros(n - window + 1, bool)
-                    if places:
-                        hit |= np.isin(owners(table.of(words), window, seed), np.array(places, np.int64))
-                    if starts:
-                        s = np.array(starts, np.int64)
-                        hit[s[s < len(hit)]] = True
-                    edge = np.zeros(n + 1, np.int64)
-                    at = np.flatnonzero(hit)
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + window, -1)
-                    covered = np.cumsum(edge[:n]) > 0
-                    step = np.flatnonzero(np.diff(np.concatenate([[0], covered.view(np.int8), [0]])))
-                    runs = list(zip(step[::2].tolist(), step[1::2].tolist(), strict=True))
-                    keep = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
-                else:
-                    keep = words
-                kept = b" ".join(keep)
-                ids.append(i)
-                n_words.append(n)
-                gone.append(n - len(keep))
-                sha.append(hashlib.sha256(kept).hexdigest())
-                spans.append([{"start": x, "end": y} for x, y in runs])
-                if texts:
-                    kept_texts.append(kept)
-            cols = [pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256", "spans"]
-            if texts:
-                cols.append(pa.array(kept_texts, pa.binary()).cast(pa.string()))
-                names.append("kept_text")
-            yield pa.RecordBatch.from_arrays(cols, names)
+            marked = pa.compute.or_(pa.compute.is_valid(b.column(2)), pa.compute.is_valid(b.column(3)))
+            plain = b.filter(pa.compute.invert(marked))
+            if plain.num_rows:
+                words = [t.split() if t else [] for t in as_bytes(plain.column(1))]
+                yield batch([row(i, len(w), w, []) for i, w in zip(plain.column(0).to_pylist(), words, strict=True)])
+            if plain.num_rows == b.num_rows:
+                continue
+            for c in chunks([b.filter(marked)]):
+                hit = marked_windows(c, [r[1] for r in c.rows], window, seed) if len(c.h) >= window else np.zeros(0, bool)
+                for start, n, r in zip(c.start.tolist(), c.size.tolist(), c.rows, strict=True):
+                    if r[2]:
+                        s = np.array(r[2], np.int64)
+                        hit[start + s[s <= n - window]] = True
+                edge = np.zeros(len(c.h) + 1, np.int64)
+                at = np.flatnonzero(hit)
+                edge[at] += 1
+                edge[at + window] -= 1
+                covered = np.cumsum(edge[:-1]) > 0
+                out = []
+                for start, w, r in zip(c.start.tolist(), (t.split() if t else [] for t in c.texts), c.rows, strict=True):
+                    gone = covered[start : start + len(w)]
+                    step = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).tolist()
+                    keep, after = [], 0
+                    for x, y in zip(step[::2], step[1::2], strict=True):
+                        keep += w[after:x]
+                        after = y
+                    out.append(row(r[0], len(w), keep + w[after:], [{"start": x, "end": y} for x, y in zip(step[::2], step[1::2], strict=True)]))
+                yield batch(out)
 
     return run
 
@@ -165,7 +178,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     occ = d.mapInArrow(occurrences(window, seed), OCCURRENCES)
     shared = occ.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    again = occ.join(shared, "anchor", "left_semi")
+    again = cut(occ.join(shared, "anchor", "left_semi"))
     firsts = again.groupBy("anchor", "region").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
     several = firsts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     repeats = again.join(firsts, ["anchor", "region"]).where(
@@ -178,7 +191,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     late = windows.join(early, ["h1", "h2"]).where((F.col("doc_id") != F.col("early.doc_id")) | (F.col("start") != F.col("early.start")))
     starts = late.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
     marked = by_doc.join(starts, "doc_id", "full")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>" + ", kept_text string" * texts
+    schema = RESULT + ", kept_text string" * texts
     return d.join(marked, "doc_id", "left").select("doc_id", "text", "places", "starts").mapInArrow(remove(window, seed, texts), schema)
 
 
