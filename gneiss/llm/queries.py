@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gneiss.llm.language_id import op4_language_id
 from gneiss.llm.minhash_dedup import op10_minhash_dedup
 from gneiss.llm.substring_dedup import op9_substring_dedup
 from gneiss.llm.token_counts import op5_token_counts
@@ -9,6 +10,7 @@ from gneiss.llm.token_counts import op5_token_counts
 QUERIES = {
     "op10_minhash_dedup": op10_minhash_dedup,
     "op5_token_counts": op5_token_counts,
+    "op4_language_id": op4_language_id,
     "op9_substring_dedup": op9_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
