@@ -20,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.store import cut
+from gneiss.llm.store import cut, free
 from gneiss.llm.words import M1, M2, M3, POWERS, Chunk, as_bytes, chunks, grams, mix, small
 
 OCCURRENCES = "doc_id long, pos int, anchor long, region long"
@@ -130,8 +130,8 @@ def remove(window: int, seed: int, texts: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            marked = pa.compute.or_(pa.compute.is_valid(b.column(2)), pa.compute.is_valid(b.column(3)))
-            plain = b.filter(pa.compute.invert(marked))
+            marked = pc.or_(pc.is_valid(b.column(3)), pc.greater(pc.fill_null(pc.list_value_length(b.column(2)), 0), 0))
+            plain = b.filter(pc.invert(marked))
             if plain.num_rows:
                 words = [t.split() if t else [] for t in as_bytes(plain.column(1))]
                 yield batch([row(i, len(w), w, []) for i, w in zip(plain.column(0).to_pylist(), words, strict=True)])
@@ -177,20 +177,24 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         raise ValueError("seed must be from 1 to window")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     occ = d.mapInArrow(occurrences(window, seed), OCCURRENCES)
-    shared = occ.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    again = cut(occ.join(shared, "anchor", "left_semi"))
-    firsts = again.groupBy("anchor", "region").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-    several = firsts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    repeats = again.join(firsts, ["anchor", "region"]).where(
-        (F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos"))
+    low, high = F.min("region").alias("low"), F.max("region").alias("high")
+    shared = occ.groupBy("anchor").agg(F.count("*").alias("n"), low, high).where("n > 1").select("anchor", F.expr("low != high").alias("mixed"))
+    again = cut(occ.join(shared, "anchor"))
+    first = F.min(F.struct("doc_id", "pos")).alias("first")
+    firsts = again.groupBy("anchor", "region").agg(first, F.max("mixed").alias("mixed"))
+    kinds = again.select("doc_id", "pos", F.lit(0).alias("kind")).unionByName(
+        firsts.select("first.doc_id", "first.pos", F.when(F.col("mixed"), 2).otherwise(1).alias("kind"))
     )
-    by_doc = repeats.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
-    loose = firsts.join(several, "anchor", "left_semi").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_set("first.pos").alias("places"))
-    windows = d.join(loose, "doc_id").select("doc_id", "text", "places").mapInArrow(expand(window, seed), "doc_id long, start int, h1 long, h2 long").distinct()
-    early = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("early"), F.count("*").alias("n")).where("n > 1")
+    of = lambda k: F.collect_set(F.when(F.col("kind") >= k, F.col("pos")))
+    per_doc = kinds.groupBy("doc_id").agg(of(0).alias("every"), of(1).alias("first"), of(2).alias("loose"))
+    marks = cut(per_doc.select("doc_id", F.array_except("every", "first").alias("places"), "loose"))
+    free(again)
+    windows = d.join(marks.where("size(loose) > 0"), "doc_id").select("doc_id", "text", "loose").mapInArrow(expand(window, seed), "doc_id long, start int, h1 long, h2 long")
+    here = F.struct("doc_id", "start")
+    early = windows.groupBy("h1", "h2").agg(F.min(here).alias("early"), F.max(here).alias("late")).where("early != late").select("h1", "h2", "early")
     late = windows.join(early, ["h1", "h2"]).where((F.col("doc_id") != F.col("early.doc_id")) | (F.col("start") != F.col("early.start")))
     starts = late.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
-    marked = by_doc.join(starts, "doc_id", "full")
+    marked = marks.select("doc_id", "places").join(starts, "doc_id", "left")
     schema = RESULT + ", kept_text string" * texts
     return d.join(marked, "doc_id", "left").select("doc_id", "text", "places", "starts").mapInArrow(remove(window, seed, texts), schema)
 
