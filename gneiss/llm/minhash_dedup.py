@@ -179,7 +179,8 @@ def near_duplicates(
     member = member.join(parts, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = member.withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    dealt = dealt.join(d, "doc_id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id")
+    # merged at every size: as a broadcast join small inputs would have another plan than large ones
+    dealt = dealt.hint("merge").join(d, "doc_id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id")
     links = dealt.select("cluster", "i", "j", "block", "doc_id", "s1", "s2", "text").mapInArrow(confirm(size, top, bottom), "a long, b long")
     joined = components(links).withColumnRenamed("node", "rep")
     return (
