@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from gneiss.llm.ann import op8_multi_index_hashing
+from gneiss.llm.html_extraction import op6_html_extraction
 from gneiss.llm.language_id import op4_language_id
 from gneiss.llm.minhash_dedup import op10_minhash_dedup
 from gneiss.llm.substring_dedup import op9_substring_dedup
@@ -11,6 +13,8 @@ QUERIES = {
     "op10_minhash_dedup": op10_minhash_dedup,
     "op5_token_counts": op5_token_counts,
     "op4_language_id": op4_language_id,
+    "op6_html_extraction": op6_html_extraction,
+    "op8_multi_index_hashing": op8_multi_index_hashing,
     "op9_substring_dedup": op9_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
