@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from gneiss.llm.ann import op8_multi_index_hashing
+from gneiss.llm.decontamination import op3_template_decontamination
 from gneiss.llm.html_extraction import op6_html_extraction
 from gneiss.llm.language_id import op4_language_id
 from gneiss.llm.minhash_dedup import op10_minhash_dedup
+from gneiss.llm.mixing import OP2_SQL, op2_source_mixing
 from gneiss.llm.substring_dedup import op9_substring_dedup
 from gneiss.llm.token_counts import op5_token_counts
 
 QUERIES = {
+    "op2_source_mixing": op2_source_mixing,
+    "op3_template_decontamination": op3_template_decontamination,
     "op10_minhash_dedup": op10_minhash_dedup,
     "op5_token_counts": op5_token_counts,
     "op4_language_id": op4_language_id,
@@ -17,4 +21,4 @@ QUERIES = {
     "op8_multi_index_hashing": op8_multi_index_hashing,
     "op9_substring_dedup": op9_substring_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_source_mixing": OP2_SQL}
