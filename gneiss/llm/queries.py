@@ -6,6 +6,7 @@ from gneiss.llm.ann import op8_multi_index_hashing
 from gneiss.llm.decontamination import op3_template_decontamination
 from gneiss.llm.html_extraction import op6_html_extraction
 from gneiss.llm.language_id import op4_language_id
+from gneiss.llm.line_dedup import op7_line_dedup
 from gneiss.llm.minhash_dedup import op10_minhash_dedup
 from gneiss.llm.mixing import OP2_SQL, op2_source_mixing
 from gneiss.llm.substring_dedup import op9_substring_dedup
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op6_html_extraction": op6_html_extraction,
     "op8_multi_index_hashing": op8_multi_index_hashing,
+    "op7_line_dedup": op7_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
 }
 ORACLES: dict[str, str] = {"op2_source_mixing": OP2_SQL}
