@@ -10,9 +10,11 @@ from gneiss.llm.line_dedup import op7_line_dedup
 from gneiss.llm.minhash_dedup import op10_minhash_dedup
 from gneiss.llm.mixing import OP2_SQL, op2_source_mixing
 from gneiss.llm.substring_dedup import op9_substring_dedup
+from gneiss.llm.suffix_dedup import op1_suffix_dedup
 from gneiss.llm.token_counts import op5_token_counts
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_source_mixing": op2_source_mixing,
     "op3_template_decontamination": op3_template_decontamination,
     "op10_minhash_dedup": op10_minhash_dedup,
