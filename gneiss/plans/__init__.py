@@ -1,0 +1 @@
+"""Registered queries over the canonical tables, each with its oracle. Importing a module registers its queries."""
