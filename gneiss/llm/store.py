@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +30,10 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/gneiss-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # the cleaner deletes shuffle files of steps that nothing refers to any more
+    for _ in range(2):  # the cleaner deletes shuffle files of steps that nothing refers to any more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
     out = spark.read.schema(df.schema).parquet(path)
     out._gneiss_path = path
     return out
