@@ -43,6 +43,3 @@ def choose(kind: str, alias: str) -> Callable:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-from gneiss.plans import analysis, corpus, examples, linkage, retrieval, scalars, steps  # noqa: E402, F401
