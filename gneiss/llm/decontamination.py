@@ -6,8 +6,9 @@ those of the benchmark. Windows of a document that lie on one diagonal of an ite
 must be consistent: two slots of the item hold the same value exactly if they do in the document. What is left
 must cover enough of the item.
 
-Two readings are hashed: with names as placeholders, and with names as plain words (so that a copy in other case
-is found too). A window needs at least half plain words.
+Three readings are hashed: with names as placeholders; with names as plain words, so that a copy in other case is
+found too; and with plain words only, so that a copy as it stands is found whatever it is made of. A window needs
+at least half plain words.
 """
 
 from __future__ import annotations
@@ -70,9 +71,9 @@ class Tokens:
         self.of = np.repeat(np.arange(len(texts)), self.size)
 
     def readings(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(template hashes, kinds) with names as placeholders, and with names as words."""
+        """(template hashes, kinds): all placeholders, all but names, none."""
         out = []
-        for kind in (self.kind, np.where(self.kind == NAME, PLAIN, self.kind)):
+        for kind in (self.kind, np.where(self.kind == NAME, PLAIN, self.kind), np.zeros_like(self.kind)):
             out.append((np.where(kind == PLAIN, self.h, mix(kind.astype(np.uint64) + M3)), kind))
         return out
 
@@ -142,7 +143,7 @@ class Benchmark:
         for k in np.lexsort((hits[:, 6], hits[:, 4])).tolist():
             _, _, _, d, b, s, reading = hits[k].tolist()
             kinds = self.tokens.kind[b : b + s]
-            slots = np.flatnonzero((kinds == NUMBER) | (kinds == UNIT) | ((kinds == NAME) & (reading == 0)))
+            slots = np.flatnonzero(((kinds == NUMBER) | (kinds == UNIT) | ((kinds == NAME) & (reading == 0))) & (reading < 2))
             pairs = [(int(kinds[j]), int(self.tokens.h[b + j]), int(docs.h[d + j])) for j in slots.tolist()]
             new_doc, new_item = dict(to_doc), dict(to_item)
             if all(new_doc.setdefault((t, x), y) == y and new_item.setdefault((t, y), x) == x for t, x, y in pairs):

@@ -87,7 +87,7 @@ def occurrences(window: int, seed: int):
             span = (total[last + window] - total[first]) * down[first]
             shape = (at - first).astype(np.uint64) * np.uint64(1 << 24) + (last - first).astype(np.uint64)
             anchor = grams(c.h, seed, M3)[at]
-            ids = np.array([r[0] for r in c.rows], np.int64)[doc]
+            ids = np.array([r[0] or 0 for r in c.rows], np.int64)[doc]  # windows of rows without an id are not valid
             cols = [ids, (at - c.start[doc]).astype(np.int32), anchor.view(np.int64), mix(mix(span) + shape * M3).view(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["doc_id", "pos", "anchor", "region"])
 
@@ -103,7 +103,7 @@ def expand(window: int, seed: int):
                 continue
             at = np.flatnonzero(marked_windows(c, [r[1] for r in c.rows], window, seed))
             doc = c.of[at]
-            ids = np.array([r[0] for r in c.rows], np.int64)[doc]
+            ids = np.array([r[0] or 0 for r in c.rows], np.int64)[doc]  # windows of rows without an id are not valid
             cols = [ids, (at - c.start[doc]).astype(np.int32), grams(c.h, window, M1)[at].view(np.int64), grams(c.h, window, M2)[at].view(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["doc_id", "start", "h1", "h2"])
 
