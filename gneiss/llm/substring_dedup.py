@@ -202,3 +202,16 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return dedup_substrings(docs, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("spans").cast("long").alias("n_spans"))
+
+
+OP9_SQL = """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda z: z <> '') AS w FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS h FROM w, LATERAL (SELECT unnest(range(1, len(w) - 18)) AS i)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS n FROM s),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM r WHERE n > 1),
+e AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+k AS (SELECT e.doc_id, count(*) AS kept, string_agg(word, ' ' ORDER BY e.i) AS t FROM e LEFT JOIN c ON c.doc_id = e.doc_id AND c.i = e.i WHERE c.i IS NULL GROUP BY e.doc_id),
+g AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM c)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(kept, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256, (SELECT count(DISTINCT run) FROM g WHERE g.doc_id = w.doc_id) AS n_spans
+FROM w LEFT JOIN k USING (doc_id)
+"""
