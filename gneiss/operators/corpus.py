@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.store import cut
+
 # Kinds of statements that the named filters leave out, from the standard library and from elsewhere.
 NOT_THEOREMS = (
     "DEFINITION", "NOTATION", "INDUCTIVE", "COINDUCTIVE", "RECORD", "CLASS", "INSTANCE", "FIXPOINT", "COFIXPOINT",
@@ -45,8 +47,8 @@ def intern(rows: DataFrame, key: list[str], order: str, known: DataFrame | None
         first = first.join(known.select(*key), key, "left_anti")
         start = F.lit(known.agg(F.coalesce(F.max("db_idx"), F.lit(0))).first()[0])
     spark = rows.sparkSession
-    sorted_ = first.repartitionByRange("_first", *key).sortWithinPartitions("_first", *key).withColumn("_p", F.spark_partition_id())
-    counts = {r._p: r.n for r in sorted_.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # one row per partition
+    sorted_ = cut(first.repartitionByRange("_first", *key).withColumn("_p", F.spark_partition_id()))  # ranges are drawn once
+    counts = {r._p: r.n for r in sorted_.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # one row per range
     base, total = [], 0
     for p in sorted(counts):
         base.append((p, total))
