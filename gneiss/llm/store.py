@@ -1,50 +1,5 @@
-"""Cutting lineage with tables in the folder that the cluster shares."""
+"""The tables that cut lineage, under the name that the operators of this folder use."""
 
-from __future__ import annotations
+from gneiss.store import cut, free, shared_folder
 
-import contextlib
-import gc
-import tempfile
-import time
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset, as in local tests, a temporary folder."""
-    sc = spark.sparkContext
-    if named := sc.getConf().get("spark.checkpoint.dir"):
-        return named
-    if not (at := sc._jsc.sc().getCheckpointDir()).isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="gneiss-checkpoint-"))
-        at = sc._jsc.sc().getCheckpointDir()
-    return at.get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once, written as a Parquet table to the shared folder and read back.
-
-    Readers after it depend on files that outlive any executor. ``free`` deletes the table.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/gneiss-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    for _ in range(2):  # the cleaner deletes shuffle files of steps that nothing refers to any more
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._gneiss_path = path
-    return out
-
-
-def free(df: DataFrame) -> None:
-    """Deletes the table that ``cut`` wrote, once nothing reads it any more."""
-    path = getattr(df, "_gneiss_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    with contextlib.suppress(Exception):  # a leftover table is only disk
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+__all__ = ["cut", "free", "shared_folder"]
