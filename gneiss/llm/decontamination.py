@@ -226,8 +226,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found. Rows with a null id stay."""
-    bad = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_bad")).where("_bad IS NOT NULL").distinct()
-    return docs.join(bad, docs[id_col].cast("long") == bad["_bad"], "left_anti")
+    bad = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__gneiss_bad")).where("__gneiss_bad IS NOT NULL").distinct()
+    return docs.join(bad, docs[id_col].cast("long") == bad["__gneiss_bad"], "left_anti")
 
 
 def op3_template_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -64,16 +64,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     rate = rates(docs, text_col, source_col, weights, temperature)
     part = F.greatest(F.lit(1), F.ceil(F.col("rate") / LARGEST_PART)).cast("int")
-    table = rate.select(F.col("source").alias("_source"), part.alias("_parts"), distribution(F.col("rate") / part).alias("_cdf"), (F.col("rate") > 0).alias("_any"))
+    table = rate.select(F.col("source").alias("__mix_source"), part.alias("__mix_parts"), distribution(F.col("rate") / part).alias("__mix_cdf"), (F.col("rate") > 0).alias("__mix_any"))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
 
     def draw(k: Column) -> Column:
         u = uniform(F.lit(seed), key, k.cast("string"))
-        return F.size(F.filter("_cdf", lambda c: c < u))
+        return F.size(F.filter("__mix_cdf", lambda c: c < u))
 
-    count = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("_parts")), draw), F.lit(0), lambda a, x: a + x)
-    out = docs.select(names).join(table, F.col(source_col).eqNullSafe(F.col("_source"))).where("_any").withColumn("_n", count).where("_n > 0")
-    out = out.select(*names, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
+    count = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("__mix_parts")), draw), F.lit(0), lambda a, x: a + x)
+    out = docs.select(names).join(table, F.col(source_col).eqNullSafe(F.col("__mix_source"))).where("__mix_any").withColumn("__mix_n", count).where("__mix_n > 0")
+    out = out.select(*names, F.explode(F.sequence(F.lit(1), F.col("__mix_n"))).alias("copy"))
     out = out.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed + "-order"), key, F.col("copy").cast("string"))))
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
