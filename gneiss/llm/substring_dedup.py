@@ -178,8 +178,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     occ = d.mapInArrow(occurrences(window, seed), OCCURRENCES)
     low, high = F.min("region").alias("low"), F.max("region").alias("high")
-    shared = occ.groupBy("anchor").agg(F.count("*").alias("n"), low, high).where("n > 1").select("anchor", F.expr("low != high").alias("mixed"))
-    again = cut(occ.join(shared, "anchor"))
+    shared = cut(occ.groupBy("anchor").agg(F.count("*").alias("n"), low, high).where("n > 1").select("anchor", F.expr("low != high").alias("mixed")))  # a table of its own, so that the join below can split hot anchors
+    again = cut(occ.hint("merge").join(shared, "anchor"))
+    free(shared)
     first = F.min(F.struct("doc_id", "pos")).alias("first")
     firsts = again.groupBy("anchor", "region").agg(first, F.max("mixed").alias("mixed"))
     kinds = again.select("doc_id", "pos", F.lit(0).alias("kind")).unionByName(

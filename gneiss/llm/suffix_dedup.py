@@ -190,8 +190,9 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     occ = d.mapInArrow(occurrences(length, seed), "doc_id long, first int, windows int, anchor long, region long").where("doc_id IS NOT NULL")
     counted = occ.groupBy("anchor").agg(F.count("*").alias("n"), F.min("region").alias("low"), F.max("region").alias("high"))
-    shared = counted.where("n > 1").select("anchor", F.expr("low != high").alias("mixed"))
-    again = cut(occ.join(shared, "anchor"))
+    shared = cut(counted.where("n > 1").select("anchor", F.expr("low != high").alias("mixed")))  # a table of its own, so that the join below can split hot anchors
+    again = cut(occ.hint("merge").join(shared, "anchor"))
+    free(shared)
     place = F.struct("doc_id", "first")
     whole = again.groupBy("anchor", "region").agg(F.min(place).alias("one"), F.max(place).alias("other"), F.max("mixed").alias("mixed"), F.max("windows").alias("windows"))
     whole = cut(whole.withColumn("repeats", F.expr("one != other")))
