@@ -182,3 +182,26 @@ def position_of_section(ids: Column, tag: int) -> Column:
 
 def last_characters(s: Column, n: int) -> Column:
     return F.right(s, F.lit(n))
+
+
+def fill(template: str, *values: Column) -> Column:
+    """A prompt with its values in place of ``%s``."""
+    return F.format_string(template, *values)
+
+
+def output_name(workspace: Column, relative: Column) -> Column:
+    """The flat name of a file's output: workspace and path, with dashes for slashes."""
+    return F.replace(F.concat_ws("/", workspace, relative), F.lit("/"), F.lit("-"))
+
+
+def file_info(path: Column) -> Column:
+    """struct(dp_name, file, workspace, repository) of a path below ``repos``."""
+    inner = F.nullif(F.regexp_extract(path, r"(repos/.*)$", 1), F.lit(""))
+    repository = F.nullif(F.regexp_extract(inner, r"^(repos/[^/]+)", 1), F.lit(""))
+    return F.struct(data_point_name(path).alias("dp_name"), inner.alias("file"), repository.alias("workspace"), repository.alias("repository"))
+
+
+def without_prefix(s: Column, prefix: str) -> Column:
+    """The rest after a prefix that every row must have; a row without it fails the query."""
+    checked = F.when(s.startswith(prefix), s).otherwise(F.raise_error(F.concat(F.lit(f"no prefix {prefix}: "), s)).cast("string"))
+    return F.substring(checked, len(prefix) + 1, 1 << 30)

@@ -79,6 +79,16 @@ def test_scores_and_costs(spark):
     assert spark.range(1).select(T.cost(F.lit("none"), F.lit(10), F.lit(2)).alias("v")).first().v is None
 
 
+def test_names_and_prompts(spark):
+    assert value(spark, T.fill("Goal: %s\nProve it with %s.", F.col("a"), F.col("b")), a="P", b="auto") == "Goal: P\nProve it with auto."
+    assert value(spark, T.output_name(F.col("a"), F.col("b")), a="w", b="x/y.v") == "w-x-y.v"
+    info = value(spark, T.file_info(F.col("p")), p="/d/repos/r/a/b.v")
+    assert tuple(info) == ("r-a-b.v", "repos/r/a/b.v", "repos/r", "repos/r")
+    assert value(spark, T.without_prefix(F.col("p"), "ab/"), p="ab/c") == "c"
+    with pytest.raises(Exception, match="no prefix"):
+        value(spark, T.without_prefix(F.col("p"), "ab/"), p="c")
+
+
 def test_comments():
     assert X.strip_comments("a (* b (* c *) *) d") == "a  d"
     assert X.strip_comments('"(* q *)" x') == '"(* q *)" x'
