@@ -22,18 +22,19 @@ def shared_folder(spark: SparkSession) -> str:
     return at.get()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, release: bool = True) -> DataFrame:
     """``df`` computed once, written as a Parquet table to the shared folder and read back.
 
-    Readers after it depend on files that outlive any executor. ``free`` deletes the table.
+    Readers after it depend on files that outlive any executor. ``free`` deletes the table. With ``release`` the
+    driver lets go of the shuffle files behind it, which small steps in a row need not wait for.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/gneiss-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    for _ in range(2):  # the cleaner deletes shuffle files of steps that nothing refers to any more
+    for _ in range(2 * release):  # the cleaner deletes shuffle files of steps that nothing refers to any more
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+        time.sleep(0.1)
     out = spark.read.schema(df.schema).parquet(path)
     out._gneiss_path = path
     return out
