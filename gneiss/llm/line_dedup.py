@@ -1,9 +1,8 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
-A line is the set of its character shingles: the ``k`` characters from each word of at least four letters on (from
-each character on, in scripts without spaces between words); a line without such a word is one shingle. Shingles
-are hashed once; the permutations are the hash with constants xored in, whose minima are taken in one aggregate
-that also folds equal lines. Minima are banded for high recall.
+A line is the set of its character shingles: the ``k`` characters from each character on; a line of fewer
+characters is one shingle. Shingles are hashed once; the permutations are the hash with constants xored in, whose
+minima are taken in one aggregate that also folds equal lines. Minima are banded for high recall.
 
 Within a bucket lines are tied to its most central line only, the one that meets most others over all its buckets,
 so no bucket makes all its pairs; ties are checked by the exact Jaccard similarity of the shingle sets. What the
@@ -21,15 +20,10 @@ from pyspark.sql import functions as F
 from gneiss.llm.components import components
 from gneiss.llm.store import cut, free
 
-#: Scripts written without spaces between words (South-East Asian and CJK blocks), as ranges.
-UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF"
-
-
 def shingles(line: Column, k: int) -> Column:
-    """Found in one run over the line: look ahead at a word start, then skip the word. A shorter word has no match
-    at its later letters either."""
-    skip = rf"(?:(?:[!-\u0DFF]++|[^\s{UNSPACED}])++|[{UNSPACED}])\s*+"  # one range holds most scripts
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=((?:\S{{4}}|[{UNSPACED}]).{{0,{k - 4}}})){skip}"), F.lit(1))
+    """The ``k`` characters from each character on; none of a line with fewer. Found in one run over the line: look
+    ahead, then go on by one character."""
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{k}}}))."), F.lit(1))
 
 
 def signed(n: int) -> int:

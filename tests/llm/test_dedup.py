@@ -250,6 +250,18 @@ def test_line_dedup(spark):
     assert dedup_lines(documents(spark, [])).count() == 0
 
 
+def full_set(line, k=10):
+    return {line[m : m + k] for m in range(len(line) - k + 1)} or {line}
+
+
+def test_lines_are_compared_on_all_their_characters(spark):
+    rows = [(1, "It is 12 km away"), (2, "He ran far away"), (3, "And with."), (4, "Is with."), (5, "Zu. Für."), (6, "Für."), (7, "a bc de fgh ij kl mn op qr st uv wx yz ab cd ef gh ij kl mn"), (8, "a bc de fgh ij kl mn op qr st uv wx yz ab cd ef gh ij kl mm")]
+    x, y = full_set(rows[6][1]), full_set(rows[7][1])
+    assert len(x & y) >= 0.8 * len(x | y)  # no word of four letters: only full shingles see this pair
+    got = {r.doc_id: r.n_removed for r in dedup_lines(documents(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0, 8: 1}
+
+
 def test_awkward_texts_pass_all(spark):
     d = documents(spark, awkward())
     for f in (dedup_suffixes, dedup_substrings, dedup_lines):
