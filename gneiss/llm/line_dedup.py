@@ -7,7 +7,8 @@ minima are taken in one aggregate that also folds equal lines. Minima are banded
 Within a bucket lines are tied to its most central line only, the one that meets most others over all its buckets,
 so no bucket makes all its pairs; ties are checked by the exact Jaccard similarity of the shingle sets. What the
 first round leaves apart in a bucket is tied a second time, to the most central line that is not with the first.
-Linked lines form components, of which the first occurrence in the order of (id, line number) stays.
+What is apart even then is compared exactly: all pairs of small buckets, and in large ones, where template lines
+meet, all pairs that share one of their rarest shingles, as any pair at the threshold does. Linked lines form components, of which the first occurrence in the order of (id, line number) stays.
 """
 
 from __future__ import annotations
@@ -26,13 +27,36 @@ def shingles(line: Column, k: int) -> Column:
     return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{k}}}))."), F.lit(1))
 
 
+def hashed(line: Column, k: int) -> Column:
+    """The shingle hashes, with repeats; never empty."""
+    return F.when(F.length(line) >= k, F.transform(shingles(line, k), lambda s: F.xxhash64(s))).otherwise(F.array(F.xxhash64(line)))
+
+
+def rare_pairs(sets: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(a, b): all pairs of unlike components that can reach the threshold, and few others. ``sets``: d1, c, line, n.
+
+    Prefix filtering with shingles in the order of (lines that have them, hash): of a pair at the threshold, the
+    first common shingle is among the first n - ceil(t n) + 1 of the larger set and among the first
+    n - ceil(2 t / (1 + t) n) + 1 of the smaller, and enough shingles stand behind it in both."""
+    each = sets.select("d1", "c", "n", F.explode(F.array_distinct(hashed(F.col("line"), k))).alias("h"))
+    each = each.join(each.groupBy("h").agg(F.count("*").alias("df")), "h")
+    ranked = each.groupBy("d1", "c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+    upto = lambda part: (F.col("n") - F.ceil(F.col("n") * part - 1e-9) + 1).cast("int")
+    ranked = ranked.select("d1", "c", "n", upto(2 * threshold / (1 + threshold)).alias("own"), F.posexplode(F.slice("s", 1, upto(threshold))).alias("i", "s"))
+    ranked = cut(ranked.where("s.df > 1").select("d1", "c", "n", "own", "i", F.col("s.h").alias("h")))
+    x = ranked.where("i < own").select("h", F.col("d1").alias("a"), F.col("c").alias("ac"), F.col("n").alias("an"), F.col("i").alias("ai"))
+    y = ranked.select("h", F.col("d1").alias("b"), F.col("c").alias("bc"), F.col("n").alias("bn"), F.col("i").alias("bi"))
+    fits = (F.col("an") >= threshold * F.col("bn")) & (F.least(F.col("an") - F.col("ai"), F.col("bn") - F.col("bi")) >= (F.col("an") + F.col("bn")) * (threshold / (1 + threshold)) - 1e-9)
+    return x.join(y, "h").where("ac != bc AND (an < bn OR (an = bn AND a < b))").where(fits).select("a", "b")
+
+
 def signed(n: int) -> int:
     return n - (1 << 64) if n >= 1 << 63 else n
 
 
-def line_links(lines: DataFrame, k: int, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+def line_links(lines: DataFrame, k: int, threshold: float, bands: int, rows: int, small: int = 16) -> tuple[DataFrame, DataFrame]:
     """(line hashes that stand for several lines; links between line hashes). ``lines``: doc_id, pos, line, d1, d2.
-    Lines whose hashes collide have no links."""
+    Lines whose hashes collide have no links. ``small``: members of a bucket up to which all its pairs are made."""
     r = random.Random(11)
     masks = [signed(r.getrandbits(64)) for _ in range(bands * rows)]
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(masks)]
@@ -53,15 +77,16 @@ def line_links(lines: DataFrame, k: int, threshold: float, bands: int, rows: int
     free(ranked)
     wanted = folded.select("d1", "doc_id").hint("merge").join(shared.select(F.col("node").alias("d1")).distinct(), "d1", "left_semi")
     text = lines.select("doc_id", "d1", "line").hint("merge").join(wanted, ["d1", "doc_id"]).groupBy("d1").agg(F.first("line").alias("line"))
-    hashed = F.array_distinct(F.transform(shingles(F.col("line"), k), lambda s: F.xxhash64(s)))
-    sets = text.select("d1", hashed.alias("set"), F.xxhash64("line").alias("whole"))
-    sets = cut(sets.select("d1", F.when(F.size("set") > 0, F.col("set")).otherwise(F.array("whole")).alias("set")))
+    sets = cut(text.select("d1", "line", F.size(F.array_distinct(hashed(F.col("line"), k))).alias("n")))
 
     def confirmed(ties: DataFrame) -> DataFrame:
-        a, b = sets.select(F.col("d1").alias("a"), F.col("set").alias("x")), sets.select(F.col("d1").alias("b"), F.col("set").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        near = F.least(F.size("x"), F.size("y")) >= threshold * F.greatest(F.size("x"), F.size("y"))
-        return ties.distinct().join(a, "a").join(b, "b").where(near & (both >= threshold * (F.size("x") + F.size("y") - both))).select("a", "b")
+        """By size first; then texts are carried, as sets are eight times as large."""
+        of = lambda name, n, line: sets.select(F.col("d1").alias(name), *([F.col("n").alias(n)] if n else [F.col("line").alias(line)]))
+        near = F.least("an", "bn") >= threshold * F.greatest("an", "bn")
+        ties = ties.distinct().join(of("a", "an", None), "a").join(of("b", "bn", None), "b").where(near)
+        both = F.size(F.array_intersect(hashed(F.col("x"), k), hashed(F.col("y"), k)))
+        like = F.exists(F.array(both), lambda m: m >= threshold * (F.col("an") + F.col("bn") - m))  # counted once
+        return ties.join(of("a", None, "x"), "a").join(of("b", None, "y"), "b").where(like).select("a", "b")
 
     one = cut(confirmed(shared.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))))
     group = components(one)
@@ -70,8 +95,18 @@ def line_links(lines: DataFrame, k: int, threshold: float, bands: int, rows: int
     apart = apart.withColumns({"c": F.coalesce("c", "node"), "p": F.coalesce("p", "pivot")}).where("c != p")
     last = apart.groupBy("key").agg(F.max(F.struct("met", "node")).alias("p")).select("key", F.col("p.node").alias("other"))
     two = confirmed(apart.join(last, "key").where("node != other").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    links = cut(one.unionByName(two))
-    for table in (shared, sets, one):
+    tied = cut(one.unionByName(two))
+    free(one)
+    apart = shared.join(components(tied).withColumnRenamed("component", "c"), "node", "left").select("key", "node", F.coalesce("c", "node").alias("c"))
+    mixed = apart.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("key", "m")
+    apart = cut(apart.join(mixed, "key"))
+    few = apart.where(F.col("m") <= small)
+    few = few.select("key", F.col("node").alias("a"), F.col("c").alias("ac")).join(few.select("key", F.col("node").alias("b"), F.col("c").alias("bc")), "key")
+    few = few.where("a < b AND ac != bc").select("a", "b")
+    many = apart.where(F.col("m") > small).select(F.col("node").alias("d1"), "c").distinct().join(sets, "d1")
+    three = confirmed(few.unionByName(rare_pairs(many, k, threshold)))
+    links = cut(tied.unionByName(three))
+    for table in (shared, sets, tied, apart):
         free(table)
     return clash, links
 

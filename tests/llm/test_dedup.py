@@ -262,6 +262,29 @@ def test_lines_are_compared_on_all_their_characters(spark):
     assert got == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0, 8: 1}
 
 
+def test_pairs_of_lines_over_one_template(spark):
+    r = random.Random(21)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    template, lines = letters(300), []
+    for _ in range(150):
+        at = sorted(r.sample(range(10, 290, 14), 3))
+        own = list(template)
+        for p in at:
+            own[p : p + 3] = letters(3)
+        lines.append("".join(own))
+        own[r.randrange(20, 280)] = letters(1).upper()
+        lines.append("".join(own))
+    sets, find = [full_set(x) for x in lines], Find()
+    for x in range(len(lines)):
+        find.root(x)
+        for y in range(x):
+            if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]):
+                find.join(x, y)
+    kept = [x for x in range(len(lines)) if find.root(x) == x]
+    assert len(kept) > 100
+    assert [r.doc_id for r in dedup_lines(documents(spark, list(enumerate(lines)))).where("n_removed = 0").orderBy("doc_id").collect()] == kept
+
+
 def test_awkward_texts_pass_all(spark):
     d = documents(spark, awkward())
     for f in (dedup_suffixes, dedup_substrings, dedup_lines):
