@@ -121,6 +121,20 @@ def test_pipeline_stages(spark):
     assert docs.count() > 0 and {"copy", "shuffle_key"} <= set(docs.columns)
 
 
+def test_pipeline_drops_languages_that_were_not_learned(spark):
+    r = random.Random(1)
+    texts = [
+        "To jest zwykły tekst w języku polskim, którego nikt tutaj nie uczył się rozpoznawać przed testem",
+        "Tämä on tavallinen suomenkielinen teksti jota malli ei ole koskaan nähnyt eikä siksi tunne",
+        "Это обычный русский текст, который модель никогда раньше не видела",
+        "".join(r.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(300)),
+    ]
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(corpus_pipeline.COLUMNS)
+    odd = spark.createDataFrame([(10**9 + i, t, None, "s", 0) for i, t in enumerate(texts)], known.schema)
+    kept = {x.doc_id for x in corpus_pipeline.language_id(spark, known.unionByName(odd), SF).select("doc_id").collect()}
+    assert kept == {x.doc_id for x in known.where(r"text RLIKE '[A-Za-z]'").select("doc_id").collect()}
+
+
 def test_pipeline_stages_on_planted_rows(spark):
     rows = [(1, "the quick brown fox jumps over the lazy dog near the river bank today"), (2, "1234 5678"), (3, None), (4, ""), (1, "the quick brown fox jumps over the lazy dog near the river bank today"), (5, "the quick brown fox jumps over the lazy dog near the river bank today")]
     d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
