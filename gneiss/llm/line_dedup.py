@@ -4,11 +4,12 @@ A line is the set of its character shingles: the ``k`` characters from each char
 characters is one shingle. Shingles are hashed once; the permutations are the hash with constants xored in, whose
 minima are taken in one aggregate that also folds equal lines. Minima are banded for high recall.
 
-Within a bucket lines are tied to its most central line only, the one that meets most others over all its buckets,
-so no bucket makes all its pairs; ties are checked by the exact Jaccard similarity of the shingle sets. What the
-first round leaves apart in a bucket is tied a second time, to the most central line that is not with the first.
-What is apart even then is compared exactly: all pairs of small buckets, and in large ones, where template lines
-meet, all pairs that share one of their rarest shingles, as any pair at the threshold does. Linked lines form components, of which the first occurrence in the order of (id, line number) stays.
+Within a bucket lines are tied to its pivot, the most central line, which meets most others over all its buckets;
+ties are checked by the exact Jaccard similarity of the shingle sets. Then the pivot is done there, lines that were
+linked are one component, and what is still in several components gets another pivot, for a few rounds. What is
+apart even then is compared exactly: all pairs of small buckets, and in large ones, where template lines meet, all
+pairs that share one of their rarest shingles, as any pair at the threshold does. Of a component the first
+occurrence in the order of (id, line number) stays.
 """
 
 from __future__ import annotations
@@ -21,15 +22,20 @@ from pyspark.sql import functions as F
 from gneiss.llm.components import components
 from gneiss.llm.store import cut, free
 
-def shingles(line: Column, k: int) -> Column:
-    """The ``k`` characters from each character on; none of a line with fewer. Found in one run over the line: look
-    ahead, then go on by one character."""
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{k}}}))."), F.lit(1))
+def starts(points: Column, k: int) -> Column:
+    """Where the shingles of a line begin in its code points of four bytes each; one, if it has no more than ``k``."""
+    return F.sequence(F.lit(0), F.greatest(F.lit(0), F.octet_length(points) - F.lit(4 * k)), F.lit(4))
+
+
+def shingle(points: Column, at: Column, k: int) -> Column:
+    """The hash of the ``k`` characters from there on. Bytes are cut out at once, where characters are searched."""
+    return F.xxhash64(F.substring(points, at + 1, F.lit(4 * k)))
 
 
 def hashed(line: Column, k: int) -> Column:
     """The shingle hashes, with repeats; never empty."""
-    return F.when(F.length(line) >= k, F.transform(shingles(line, k), lambda s: F.xxhash64(s))).otherwise(F.array(F.xxhash64(line)))
+    points = F.array(F.encode(line, "UTF-32"))  # in an array, so that it is made once and not for each shingle
+    return F.transform(points, lambda b: F.transform(starts(b, k), lambda i: shingle(b, i, k)))[0]
 
 
 def rare_pairs(sets: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -47,68 +53,88 @@ def rare_pairs(sets: DataFrame, k: int, threshold: float) -> DataFrame:
     x = ranked.where("i < own").select("h", F.col("d1").alias("a"), F.col("c").alias("ac"), F.col("n").alias("an"), F.col("i").alias("ai"))
     y = ranked.select("h", F.col("d1").alias("b"), F.col("c").alias("bc"), F.col("n").alias("bn"), F.col("i").alias("bi"))
     fits = (F.col("an") >= threshold * F.col("bn")) & (F.least(F.col("an") - F.col("ai"), F.col("bn") - F.col("bi")) >= (F.col("an") + F.col("bn")) * (threshold / (1 + threshold)) - 1e-9)
-    return x.join(y, "h").where("ac != bc AND (an < bn OR (an = bn AND a < b))").where(fits).select("a", "b")
+    return x.join(y, "h").where("ac != bc AND (an < bn OR (an = bn AND a < b))").where(fits).select("a", "b", "ac", "bc")
 
 
 def signed(n: int) -> int:
     return n - (1 << 64) if n >= 1 << 63 else n
 
 
-def line_links(lines: DataFrame, k: int, threshold: float, bands: int, rows: int, small: int = 16) -> tuple[DataFrame, DataFrame]:
-    """(line hashes that stand for several lines; links between line hashes). ``lines``: doc_id, pos, line, d1, d2.
-    Lines whose hashes collide have no links. ``small``: members of a bucket up to which all its pairs are made."""
+def line_groups(lines: DataFrame, k: int, threshold: float, bands: int, rows: int, rounds: int = 2, small: int = 16) -> tuple[DataFrame, DataFrame]:
+    """(line hashes that stand for several lines; the component of every line hash that is linked with another).
+    ``lines``: doc_id, line, d1, d2. Lines whose hashes collide have no links. ``rounds``: pivots of a bucket;
+    ``small``: members of a bucket that are left apart by them up to which all its pairs are made."""
     r = random.Random(11)
     masks = [signed(r.getrandbits(64)) for _ in range(bands * rows)]
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(masks)]
-    each = lines.select("doc_id", "d1", "d2", F.explode_outer(shingles(F.col("line"), k)).alias("s"))
-    each = each.select("doc_id", "d1", "d2", F.when(F.col("s").isNull(), F.col("d1")).otherwise(F.xxhash64("s")).alias("h"))
+    each = lines.select("doc_id", "d1", "d2", F.encode("line", "UTF-32").alias("b"))
+    each = each.select("doc_id", "d1", "d2", "b", F.explode(starts(F.col("b"), k)).alias("i"))
+    each = each.select("doc_id", "d1", "d2", shingle(F.col("b"), F.col("i"), k).alias("h"))
     folded = each.groupBy("d1").agg(F.min("d2").alias("low"), F.max("d2").alias("high"), F.min("doc_id").alias("doc_id"), *minima)
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + i}") for i in range(rows)]) for b in range(bands)])
     folded = cut(folded.select("d1", "doc_id", (F.col("low") != F.col("high")).alias("clash"), keys.alias("keys")))
     clash = cut(folded.where("clash").select("d1"))
     folded = folded.where("NOT clash")
     key = folded.select(F.col("d1").alias("node"), F.explode("keys").alias("key"))
-    shared = cut(key.join(key.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
-    central = shared.groupBy("node").agg(F.sum("n").alias("met"))
-    ranked = cut(shared.select("key", "node").join(central, "node"))
-    free(shared)
-    pivots = ranked.groupBy("key").agg(F.max(F.struct("met", "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
-    shared = cut(ranked.join(pivots, "key"))
-    free(ranked)
-    wanted = folded.select("d1", "doc_id").hint("merge").join(shared.select(F.col("node").alias("d1")).distinct(), "d1", "left_semi")
-    text = lines.select("doc_id", "d1", "line").hint("merge").join(wanted, ["d1", "doc_id"]).groupBy("d1").agg(F.first("line").alias("line"))
+    met = cut(key.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = cut(key.join(met, "key"))
+    central = cut(shared.groupBy("node").agg(F.sum("n").alias("met")))
+    wanted = cut(folded.select("d1", "doc_id").join(central.select(F.col("node").alias("d1")), "d1", "left_semi"))
+    text = lines.select("doc_id", "d1", "line").join(wanted, ["d1", "doc_id"]).groupBy("d1").agg(F.first("line").alias("line"))
     sets = cut(text.select("d1", "line", F.size(F.array_distinct(hashed(F.col("line"), k))).alias("n")))
+    left = cut(shared.join(central, "node").select("key", "node", "met", F.col("node").alias("c")))
+    for table in (folded, met, shared, central, wanted):
+        free(table)
 
     def confirmed(ties: DataFrame) -> DataFrame:
         """By size first; then texts are carried, as sets are eight times as large."""
         of = lambda name, n, line: sets.select(F.col("d1").alias(name), *([F.col("n").alias(n)] if n else [F.col("line").alias(line)]))
         near = F.least("an", "bn") >= threshold * F.greatest("an", "bn")
-        ties = ties.distinct().join(of("a", "an", None), "a").join(of("b", "bn", None), "b").where(near)
+        ties = ties.join(of("a", "an", None), "a").join(of("b", "bn", None), "b").where(near)
         both = F.size(F.array_intersect(hashed(F.col("x"), k), hashed(F.col("y"), k)))
         like = F.exists(F.array(both), lambda m: m >= threshold * (F.col("an") + F.col("bn") - m))  # counted once
-        return ties.join(of("a", None, "x"), "a").join(of("b", None, "y"), "b").where(like).select("a", "b")
-
-    one = cut(confirmed(shared.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))))
-    group = components(one)
-    of = lambda name, alias: group.select(F.col("node").alias(name), F.col("component").alias(alias))
-    apart = shared.join(of("node", "c"), "node", "left").join(of("pivot", "p"), "pivot", "left")
-    apart = apart.withColumns({"c": F.coalesce("c", "node"), "p": F.coalesce("p", "pivot")}).where("c != p")
-    last = apart.groupBy("key").agg(F.max(F.struct("met", "node")).alias("p")).select("key", F.col("p.node").alias("other"))
-    two = confirmed(apart.join(last, "key").where("node != other").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    tied = cut(one.unionByName(two))
-    free(one)
-    apart = shared.join(components(tied).withColumnRenamed("component", "c"), "node", "left").select("key", "node", F.coalesce("c", "node").alias("c"))
-    mixed = apart.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("key", "m")
-    apart = cut(apart.join(mixed, "key"))
-    few = apart.where(F.col("m") <= small)
-    few = few.select("key", F.col("node").alias("a"), F.col("c").alias("ac")).join(few.select("key", F.col("node").alias("b"), F.col("c").alias("bc")), "key")
-    few = few.where("a < b AND ac != bc").select("a", "b")
-    many = apart.where(F.col("m") > small).select(F.col("node").alias("d1"), "c").distinct().join(sets, "d1")
-    three = confirmed(few.unionByName(rare_pairs(many, k, threshold)))
-    links = cut(tied.unionByName(three))
-    for table in (shared, sets, tied, apart):
-        free(table)
-    return clash, links
+        return ties.join(of("a", None, "x"), "a").join(of("b", None, "y"), "b").where(like).select("a", "b", "ac", "bc")
+
+    def pairs(ties: DataFrame) -> DataFrame:
+        """Each pair of different components once, smaller hash first."""
+        turned = F.col("a") > F.col("b")
+        way = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x)
+        return ties.where("ac != bc").select(way("a", "b"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"), way("ac", "bc"), F.when(turned, F.col("ac")).otherwise(F.col("bc")).alias("bc")).distinct()
+
+    group, tested = None, None
+    for last in [False] * rounds + [True]:
+        if last:
+            size = cut(left.groupBy("key").agg(F.count("*").alias("m")))
+            few = left.join(size.where(F.col("m") <= small), "key")
+            few = few.select("key", F.col("node").alias("a"), F.col("c").alias("ac")).join(few.select("key", F.col("node").alias("b"), F.col("c").alias("bc")), "key").where("a < b")
+            many = left.join(size.where(F.col("m") > small), "key").select(F.col("node").alias("d1"), "c").distinct().join(sets, "d1")
+            asked = pairs(few.select("a", "b", "ac", "bc").unionByName(rare_pairs(many, k, threshold)))
+        else:
+            pivots = cut(left.groupBy("key").agg(F.max(F.struct("met", "node", "c")).alias("p")).select("key", F.col("p.node").alias("b"), F.col("p.c").alias("bc")))
+            left = left.join(pivots, "key")
+            asked = pairs(left.select(F.col("node").alias("a"), F.col("c").alias("ac"), "b", "bc"))
+        if tested is not None:
+            asked = asked.join(tested, ["a", "b"], "left_anti")
+        asked = cut(asked)
+        links = cut(confirmed(asked).select(F.col("ac").alias("a"), F.col("bc").alias("b")))
+        merged = components(links).withColumnsRenamed({"node": "c", "component": "to"})
+        free(links)
+        if group is None:
+            group = merged.withColumnsRenamed({"c": "node", "to": "c"})
+        else:
+            group = group.join(merged, "c", "left").select("node", F.coalesce("to", "c").alias("c")).unionByName(merged.select(F.col("c").alias("node"), F.col("to").alias("c")).join(group, "node", "left_anti"))
+        group = cut(group)
+        if last:
+            break
+        tested = asked.select("a", "b") if tested is None else tested.unionByName(asked.select("a", "b"))
+        # a pivot is done in its bucket; buckets within one component are done
+        left = left.where("node != b").join(group.select("node", F.col("c").alias("to")), "node", "left").select("key", "node", "met", F.coalesce("to", "c").alias("c"))
+        left = cut(left)
+        open_ = left.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("key")
+        left = cut(left.join(open_, "key"))
+        if left.isEmpty():
+            break
+    return clash, group
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 10, threshold: float = 0.8, bands: int = 9, rows: int = 3) -> DataFrame:
@@ -116,31 +142,35 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines are what stands between line ends. Of each component of similar lines (Jaccard similarity of at least
     ``threshold``) the first occurrence is kept and the others are removed, in the same document too. Blank lines
-    are never removed. A pair at the threshold of 0.8 meets in a band with probability 1 - (1 - 0.8^3)^9 = 0.998, one at 0.9 with 0.99999.
-    Null texts stay null and have no lines; an empty text is one blank line. Rows with a null id take no part;
-    rows that repeat an id are one document. Long lines and texts are whole. No rows: no rows.
+    are never removed. A pair at the threshold of 0.8 meets in a band with probability 1 - (1 - 0.8^3)^9 = 0.998,
+    one at 0.9 with 0.99999; no pair that meets is left out. Lines whose hashes collide are only compared for
+    equality. Null texts stay null and have no lines; an empty text is one blank line. Rows with a null id take no
+    part; rows that repeat an id with its text are one document, with another text they are documents of their
+    own, ordered by a hash of it. Long lines and texts are whole. No rows: no rows.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     split = F.split("text", "\n", -1)
-    lines = d.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(split).alias("pos", "line")).where(F.col("line").rlike(r"\S"))
+    lines = d.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(split).alias("pos", "line")).where(F.col("line").rlike(r"\S"))
     lines = lines.withColumns({"d1": F.xxhash64("line"), "d2": F.xxhash64(F.lit(7), "line")})
-    clash, links = line_links(lines, k, threshold, bands, rows)
-    group = components(links).withColumnRenamed("node", "d1")
-    known = lines.select("doc_id", "pos", "d1").join(clash, "d1", "left_anti").join(group, "d1", "left")
-    known = cut(known.select("doc_id", "pos", F.coalesce("component", "d1").alias("component")))
-    first = known.groupBy("component").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-    gone = known.join(first, "component").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
-    drop = gone.groupBy(F.col("doc_id").alias("__gneiss_id")).agg(F.collect_set("pos").alias("__gneiss_drop"))
+    clash, group = line_groups(lines, k, threshold, bands, rows)
+    known = lines.select("doc_id", "version", "pos", "d1", "d2").join(clash.withColumn("clash", F.lit(True)), "d1", "left").join(group.withColumnRenamed("node", "d1"), "d1", "left")
+    known = cut(known.select("doc_id", "version", "pos", F.when(F.col("clash"), F.xxhash64("d1", "d2")).otherwise(F.coalesce("c", "d1")).alias("component")))
+    place = F.struct("doc_id", "version", "pos")
+    first = cut(known.groupBy("component").agg(F.min(place).alias("first"), F.max(place).alias("final")).where("first != final").select("component", "first"))
+    gone = known.join(first, "component").where(place != F.col("first"))
+    drop = gone.groupBy(F.col("doc_id").alias("__gneiss_id"), F.col("version").alias("__gneiss_version")).agg(F.collect_set("pos").alias("__gneiss_drop"))
     size = F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1
-    out = docs.select(names).join(drop, docs[id_col].cast("long") == drop["__gneiss_id"], "left")
+    own = (docs[id_col].cast("long") == drop["__gneiss_id"]) & (F.xxhash64(docs[text_col]) == drop["__gneiss_version"])
+    out = docs.select(names).join(drop, own, "left")
     # split once, as a column of its own: inside the function below it would be split again for every line
     out = out.withColumn("__gneiss_lines", F.when(F.col("__gneiss_drop").isNotNull(), F.split(F.col(text_col), "\n", -1)))
     every = F.col("__gneiss_lines")
     kept = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col("__gneiss_drop"))
     left = F.array_join(F.transform(kept, lambda i: F.get(every, i)), "\n")
     text = F.when(F.col("__gneiss_drop").isNull(), F.col(text_col)).otherwise(left)
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in names], F.coalesce(size, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gneiss_drop"), F.lit(0)).cast("long").alias("n_removed"))
+    out = out.select(*[text.alias(c) if c == text_col else F.col(c) for c in names], F.coalesce(size, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gneiss_drop"), F.lit(0)).cast("long").alias("n_removed"))
+    return out
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
