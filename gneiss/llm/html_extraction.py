@@ -8,6 +8,7 @@ labelled pages can be given instead, as HTML with ``data-y="1"`` or ``"0"`` on e
 
 from __future__ import annotations
 
+import functools
 import html
 import random
 import re
@@ -27,26 +28,65 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'
 WORD = re.compile(r"[a-z]+")
 # Fixed values of HTML: elements without content, with raw text, laid out in a line, and what closes an open one.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math title textarea select noframes canvas audio video datalist".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input".split())
+RAW = frozenset("script style template title iframe textarea select datalist noframes".split())
+FOREIGN = frozenset("svg math".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input svg math object audio video canvas iframe textarea select datalist script style template noscript".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr",), "tbody": ("thead", "tr"), "tfoot": ("tbody", "tr")}
 SCOPE = frozenset("table ul ol dl div article section body html td th main aside".split())
 
 
+class Element:
+    """An open element: what blocks inside it know of it and all its ancestors. Features are shared from parent to
+    child, so that deeply nested pages take room for what is new at each level only."""
+
+    __slots__ = ("tag", "y", "path", "near", "named", "main")
+
+    def __init__(self, tag: str, names: list[str], y: str | None, parent: Element | None, known):
+        self.tag = tag
+        self.y = y or (parent.y if parent else None)
+        mine = {f"in {tag}", *(f"of {w}" for w in names)}
+        if known is not None:
+            mine &= known
+        path = parent.path if parent else frozenset()
+        self.path = path if mine <= path else path | mine
+        near = parent.near if parent else ()
+        self.near = near if tag in INLINE else (*near, (tag, names))[-2:]
+        self.named = bool(names) or bool(parent and parent.named)
+        self.main = tag in ("article", "main") or bool(parent and parent.main)
+
+
 class Block:
-    __slots__ = ("parts", "path", "linked", "y")
+    __slots__ = ("parts", "inside", "linked")
+
+    def __init__(self, inside: Element | None):
+        self.parts, self.inside, self.linked = [], inside, 0
+
+    @property
+    def y(self) -> str | None:
+        return self.inside.y if self.inside else None
+
+
+@functools.cache
+def end_of(tag: str) -> re.Pattern:
+    return re.compile(f"</{re.escape(tag)}(?![^\\s/>])[^>]*(?:>|\\Z)", re.I)
 
-    def __init__(self, path, y):
-        self.parts, self.path, self.linked, self.y = [], path, 0, y
 
+def blocks(page: str, known=None) -> list[Block]:
+    """The leaf blocks of a page in page order. ``known``: the path features that matter; None: all.
 
-def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in page order; each with the names of its ancestors, outermost first."""
-    stack: list[tuple[str, tuple[str, ...], str | None]] = []
+    Left out are comments, what scripts, styles, templates, form fields and frames hold as raw text, and the title.
+    Such an element without an end tag ends with its parent; a frame, svg or math that closes itself is empty.
+    """
+    stack: list[Element] = []
+    places: dict[str, list[int]] = {}  # open elements by tag: where in the stack
+    unended: set[str] = set()
     out: list[Block] = []
     open_block: Block | None = None
-    at, n, links = 0, len(page), 0
+    at, n = 0, len(page)
+
+    def last(tag: str) -> int:
+        return places[tag][-1] if places.get(tag) else -1
 
     def text(s: str) -> None:
         nonlocal open_block
@@ -55,25 +95,22 @@ def blocks(page: str) -> list[Block]:
         if open_block is None:
             if s.isspace():
                 return
-            open_block = Block([x[:2] for x in stack], next((x[2] for x in reversed(stack) if x[2]), None))
+            open_block = Block(stack[-1] if stack else None)
             out.append(open_block)
         open_block.parts.append(s)
-        if links:
+        if places.get("a"):
             open_block.linked += len(s)
 
     def pop_to(k: int) -> None:
-        nonlocal links
         for x in stack[k:]:
-            links -= x[0] == "a"
+            places[x.tag].pop()
         del stack[k:]
 
     def close(names, scope) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                pop_to(k)
-                return
-            if stack[k][0] in scope:
-                return
+        """Ends the innermost of ``names``, unless one of ``scope`` is inside it."""
+        k = max(map(last, names))
+        if k >= 0 and k >= max(map(last, scope), default=-1):
+            pop_to(k)
 
     while at < n:
         lt = page.find("<", at)
@@ -94,19 +131,33 @@ def blocks(page: str) -> list[Block]:
                 text(m["cdata"])
             continue
         tag = tag.lower()
-        if tag not in INLINE:
-            open_block = None
-        elif tag == "br":
+        closes = m["close"] or m["close2"]
+        foreign = max(map(last, FOREIGN)) >= 0
+        if foreign and not closes and tag in CLOSES_P:  # as browsers do, out of a drawing or formula
+            pop_to(min(places[x][0] for x in FOREIGN if places.get(x)))
+            foreign = False
+        if tag == "br":
             text(" " if open_block else "")
-        if m["close"] or m["close2"]:
+        elif tag not in INLINE and not (foreign and (not closes or last(tag) > max(map(last, FOREIGN)))):
+            open_block = None
+        if closes:
             if tag == "p":
                 close(("p",), SCOPE)
             elif tag not in VOID:
                 close((tag,), ("table", "td") if tag in INLINE else ())
             continue
+        attributes = m["attrs"] or m["attrs2"] or ""
+        itself = attributes.rstrip().endswith("/")
         if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}\\b[^>]*(?:>|\\Z)", re.I).search(page, at)
-            at = end.end() if end else n
+            if tag == "iframe" and itself:
+                continue
+            end = None if tag in unended else end_of(tag).search(page, at)
+            if end:
+                at = end.end()
+            else:
+                unended.add(tag)
+                end = end_of(stack[-1].tag).search(page, at) if stack else None
+                at = end.start() if end else n
             continue
         if tag in CLOSES_P:
             close(("p",), SCOPE)
@@ -114,16 +165,16 @@ def blocks(page: str) -> list[Block]:
             close(SAME[tag], ("table", "ul", "ol", "dl", "select"))
             if tag == "tr":
                 close(("tr",), ("table",))
-        if tag not in VOID:
+        if tag not in VOID and not (itself and (foreign or tag in FOREIGN)):
             names, y = [], None
-            for key, *value in ATTRIBUTE.findall(m["attrs"] or m["attrs2"] or ""):
+            for key, *value in ATTRIBUTE.findall(attributes):
                 value = value[0] or value[1] or value[2]
                 if key.lower() == "data-y":
                     y = value
                 else:
                     names += WORD.findall(value.lower())
-            stack.append((tag, tuple(names), y))
-            links += tag == "a"
+            places.setdefault(tag, []).append(len(stack))
+            stack.append(Element(tag, names, y, stack[-1] if stack else None, known))
     return [b for b in out if any(not p.isspace() for p in b.parts)]
 
 
@@ -133,16 +184,14 @@ def text_of(b: Block) -> str:
 
 def block_features(b: Block, text: str, place: int, total: int) -> set[str]:
     out = {"bias"}
-    block_path = [x for x in b.path if x[0] not in INLINE]
-    for tag, names in b.path:
-        out.add(f"in {tag}")
-        out.update(f"of {w}" for w in names)
-    for tag, names in block_path[-2:]:
-        out.add(f"near {tag}")
-        out.update(f"close {w}" for w in names)
-    if not any(t in ("article", "main") for t, _ in b.path):
+    if b.inside:
+        out |= b.inside.path
+        for tag, names in b.inside.near:
+            out.add(f"near {tag}")
+            out.update(f"close {w}" for w in names)
+    if not (b.inside and b.inside.main):
         out.add("no article")
-    if not any(n for _, n in b.path):
+    if not (b.inside and b.inside.named):
         out.add("no names")
     n = len(text)
     out.add(f"length {min(7, max(0, n.bit_length() - 3))}")
@@ -159,8 +208,8 @@ def block_features(b: Block, text: str, place: int, total: int) -> set[str]:
     return out
 
 
-def encode(page: str) -> tuple[list[set[str]], list[str], list[str | None]]:
-    found = blocks(page)
+def encode(page: str, known=None) -> tuple[list[set[str]], list[str], list[str | None]]:
+    found = blocks(page, known)
     texts = [text_of(b) for b in found]
     return [block_features(b, t, k, len(found)) for k, (b, t) in enumerate(zip(found, texts, strict=True))], texts, [b.y for b in found]
 
@@ -245,7 +294,7 @@ class Field:
         return out[::-1]
 
     def extract(self, page: str | None) -> list[str]:
-        features, texts, _ = encode(page or "")
+        features, texts, _ = encode(page or "", self.weights.keys())
         return [t for t, y in zip(texts, self.decode(features), strict=True) if y]
 
 

@@ -60,7 +60,7 @@ def signed(n: int) -> int:
     return n - (1 << 64) if n >= 1 << 63 else n
 
 
-def line_groups(lines: DataFrame, k: int, threshold: float, bands: int, rows: int, rounds: int = 2, small: int = 16) -> tuple[DataFrame, DataFrame]:
+def line_groups(lines: DataFrame, k: int, threshold: float, bands: int, rows: int, rounds: int = 4, small: int = 16) -> tuple[DataFrame, DataFrame]:
     """(line hashes that stand for several lines; the component of every line hash that is linked with another).
     ``lines``: doc_id, line, d1, d2. Lines whose hashes collide have no links. ``rounds``: pivots of a bucket;
     ``small``: members of a bucket that are left apart by them up to which all its pairs are made."""

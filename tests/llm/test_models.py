@@ -72,6 +72,52 @@ def test_blocks():
     assert read("<script>never ends") == []
 
 
+def test_text_after_embedded_elements_stays(field):
+    read = lambda s: [text_of(b) for b in blocks(s)]
+    assert read('<article><p>one <svg class="i"/> two</p><p>three</p></article>') == ["one two", "three"]
+    assert read("<p>one <iframe src=x /> four</p><p>five</p>") == ["one four", "five"]
+    assert read("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>") == ["so x=1 holds"]
+    assert read("<article><noscript><p>body</p></noscript><p>end</p></article>") == ["body", "end"]
+    assert read("<p>a <svg><g><path d='M0'/></g><text>t</text></svg> b</p><p>c") == ["a t b", "c"]
+    assert read("<p>a <svg><g>b<p>c</p><div>d</div>") == ["a b", "c", "d"]
+    assert read("<p>a <object>o <video>v</video></object> b</p>") == ["a o v b"]
+    assert read("<article><p>a <textarea>t</p><p>b</p></article>") == ["a", "b"]
+    assert read("<p>a<select><option>x</select> b</p>") == ["a b"]
+    page = "<nav><a href=/a>A</a></nav><article><p>One two three.</p><noscript><p>Four five six.</p></noscript><p>Seven <svg/> eight.</p></article><footer>&copy; f</footer>"
+    assert field.extract(page) == ["One two three.", "Four five six.", "Seven eight."]
+
+
+def test_deeply_nested_pages_are_read_whole(field):
+    import time
+
+    n = 20_000
+    begin = time.monotonic()
+    assert len(blocks("".join(f"<div class='c{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}'>word {k}" for k in range(n)), field.weights.keys())) == n
+    assert len(blocks("<b>x" * n + "</i>" * n + "<p>y")) == 2
+    assert [text_of(b) for b in blocks("<svg><title>" * n + "<p>y")] == []
+    assert time.monotonic() - begin < 20
+
+
+def test_layouts_of_another_hand(field):
+    """Not made by the generator that the field learns from: tables, id-only columns, definition pages, old portals."""
+    body = ["The river rose two metres in a day.", "Nobody in the village had seen such a flood before, and the bridge was closed at noon.", "By evening the water fell again."]
+    para = lambda x: f"<p>{x}</p>"
+    pages = [
+        f"<table><tr><td class='leftnav'><a href=/>Home</a> <a href=/n>News</a></td><td class='content'>{''.join(map(para, body))}</td></tr></table><div class=footer>Copyright 2001</div>",
+        f"<div id=header><a href=/>Site</a></div><div id=main><div class=post>{''.join(map(para, body))}</div></div><div id=sidebar><ul><li><a href=1>Old</a></ul></div><div id=footer>&copy; us</div>",
+        f"<body><header><a href=/>S</a></header><main><section>{''.join(map(para, body))}</section></main><aside><p>Read also this.</p></aside><footer><p>&copy; 2020 All rights.</p></footer>",
+        f"<body><div class='cookie-consent'>We use cookies.</div><article class='story'>{''.join(map(para, body))}<div class=share><a href=t>Tweet</a></div></article><section class=comments><div class=comment><p>First!</p></div></section>",
+        f"<body><nav role=navigation><ul><li><a href=/>A</a><li><a href=/b>B</a></ul></nav><div class=entry-content>{body[0]}<br>{body[1]}<p>{body[2]}</div><form><label>Mail</label><input></form>",
+    ]
+    words = lambda x: " ".join(x).split()
+    right = total = 0
+    for page in pages:
+        got = words(field.extract(page))
+        right += len(set(got) & set(words(body)))
+        total += len(set(got) | set(words(body)))
+    assert right / total > 0.9
+
+
 def test_pages(spark, field):
     art = "<nav><a href=/a>A</a></nav><article><h1>T&eacute;</h1><p>One  two\nthree.</p><p>x.</p></article><footer>&copy; f</footer>"
     rows = [(1, "u", art), (2, None, None), (3, "v", ""), (None, "w", art), (4, "x", "<p>" + LONG + "</p>"), (1, "u", art)]
