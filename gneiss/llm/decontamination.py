@@ -1,14 +1,17 @@
 """Benchmark decontamination by templates.
 
 Texts are read as tokens (runs of letters and digits); numbers, names and units become typed placeholders, so a
-question asked again with other values has the same template. Windows of the templates are joined by hash with
-those of the benchmark. Windows of a document that lie on one diagonal of an item make an alignment, and its slots
-must be consistent: two slots of the item hold the same value exactly if they do in the document. What is left
-must cover enough of the item.
+question asked again with other values has the same template. The windows of the templates of documents and of the
+benchmark are two tables that are joined by hash. Matches of a document and an item that lie on one diagonal make an
+alignment, and its slots must be consistent: two slots of the item hold the same value exactly if they do in the
+document. What is left must cover enough of the item.
 
 Three readings are hashed: with names as placeholders; with names as plain words, so that a copy in other case is
 found too; and with plain words only, so that a copy as it stands is found whatever it is made of. A window needs
 at least half plain words.
+
+Before the join, windows of documents go through a bit table of the benchmark's hashes. The table has a largest
+size, however large the benchmark is: a fuller table lets more windows through to the join and changes no result.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.llm.store import cut
 from gneiss.llm.words import LOWER, M1, M2, M3, POWERS, as_bytes, grams, mix, small
 
 # Unit words that may follow a number.
@@ -92,142 +96,188 @@ def window_hashes(h: np.ndarray, kind: np.ndarray, of: np.ndarray, size: int) ->
     return at, grams(h, size, M1)[at] + np.uint64(size)
 
 
-class Benchmark:
-    """The windows of some benchmark items: those of ``size`` tokens, or the whole of a shorter item."""
-
-    def __init__(self, items: list[tuple[int, bytes]], size: int, shortest: int):
-        self.tokens = Tokens([t for _, t in items])
-        self.ids = [i for i, _ in items]
-        self.size = size
-        self.sizes = sorted({min(size, int(n)) for n in self.tokens.size if n >= shortest})
-        t = self.tokens
-        found = []
-        for reading, (h, kind) in enumerate(t.readings()):
-            for s in self.sizes:
-                at, keys = window_hashes(h, kind, t.of, s)
-                own = np.minimum(t.size[t.of[at]], size) == s
-                found.append((keys[own], at[own], np.full(own.sum(), reading)))
-        keys, at, reading = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), (), ())))
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.reading = keys[order].astype(np.uint64), at[order], reading[order]
-        self.table = np.zeros(1 << 20, bool)
-        self.table[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-
-    def hits(self, docs: Tokens) -> np.ndarray:
-        """(document, item, diagonal, document place, item place, window size, reading) of all window matches."""
-        out = []
-        if not len(self.keys):
-            return np.zeros((0, 7), np.int64)
-        for reading, (h, kind) in enumerate(docs.readings()):
-            for s in self.sizes:
-                at, keys = window_hashes(h, kind, docs.of, s)
-                maybe = np.flatnonzero(self.table[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)])
-                at, keys = at[maybe], keys[maybe]
-                lo, hi = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, "right")
-                n = hi - lo
-                if not n.sum():
-                    continue
-                place = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                d, b = np.repeat(at, n), self.at[place]
-                same = self.reading[place] == reading
-                d, b = d[same], b[same]
-                out.append(np.stack([docs.of[d], self.tokens.of[b], d - b, d, b, np.full(len(d), s), np.full(len(d), reading)], axis=1))
-        return np.concatenate(out) if out else np.zeros((0, 7), np.int64)
-
-    def consistent(self, docs: Tokens, hits: np.ndarray) -> np.ndarray:
-        """Which matches of one alignment agree on its slots: a slot's value is bound where it first occurs, in
-        the order of the item, either way; a window with a slot bound otherwise goes."""
-        out = np.ones(len(hits), bool)
-        to_doc: dict[tuple[int, int], int] = {}
-        to_item: dict[tuple[int, int], int] = {}
-        for k in np.lexsort((hits[:, 6], hits[:, 4])).tolist():
-            _, _, _, d, b, s, reading = hits[k].tolist()
-            kinds = self.tokens.kind[b : b + s]
-            slots = np.flatnonzero(((kinds == NUMBER) | (kinds == UNIT) | ((kinds == NAME) & (reading == 0))) & (reading < 2))
-            pairs = [(int(kinds[j]), int(self.tokens.h[b + j]), int(docs.h[d + j])) for j in slots.tolist()]
-            new_doc, new_item = dict(to_doc), dict(to_item)
-            if all(new_doc.setdefault((t, x), y) == y and new_item.setdefault((t, y), x) == x for t, x, y in pairs):
-                to_doc, to_item = new_doc, new_item
-            else:
-                out[k] = False
-        return out
-
-    def found(self, texts: list[bytes | None], enough: int, share: float) -> list[tuple[int, int, int, int]]:
-        """(text, item id, windows, covered tokens) of the items found in each text, best alignments joined."""
-        docs = Tokens(texts)
-        hits = self.hits(docs)
-        if not len(hits):
-            return []
-        hits = hits[np.lexsort((hits[:, 4], hits[:, 2], hits[:, 1], hits[:, 0]))]
-        edge = np.flatnonzero(np.any(np.diff(hits[:, :3], axis=0), axis=1)) + 1
-        covered: dict[tuple[int, int], tuple[int, set[int]]] = {}
-        for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(hits)], strict=True):
-            one = hits[lo:hi]
-            one = one[self.consistent(docs, one)]
-            if not len(one):
-                continue
-            key = (int(one[0, 0]), int(one[0, 1]))
-            n, places = covered.get(key, (0, set()))
-            for b, s in one[:, 4:6].tolist():
-                places.update(range(b, b + s))
-            covered[key] = (n + len(np.unique(one[:, 4])), places)
-        out = []
-        for (d, b), (n, places) in covered.items():
-            if len(places) >= min(enough, -(-share * int(self.tokens.size[b]) // 1)):
-                out.append((d, self.ids[b], n, len(places)))
-        return sorted(out)
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 8, shortest: int = 5, enough: int = 13, share: float = 0.5, at_once: int = 8_000_000) -> DataFrame:
+def slots_of(tokens: Tokens, at: np.ndarray, size: int, reading: int) -> tuple[pa.Array, pa.Array]:
+    """The kinds and the values (hashes) of the slots of each window, in order."""
+    kinds = tokens.kind[at[:, None] + np.arange(size)]
+    slot = (kinds == NUMBER) | (kinds == UNIT) | ((kinds == NAME) & (reading == 0)) if reading < 2 else np.zeros(kinds.shape, bool)
+    ends = pa.array(np.concatenate([[0], np.cumsum(slot.sum(axis=1))]).astype(np.int32))
+    values = tokens.h[at[:, None] + np.arange(size)][slot].view(np.int64)
+    return pa.ListArray.from_arrays(ends, pa.array(kinds[slot])), pa.ListArray.from_arrays(ends, pa.array(values))
+
+
+def windows(tokens: Tokens, sizes: list[int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(reading, size, start, key) of all windows."""
+    for reading, (h, kind) in enumerate(tokens.readings()):
+        for size in sizes:
+            at, keys = window_hashes(h, kind, tokens.of, size)
+            if len(at):
+                yield reading, size, at, mix(keys + np.uint64(reading) * M2)
+
+
+def texts_at_once(batches: Iterator[pa.RecordBatch], most: int = 400_000) -> Iterator[tuple[list, list, list]]:
+    """(ids, versions, texts) of about ``most`` bytes, or one longer text."""
+    ids, versions, texts, n = [], [], [], 0
+    for b in small(batches):
+        for i, v, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), strict=True):
+            ids.append(i)
+            versions.append(v)
+            texts.append(t)
+            n += len(t or b"")
+            if n > most:
+                yield ids, versions, texts
+                ids, versions, texts, n = [], [], [], 0
+    if ids:
+        yield ids, versions, texts
+
+
+ITEM = "key long, item_id long, item_version long, item_at int, size int, n_tokens int, kinds array<tinyint>, item_slots array<long>"
+DOC = "key long, doc_id long, version long, at int, doc_slots array<long>"
+
+
+def item_windows(size: int, shortest: int):
+    """Rows (item_id, version, text) -> ITEM: windows of ``size`` tokens, or the whole of a shorter item; of an item
+    of fewer than ``shortest`` tokens the literal reading only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, versions, texts in texts_at_once(batches):
+            t = Tokens(texts)
+            ids, versions = np.array(ids, np.int64), np.array(versions, np.int64)
+            for reading, s, at, key in windows(t, sorted({min(size, int(n)) for n in t.size if n})):
+                n = t.size[t.of[at]]
+                own = (np.minimum(n, size) == s) & ((n >= shortest) | (reading == 2))
+                at, key = at[own], key[own]
+                of = t.of[at]
+                kinds, values = slots_of(t, at, s, reading)
+                cols = [key.view(np.int64), ids[of], versions[of], (at - t.start[of]).astype(np.int32), np.full(len(at), s, np.int32), t.size[of].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), kinds, values], ["key", "item_id", "item_version", "item_at", "size", "n_tokens", "kinds", "item_slots"])
+
+    return run
+
+
+def doc_windows(sizes: list[int], bits: int, table):
+    """Rows (doc_id, version, text) -> DOC: the windows whose hash the bit table knows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, versions, texts in texts_at_once(batches):
+            t = Tokens(texts)
+            ids, versions = pa.array(ids, pa.int64()), pa.array(versions, pa.int64())
+            for reading, s, at, key in windows(t, sizes):
+                low = key & np.uint64(bits - 1)
+                maybe = np.flatnonzero((table.value[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1))
+                if len(maybe):
+                    at, key = at[maybe], key[maybe]
+                    of = t.of[at]
+                    _, values = slots_of(t, at, s, reading)
+                    place = pa.array((at - t.start[of]).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids.take(pa.array(of)), versions.take(pa.array(of)), place, values], ["key", "doc_id", "version", "at", "doc_slots"])
+
+    return run
+
+
+class Alignment:
+    """Matches of one document and one item on one diagonal, in the order of the item. A slot's value is bound where
+    it first occurs, either way; a window with a slot bound otherwise does not count."""
+
+    def __init__(self):
+        self.to_doc: dict[tuple[int, int], int] = {}
+        self.to_item: dict[tuple[int, int], int] = {}
+
+    def agrees(self, kinds: list[int], item: list[int], doc: list[int]) -> bool:
+        here: dict[tuple[int, int], int] = {}
+        back: dict[tuple[int, int], int] = {}
+        for t, x, y in zip(kinds, item, doc, strict=True):
+            if self.to_doc.get((t, x), y) != y or self.to_item.get((t, y), x) != x or here.setdefault((t, x), y) != y or back.setdefault((t, y), x) != x:
+                return False
+        self.to_doc |= here
+        self.to_item |= back
+        return True
+
+
+def judge(enough: int, share: float):
+    """Matches in the order of (document, item, diagonal, place in the item) -> items that are found."""
+    names = ["doc_id", "version", "item_id", "n_windows", "n_covered"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = line = None
+        places: set[int] = set()
+        starts: set[int] = set()
+        n_windows = n_tokens = 0
+
+        def verdict() -> list[tuple]:
+            n = n_windows + len(starts)
+            return [(pair[0], pair[1], pair[2], n, len(places))] if pair and n and len(places) >= min(enough, -(-share * n_tokens // 1)) else []
+
+        for b in small(batches, 4096):
+            out = []
+            cols = [b.column(k).to_pylist() for k in range(b.num_columns)]
+            for i, v, item, iv, diagonal, at, s, n, kinds, item_slots, doc_slots in zip(*cols, strict=True):
+                if (i, v, item, iv) != pair:
+                    out += verdict()
+                    pair, line, places, starts, n_windows, n_tokens = (i, v, item, iv), None, set(), set(), 0, n
+                if diagonal != line:
+                    n_windows += len(starts)
+                    line, alignment, starts = diagonal, Alignment(), set()
+                if alignment.agrees(kinds, item_slots, doc_slots):
+                    starts.add(at)
+                    places.update(range(at, at + s))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
+        if out := verdict():
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
+
+    return run
+
+
+def bit_table(items: DataFrame, most_bits: int) -> tuple[int, np.ndarray]:
+    """(number of bits, words) of a table with a bit for each key; 32 bits a key, up to ``most_bits``."""
+    n = items.count()
+    bits = min(1 << 16, most_bits)
+    while bits < most_bits and bits < 32 * n:
+        bits *= 2
+    low = F.col("key").bitwiseAND(F.lit(bits - 1))
+    words = items.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 AS int))")).alias("bits"))  # at most most_bits / 64 rows
+    got = words.toArrow()
+    table = np.zeros(bits // 64, np.uint64)
+    table[np.asarray(got["word"])] = np.asarray(got["bits"]).view(np.uint64)
+    return bits, table
+
+
+def found(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 8, shortest: int = 5, enough: int = 13, share: float = 0.5, most_bits: int = 1 << 26) -> DataFrame:
+    """(doc_id, version, item_id, n_windows, n_covered); ``version`` is a hash of the text, so that texts that share
+    an id are told apart."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    asked = cut(items.select("item_id", F.xxhash64("text").alias("version"), "text").mapInArrow(item_windows(size, shortest), ITEM))
+    sizes = sorted(r.size for r in asked.select("size").distinct().collect())  # no more than ``size`` of them
+    bits, table = bit_table(asked, most_bits)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    here = d.mapInArrow(doc_windows(sizes, bits, shared), DOC)
+    both = here.join(asked, "key").select("doc_id", "version", "item_id", "item_version", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", "size", "n_tokens", "kinds", "item_slots", "doc_slots")
+    pair = ["doc_id", "version", "item_id", "item_version"]
+    # equal rows of one document follow each other and change nothing
+    both = both.repartition(*pair).sortWithinPartitions(*pair, "diagonal", "item_at", F.size("kinds").desc(), "size")
+    one = both.mapInArrow(judge(enough, share), "doc_id long, version long, item_id long, n_windows long, n_covered long")
+    return one.groupBy("doc_id", "version", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("n_covered").alias("n_covered"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """(doc_id, item_id, n_windows, n_covered): each document with each benchmark item found in it.
 
     Found means that consistent windows of ``size`` template tokens cover at least ``enough`` tokens of the item,
-    or ``share`` of it if that is less. An item shorter than a window is one window; items of fewer than
-    ``shortest`` tokens are too common to be told and are left out, as are null ids and texts. Benchmarks are
-    shared out in parts of at most ``at_once`` bytes, checked before, and larger ones take several passes with the
-    same result. Null and empty documents hold nothing; rows that repeat are judged each; texts are read whole.
+    or ``share`` of it if that is less. An item shorter than a window is one window; an item of fewer than
+    ``shortest`` tokens is found only where it stands literally. Items with a null id or text, or without a token,
+    take no part. Null and empty documents hold nothing; rows that repeat an id with its text are one document, with
+    another text they are documents of their own. Texts are read whole, benchmarks of any size are joined whole.
+    Other options: see ``found``.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    width = F.octet_length("text").cast("long")
-    total, longest = items.agg(F.coalesce(F.sum(width), F.lit(0)), F.coalesce(F.max(width), F.lit(0))).first()
-    if longest > at_once:
-        raise ValueError(f"a benchmark item of {longest} bytes is longer than at_once")
-    parts = max(1, -(-2 * total // at_once))
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = None
-    for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
-        shared = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text.encode()) for r in rows])
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            b = Benchmark(shared.value, size, shortest)
-
-            def some(ids: list, texts: list):
-                found = b.found(texts, enough, share)
-                cols = list(zip(*found)) if found else [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in cols[0]], pa.int64()), *(pa.array(list(c), pa.int64()) for c in cols[1:])], ["doc_id", "item_id", "n_windows", "n_covered"])
-
-            for batch in small(batches):
-                ids, texts, n = [], [], 0
-                for i, t in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                    ids.append(i)
-                    texts.append(t)
-                    n += len(t or b"")
-                    if n > 400_000:
-                        yield from some(ids, texts)
-                        ids, texts, n = [], [], 0
-                if ids:
-                    yield from some(ids, texts)
-
-        found = d.mapInArrow(run, "doc_id long, item_id long, n_windows long, n_covered long")
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item is found. Rows with a null id stay."""
-    bad = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__gneiss_bad")).where("__gneiss_bad IS NOT NULL").distinct()
-    return docs.join(bad, docs[id_col].cast("long") == bad["__gneiss_bad"], "left_anti")
+    return found(docs, benchmark, **options).select("doc_id", "item_id", "n_windows", "n_covered")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark item is found, judged by their own id and text, null ids too."""
+    bad = found(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("__gneiss_bad"), F.col("version").alias("__gneiss_version")).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(bad["__gneiss_bad"]) & (F.xxhash64(docs[text_col]) == bad["__gneiss_version"])
+    return docs.join(bad, same, "left_anti")
 
 
 def op3_template_decontamination(spark, sf_dir: str) -> DataFrame:

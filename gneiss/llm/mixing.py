@@ -58,14 +58,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     with these names give way), in shuffled order.
 
     A null source is a source of its own. Null and empty texts have no size, so they come as often as their source
-    does; a source of such texts only is left out. Rows that repeat an id are drawn alike; null ids draw as one
-    id. No rows: no rows. The draw of a row depends on the seed, its id and its source's rate only.
+    does; a source of such texts only is left out. Rows that repeat an id are drawn alike; rows with a null id
+    draw by their text. No rows: no rows. The draw of a row depends on the seed, its id and its source's rate only.
     """
     names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     rate = rates(docs, text_col, source_col, weights, temperature)
     part = F.greatest(F.lit(1), F.ceil(F.col("rate") / LARGEST_PART)).cast("int")
     table = rate.select(F.col("source").alias("__mix_source"), part.alias("__mix_parts"), distribution(F.col("rate") / part).alias("__mix_cdf"), (F.col("rate") > 0).alias("__mix_any"))
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
 
     def draw(k: Column) -> Column:
         u = uniform(F.lit(seed), key, k.cast("string"))
@@ -94,13 +94,13 @@ WITH RECURSIVE s AS (
   UNION ALL
   SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM p WHERE k < ceil(rate + 12 * sqrt(rate) + 30)
 ), u AS (
-  SELECT *, ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':1'), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents
+  SELECT *, ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))) || ':1'), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents
 ), n AS (
   SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, count(*) AS n
   FROM u JOIN p ON u.source IS NOT DISTINCT FROM p.source AND p.c < u.u
   GROUP BY ALL
 )
 SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy,
-       md5('mix-order:' || coalesce(doc_id::VARCHAR, '') || ':' || copy) AS shuffle_key
+       md5('mix-order:' || coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))) || ':' || copy) AS shuffle_key
 FROM (SELECT *, unnest(range(1, n + 1)) AS copy FROM n)
 """
