@@ -108,15 +108,19 @@ class Index:
         self.codes = coder.codes(x)
         self.tables = [Table(self.codes[:, t]) for t in range(self.codes.shape[1])]
 
-    def within(self, q: np.ndarray, radius: int) -> np.ndarray:
-        """Every row whose code is within the radius. The substrings' shares add up to radius + 1 - tables: if
-        each one were exceeded, the whole distance would exceed the radius."""
+    def met(self, q: np.ndarray, radius: int) -> np.ndarray:
+        """Which rows the tables let through: all within the radius, and others. The substrings' shares add up to
+        radius + 1 - tables: if each one were exceeded, the whole distance would exceed the radius."""
         found = np.zeros(len(self.ids), bool)
         spare = radius + 1 - len(self.tables)
         share, more = divmod(spare, len(self.tables))
         for t, table in enumerate(self.tables):
             table.probe(q[t], share + (t < more), found)
-        rows = np.flatnonzero(found)
+        return found
+
+    def within(self, q: np.ndarray, radius: int) -> np.ndarray:
+        """Every row whose code is within the radius."""
+        rows = np.flatnonzero(self.met(q, radius))
         return rows[hamming(self.codes[rows], q) <= radius]
 
     def search(self, i: int, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
