@@ -115,6 +115,9 @@ class Model:
         return lang, sure * surer
 
 
+PARTS = 32  # in which a language's sample is drawn first
+
+
 def sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = [features(t.encode()).astype(np.float16).tobytes() for t in pc.utf8_lower(b.column(1)).to_pylist()]
@@ -126,11 +129,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     bounds the sample, so what reaches the driver is 8.5 kB times that for each language."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     open_rows = d.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = [r[0] for r in open_rows.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id").collect()]
+    open_rows = open_rows.withColumn("version", F.xxhash64("text"))
+    draw = ["doc_id", "version", "lang"]
+    ids = open_rows.select(draw).withColumn("draw", F.xxhash64("doc_id"))
+    for part in ([F.col("lang"), F.pmod(F.col("version"), F.lit(PARTS))], [F.col("lang")]):  # so that no task sees more than PARTS samples of a language
+        rank = F.row_number().over(Window.partitionBy(*part).orderBy("draw", "doc_id", "version"))
+        ids = ids.withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank")
+    ids = {(r.doc_id, r.version, r.lang) for r in ids.collect()}
     if not ids:
         return None
-    rows = open_rows.where(F.col("doc_id").isin(ids)).mapInArrow(sample_features, "doc_id long, lang string, x binary").collect()
+    chosen = open_rows.where(F.col("version").isin([v for _, v, _ in ids]) & F.col("doc_id").isin([i for i, _, _ in ids])).dropDuplicates(draw)
+    rows = chosen.select("doc_id", "text", "lang").mapInArrow(sample_features, "doc_id long, lang string, x binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.lang, r.x))
     return Model(np.array([np.frombuffer(r.x, np.float16) for r in rows]).astype(np.float32), [r.lang for r in rows])
 
