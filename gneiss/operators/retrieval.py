@@ -1,7 +1,6 @@
 """Sparse and dense retrieval over all documents or over what is visible to each query.
 
-Everything goes from terms: only terms of queries are followed, and documents meet queries on a term. Scores are
-rounded to six digits and equal ones ranked by key, so that ranks do not depend on partitioning.
+Scores are rounded to six digits and equal ones ranked by key, so that ranks do not depend on partitioning.
 """
 
 from __future__ import annotations
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as T
+from gneiss.operators import sparse
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -27,75 +27,28 @@ def document_frequency(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def bm25_weight(tf: Column, n_docs: Column, df: Column, length: Column, avg_len: Column, k1: float = 1.8, b: float = 0.75) -> Column:
-    idf = F.log((n_docs - df + 0.5) / (df + 0.5) + 1)
-    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg_len))
-
-
 def ranked(scores: DataFrame, by: list[str], id_col: str, k: int, score: str = "score") -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), F.col(id_col)))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def pad_with_zeros(scores: DataFrame, queries: DataFrame, docs: DataFrame, qid: str, id_col: str, k: int) -> DataFrame:
-    """Adds documents without a shared term, score 0, to queries that have fewer than ``k``. The ``k`` smallest keys
-    that a query lacks are among the first ``2 k`` keys, so no query meets all documents."""
-    have = scores.groupBy(qid).agg(F.count("*").alias("n"))
-    lack = queries.select(qid).distinct().join(have, qid, "left").where(F.coalesce("n", F.lit(0)) < k).select(qid)
-    first = docs.select(id_col).distinct().orderBy(id_col).limit(2 * k)
-    pad = lack.crossJoin(F.broadcast(first)).join(scores.select(qid, id_col), [qid, id_col], "left_anti")
-    return scores.unionByName(pad.withColumn("score", F.lit(0.0)))
-
-
 def bm25_topk(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", qid: str = "item_id", qtext: str = "text", k: int = 20) -> DataFrame:
     """(qid, rank, id, score): BM25 over all documents; query terms count as often as they occur."""
-    q = queries.select(qid, F.explode(T.tokens(F.col(qtext))).alias("term")).groupBy(qid, "term").agg(F.count("*").alias("qtf"))
-    tf = term_counts(docs, id_col, text_col).join(q.select("term").distinct(), "term", "left_semi")
-    hits = tf.join(document_frequency(tf), "term").join(q, "term").crossJoin(F.broadcast(corpus_size(docs, text_col)))
-    w = F.col("qtf") * bm25_weight(F.col("tf"), F.col("n_docs"), F.col("df"), F.col("len"), F.col("avg_len"))
-    scores = hits.groupBy(qid, id_col).agg(F.round(F.sum(w), 6).alias("score"))
-    return ranked(pad_with_zeros(scores, queries, docs, qid, id_col, k), [qid], id_col, k).select(qid, "rank", id_col, "score")
+    best = sparse.best_of(docs, queries, "bm25", id_col, text_col, qid, qtext, k)
+    return ranked(best, ["qid"], "id", k).select(F.col("qid").alias(qid), "rank", F.col("id").alias(id_col), "score")
 
 
 def tfidf_topk(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", qid: str = "item_id", qtext: str = "text", k: int = 20) -> DataFrame:
     """(qid, rank, id, score): unnormalised TF-IDF product over distinct query terms."""
-    q = queries.select(qid, F.explode(T.tokens(F.col(qtext))).alias("term")).groupBy(qid, "term").agg(F.count("*").alias("f"))
-    q = q.withColumn("qtf", 0.5 + 0.5 * F.col("f") / F.max("f").over(Window.partitionBy(qid)))
-    tf = term_counts(docs, id_col, text_col).join(q.select("term").distinct(), "term", "left_semi")
-    hits = tf.join(document_frequency(tf), "term").join(q, "term").crossJoin(F.broadcast(docs.agg(F.count("*").alias("n_docs"))))
-    idf = F.log(F.col("n_docs") / F.col("df"))
-    scores = hits.groupBy(qid, id_col).agg(F.round(F.sum(F.col("qtf") * F.col("tf") / F.col("len") * idf * idf), 6).alias("score"))
-    return ranked(pad_with_zeros(scores, queries, docs, qid, id_col, k), [qid], id_col, k).select(qid, "rank", id_col, "score")
+    best = sparse.best_of(docs, queries, "tfidf", id_col, text_col, qid, qtext, k)
+    return ranked(best, ["qid"], "id", k).select(F.col("qid").alias(qid), "rank", F.col("id").alias(id_col), "score")
 
 
 def visible_topk(docs: DataFrame, queries: DataFrame, kind: str = "bm25", id_col: str = "doc_id", text_col: str = "text", file_col: str = "source", line_col: str = "line", qid: str = "query_id", qtext: str = "query", k: int = 5) -> DataFrame:
     """(qid, rank, id, score) over the documents of the query's file on earlier lines, with statistics of just these.
-
-    Number, length and document frequencies of a visible set are running sums over the lines of its file, so they
-    are looked up at the query's line instead of being counted for each query.
-    """
-    line = Window.partitionBy("file").orderBy("line").rangeBetween(Window.unboundedPreceding, -1)
-    d = docs.select(F.col(id_col), F.col(file_col).alias("file"), F.col(line_col).alias("line"), T.tokens(F.col(text_col)).alias("t"))
-    q = queries.select(F.col(qid), F.col(file_col).alias("file"), F.col(line_col).alias("line"), T.tokens(F.col(qtext)).alias("t"))
-    sizes = d.select("file", "line", F.lit(1).alias("one"), F.size("t").alias("len"), F.lit(None).cast(q.schema[qid].dataType).alias(qid))
-    asks = q.select("file", "line", F.lit(0).alias("one"), F.lit(0).alias("len"), qid)
-    seen = sizes.unionByName(asks).select(qid, F.sum("one").over(line).alias("n_docs"), F.sum("len").over(line).alias("all_len")).where(F.col(qid).isNotNull())
-    qt = q.select(qid, "file", "line", F.explode("t").alias("term")).groupBy(qid, "file", "line", "term").agg(F.count("*").alias("f"))
-    terms = d.select(id_col, "file", "line", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy(id_col, "file", "line", "len", "term").agg(F.count("*").alias("tf"))
-    terms = terms.join(qt.select("file", "term").distinct(), ["file", "term"], "left_semi")
-    by_term = Window.partitionBy("file", "term").orderBy("line").rangeBetween(Window.unboundedPreceding, -1)
-    marks = terms.select("file", "term", "line", F.lit(1).alias("one"), F.lit(None).cast(q.schema[qid].dataType).alias(qid)).unionByName(qt.select("file", "term", "line", F.lit(0).alias("one"), qid))
-    df = marks.select(qid, "term", F.sum("one").over(by_term).alias("df")).where(F.col(qid).isNotNull())
-    hits = qt.withColumnRenamed("line", "at").join(terms, ["file", "term"]).where("line < at").join(df, [qid, "term"]).join(seen, qid)
-    if kind == "bm25":
-        w = F.col("f") * bm25_weight(F.col("tf"), F.col("n_docs"), F.col("df"), F.col("len"), F.col("all_len") / F.col("n_docs"))
-    else:
-        top = qt.groupBy(qid).agg(F.max("f").alias("top"))
-        hits = hits.join(top, qid)
-        idf = F.log(F.col("n_docs") / F.col("df"))
-        w = (0.5 + 0.5 * F.col("f") / F.col("top")) * F.col("tf") / F.col("len") * idf * idf
-    scores = hits.groupBy(qid, id_col).agg(F.round(F.sum(w), 6).alias("score"))
-    return ranked(scores, [qid], id_col, k).select(qid, "rank", id_col, "score")
+    Every visible document is ranked, those without a shared term with score 0."""
+    best = sparse.best_of(docs, queries, kind, id_col, text_col, qid, qtext, k, file_col, line_col)
+    return ranked(best, ["qid"], "id", k).select(F.col("qid").alias(qid), "rank", F.col("id").alias(id_col), "score")
 
 
 def cut_at_group(ranks: DataFrame, by: list[str], group: list[str], k: int) -> DataFrame:

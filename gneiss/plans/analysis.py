@@ -262,7 +262,7 @@ def unknown_token_counts(spark, sf_dir):
 
 def hit_rows(spark, sf_dir):
     ranks = bm25_topk(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=200)
-    good = table(spark, sf_dir, "labels").where("quality = 1 AND doc_id % 8 = 0").select((F.floor(F.col("doc_id") / 25) % 40).alias("item_id"), "doc_id").distinct()
+    good = table(spark, sf_dir, "labels").where("quality = 1").select((F.floor(F.col("doc_id") / 25) % 40).alias("item_id"), "doc_id").distinct()
     good = good.join(table(spark, sf_dir, "benchmark").select("item_id"), "item_id", "left_semi")
     return S.hits(ranks, good, "item_id", "doc_id")
 
@@ -273,7 +273,7 @@ HITS = f"""WITH {STATS}, qf AS (SELECT item_id, term, count(*) AS f FROM q GROUP
 s AS (SELECT item_id, doc_id, round(sum(f * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.8 / (tf + 1.8 * (0.25 + 0.75 * len / a))), 6) AS score FROM qf JOIN tf USING (term) JOIN df USING (term), n GROUP BY ALL),
 p AS (SELECT b.item_id, d.doc_id, coalesce(score, 0.0) AS score FROM (SELECT DISTINCT item_id FROM benchmark) b CROSS JOIN documents d LEFT JOIN s USING (item_id, doc_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM p),
-g AS (SELECT DISTINCT (doc_id // 25) % 40 AS item_id, doc_id FROM labels WHERE quality = 1 AND doc_id % 8 = 0 AND (doc_id // 25) % 40 IN (SELECT item_id FROM benchmark)),
+g AS (SELECT DISTINCT (doc_id // 25) % 40 AS item_id, doc_id FROM labels WHERE quality = 1 AND (doc_id // 25) % 40 IN (SELECT item_id FROM benchmark)),
 h AS (SELECT g.item_id, count(*) AS num_premises, coalesce(list_sort(list(rank) FILTER (WHERE rank <= 200)), []) AS hits_on FROM g JOIN r USING (item_id, doc_id) GROUP BY g.item_id)"""
 
 

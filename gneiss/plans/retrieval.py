@@ -67,7 +67,7 @@ def tfidf_topk(spark, sf_dir):
 
 VISIBLE = f"""
 d AS (SELECT doc_id, source, {TOKENS} AS t FROM documents),
-q AS (SELECT doc_id AS query_id, source, regexp_extract_all(substr(text, 1, 80), '{T.TOKEN}') AS t FROM documents WHERE doc_id % 7 = 0),
+q AS (SELECT doc_id AS query_id, source, {TOKENS} AS t FROM documents WHERE doc_id % 50 = 0),
 v AS (SELECT query_id, d.doc_id, d.t, q.t AS qt FROM q JOIN d ON d.source = q.source AND d.doc_id < q.query_id),
 n AS (SELECT query_id, count(*) AS n, sum(len(t)) / count(*) AS a FROM v GROUP BY ALL),
 tf AS (SELECT query_id, doc_id, term, any_value(len) AS len, count(*) AS tf FROM (SELECT query_id, doc_id, len(t) AS len, unnest(t) AS term FROM v) GROUP BY ALL),
@@ -75,14 +75,15 @@ df AS (SELECT query_id, term, count(*) AS df FROM tf GROUP BY ALL),
 qf AS (SELECT query_id, term, count(*) AS f FROM (SELECT query_id, unnest(t) AS term FROM q) GROUP BY ALL),
 """
 VISIBLE_TOP = """
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+p AS (SELECT query_id, doc_id, coalesce(score, 0.0) AS score FROM v LEFT JOIN s USING (query_id, doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM p)
 SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 5
 """
 
 
 def visible(spark, sf_dir, kind):
     docs = table(spark, sf_dir, "documents").withColumn("line", F.col("doc_id"))
-    asks = docs.where("doc_id % 7 = 0").select(F.col("doc_id").alias("query_id"), "source", "line", F.substring("text", 1, 80).alias("query"))
+    asks = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "source", "line", F.col("text").alias("query"))
     return R.visible_topk(docs, asks, kind)
 
 
@@ -108,14 +109,14 @@ def step_ranks(spark, sf_dir):
     """Steps of earlier proofs (conversations) with the same opening role, for the first step of each proof."""
     c = table(spark, sf_dir, "conversations").withColumn("step_id", F.col("conv_id") * 1000 + F.col("turn"))
     steps = c.select("step_id", F.lit("all").alias("file"), F.col("conv_id").alias("line"), "text")
-    asks = c.where("turn = 0").select(F.col("conv_id").alias("query_id"), F.lit("all").alias("file"), F.col("conv_id").alias("line"), F.substring("text", 1, 120).alias("query"))
+    asks = c.where("turn = 0").select(F.col("conv_id").alias("query_id"), F.lit("all").alias("file"), F.col("conv_id").alias("line"), F.col("text").alias("query"))
     ranks = R.visible_topk(steps, asks, "bm25", "step_id", "text", "file", "line", k=40)
     return ranks.withColumns({"proof": F.floor(F.col("step_id") / 1000).cast("long"), "step": (F.col("step_id") % 1000).cast("long")})
 
 
 STEPS = f"""
 c AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '{T.TOKEN}') AS t FROM conversations),
-q AS (SELECT conv_id AS query_id, regexp_extract_all(substr(text, 1, 120), '{T.TOKEN}') AS t FROM conversations WHERE turn = 0),
+q AS (SELECT conv_id AS query_id, regexp_extract_all(coalesce(text, ''), '{T.TOKEN}') AS t FROM conversations WHERE turn = 0),
 v AS (SELECT query_id, conv_id, turn, c.t FROM q JOIN c ON c.conv_id < q.query_id),
 n AS (SELECT query_id, count(*) AS n, sum(len(t)) / count(*) AS a FROM v GROUP BY ALL),
 tf AS (SELECT query_id, conv_id, turn, term, any_value(len) AS len, count(*) AS tf FROM (SELECT query_id, conv_id, turn, len(t) AS len, unnest(t) AS term FROM v) GROUP BY ALL),
@@ -123,7 +124,8 @@ df AS (SELECT query_id, term, count(*) AS df FROM tf GROUP BY ALL),
 qf AS (SELECT query_id, term, count(*) AS f FROM (SELECT query_id, unnest(t) AS term FROM q) GROUP BY ALL),
 s AS (SELECT query_id, conv_id, turn, round(sum(f * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.8 / (tf + 1.8 * (0.25 + 0.75 * len / a))), 6) AS score
       FROM qf JOIN tf USING (query_id, term) JOIN df USING (query_id, term) JOIN n USING (query_id) GROUP BY ALL),
-r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, conv_id, turn) AS rank FROM s) WHERE rank <= 40)
+p AS (SELECT query_id, conv_id, turn, coalesce(score, 0.0) AS score FROM v LEFT JOIN s USING (query_id, conv_id, turn)),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, conv_id, turn) AS rank FROM p) WHERE rank <= 40)
 """
 
 
@@ -201,13 +203,13 @@ DOT = "list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embed
 
 @query(
     "dense_topk",
-    f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, round({DOT}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 25 = 0),
+    f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, round({DOT}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
     SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5""",
 )
 def dense_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return R.dense_topk(e, e.where("vec_id % 25 = 0"))
+    return R.dense_topk(e, e.where("vec_id % 50 = 0"))
 
 
 @query(
@@ -248,14 +250,14 @@ def vector_pages(spark, sf_dir):
 
 @query(
     "rerank_two_stage",
-    f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, round({DOT}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 25 = 0),
+    f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, round({DOT}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s),
     t AS (SELECT *, (label * 37 + vec_id * 11) % 101 AS rs FROM r WHERE rank <= 10)
     SELECT query_id, rank::INTEGER AS rank, vec_id, rs::DOUBLE AS rerank_score, (row_number() OVER (PARTITION BY query_id ORDER BY rs DESC, vec_id))::INTEGER AS rerank FROM t""",
 )
 def rerank_two_stage(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    ranks = R.dense_topk(e, e.where("vec_id % 25 = 0"), k=10).join(e.select("vec_id", "label"), "vec_id")
+    ranks = R.dense_topk(e, e.where("vec_id % 50 = 0"), k=10).join(e.select("vec_id", "label"), "vec_id")
     score = ((F.col("label") * 37 + F.col("vec_id") * 11) % 101).cast("double")
     return R.rerank(ranks, ["query_id"], "vec_id", score, 10).select("query_id", "rank", "vec_id", "rerank_score", "rerank")
 
