@@ -3,32 +3,39 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+MARK = re.compile(r'\(\*|\*\)|"')
+
+
 def strip_comments(s: str) -> str:
-    """Text outside ``(* ... *)``, which nest; quotes are looked through, so marks inside them do not count."""
-    out, depth, quoted, i = [], 0, False, 0
-    while i < len(s):
-        two = s[i : i + 2]
-        if quoted:
-            quoted = not (s[i] == '"' and s[i - 1] != "\\")
-        elif two == "(*":
+    """Text outside ``(* ... *)``, which nest; quotes are looked through, so marks inside them do not count. A quote
+    after a backslash is none. Goes from mark to mark, not from character to character."""
+    out, depth, quoted, kept, at = [], 0, False, 0, 0
+    while m := MARK.search(s, at):
+        i, at = m.start(), m.end()
+        if m.group() == '"':
+            if i == 0 or s[i - 1] != "\\":
+                quoted = not quoted
+        elif quoted:
+            at = i + 1
+        elif m.group() == "(*":
+            if not depth:
+                out.append(s[kept:i])
             depth += 1
-            i += 2
-            continue
-        elif two == "*)" and depth:
+            kept = at
+        elif depth:
             depth -= 1
-            i += 2
-            continue
-        elif s[i] == '"':
-            quoted = i == 0 or s[i - 1] != "\\"
-        if not depth:
-            out.append(s[i])
-        i += 1
+            kept = at
+        else:
+            at = i + 1
+    if not depth:
+        out.append(s[kept:])
     return "".join(out)
 
 
@@ -83,3 +90,15 @@ def cover(needed: list, given: list, match) -> bool:
         return False
 
     return all(place(i, set()) for i in range(len(needed)))
+
+
+@F.pandas_udf(T.BooleanType())
+def covers(needed: pd.Series, given: pd.Series) -> pd.Series:
+    """``cover`` by equality, on JSON lists."""
+    return pd.Series([None if None in (n, g) else cover(json.loads(n), json.loads(g), lambda a, b: a == b) for n, g in zip(needed, given, strict=True)], dtype="object")
+
+
+@F.pandas_udf(T.StringType())
+def unlocated(tree: pd.Series) -> pd.Series:
+    """``without_locations`` on JSON."""
+    return tree.map(lambda x: None if x is None else json.dumps(without_locations(json.loads(x)), separators=(",", ":"), ensure_ascii=False))

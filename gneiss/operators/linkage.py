@@ -75,3 +75,16 @@ def classify(candidates: Column, in_range: Column, same: Column) -> Column:
         .when(same > 1, "ambiguous text")
         .otherwise("ambiguous range")
     )
+
+
+def containments(names: DataFrame, group: str, name: str, size: int = 3) -> DataFrame:
+    """(group, t, u): each distinct name t with each name u of its group that it holds, itself included. Both sides
+    meet on the first ``size`` characters of u; shorter names, which are few distinct ones, meet on all they have."""
+    n = names.select(F.col(group).alias("_g"), F.col(name).alias("_t")).distinct()
+    small = F.col("_t").alias("_u")
+    lengths = F.sequence(F.lit(0), F.least(F.length("_t"), F.lit(size)))
+    begins = n.select("_g", small, F.substring("_t", 1, size).alias("_k"))
+    pieces = F.flatten(F.transform(lengths, lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_t") - k + 1, F.lit(1))), lambda i: F.substring("_t", i, k))))
+    inside = n.select("_g", "_t", F.explode(F.array_distinct(pieces)).alias("_k"))
+    met = inside.join(begins, ["_g", "_k"]).where(F.col("_t").contains(F.col("_u")))
+    return met.select(F.col("_g").alias(group), F.col("_t").alias("t"), F.col("_u").alias("u"))

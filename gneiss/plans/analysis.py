@@ -88,9 +88,9 @@ def mutual_keys(spark, sf_dir):
     return E.mutual(k, ["user_id"], "system", n)
 
 
-@query("nonduplicate_keys", "SELECT user_id, event_type AS system FROM events WHERE event_id % 9 = 0 GROUP BY ALL HAVING count(*) = 1")
+@query("nonduplicate_keys", "SELECT user_id, event_type AS system FROM events GROUP BY ALL HAVING count(*) = 1")
 def nonduplicate_keys(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 9 = 0")
+    e = table(spark, sf_dir, "events")
     return e.groupBy("user_id", F.col("event_type").alias("system")).agg(F.count("*").alias("n")).where("n = 1").drop("n")
 
 

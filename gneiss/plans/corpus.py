@@ -72,14 +72,14 @@ def premise_filter(spark, sf_dir):
 @query(
     "in_out_file_partition",
     """WITH p AS (SELECT DISTINCT 'a/' || source || '.v' AS path, text FROM documents),
-    f AS (SELECT DISTINCT '../' || source || '.v' AS file FROM documents WHERE doc_id % 3 = 0)
+    f AS (SELECT DISTINCT '../' || source || '.v' AS file FROM documents)
     SELECT file, count(*) FILTER (WHERE ends_with(path, substr(file, 4))) AS in_file, count(*) FILTER (WHERE NOT ends_with(path, substr(file, 4))) AS out_of_file FROM f CROSS JOIN p GROUP BY ALL""",
 )
 def in_out_file_partition(spark, sf_dir):
     """Counts per file: paths are matched once per distinct pair of paths, premises are counted per path before."""
     d = docs(spark, sf_dir)
     p = d.select(F.concat(F.lit("a/"), "source", F.lit(".v")).alias("path"), "text").distinct().groupBy("path").agg(F.count("*").alias("n"))
-    f = d.where("doc_id % 3 = 0").select(F.concat(F.lit("../"), "source", F.lit(".v")).alias("file")).distinct()
+    f = d.select(F.concat(F.lit("../"), "source", F.lit(".v")).alias("file")).distinct()
     same = T.same_file(F.col("path"), F.col("file"))
     own = f.join(p.withColumn("end", F.element_at(F.split("path", "/", -1), -1)), F.element_at(F.split("file", "/", -1), -1) == F.col("end")).where(same).groupBy("file").agg(F.sum("n").alias("in_file"))
     total = p.agg(F.sum("n").alias("total"))
@@ -98,15 +98,16 @@ def visible_counts(spark, sf_dir):
 
 @query(
     "positive_premises",
-    """SELECT d.doc_id AS step_id, p.doc_id AS premise_id FROM documents d JOIN documents p ON p.source = d.source AND p.doc_id < d.doc_id AND p.doc_id >= d.doc_id - 60
-    JOIN labels l ON l.doc_id = p.doc_id AND l.quality = 1 WHERE d.doc_id % 5 = 0""",
+    """SELECT d.doc_id AS step_id, p.doc_id AS premise_id FROM documents d JOIN documents p ON p.source = d.source AND p.doc_id < d.doc_id AND p.lang = d.lang
+    WHERE p.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)""",
 )
 def positive_premises(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", "source")
+    """Each step with the earlier premises of its file that it uses (here those of good quality in its language):
+    the rows asked for are these pairs."""
+    d = docs(spark, sf_dir).select("doc_id", "source", "lang")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
-    p = d.join(good, "doc_id", "left_semi").select(F.col("doc_id").alias("premise_id"), "source", F.floor(F.col("doc_id") / 60).alias("b"))
-    s = d.where("doc_id % 5 = 0").select(F.col("doc_id").alias("step_id"), "source").withColumn("b", F.explode(F.array(F.floor(F.col("step_id") / 60), F.floor(F.col("step_id") / 60) - 1)))
-    return s.join(p, ["source", "b"]).where("premise_id < step_id AND premise_id >= step_id - 60").select("step_id", "premise_id")
+    p = d.join(good, "doc_id", "left_semi").withColumnRenamed("doc_id", "premise_id")
+    return d.withColumnRenamed("doc_id", "step_id").join(p, ["source", "lang"]).where("premise_id < step_id").select("step_id", "premise_id")
 
 
 @query(
@@ -195,13 +196,13 @@ def split_lookup(spark, sf_dir):
 
 @query(
     "shuffled_step_index",
-    """WITH s AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY md5('idx:' || conv_id || ':' || turn)) - 1 AS pos FROM conversations)
-    SELECT role, pos::INTEGER AS pos, conv_id, turn FROM s""",
+    """SELECT row_number() OVER (ORDER BY role, md5('idx:' || conv_id || ':' || turn), conv_id, turn) AS pos, role, conv_id, turn FROM conversations""",
 )
 def shuffled_step_index(spark, sf_dir):
+    """Steps of each role in shuffled order, one index over all; places are given out by ranges."""
     key = C.hash_order("idx", F.col("conv_id"), F.col("turn"))
-    pos = F.row_number().over(Window.partitionBy("role").orderBy(key)) - 1
-    return table(spark, sf_dir, "conversations").select("role", pos.alias("pos"), "conv_id", "turn")
+    c = table(spark, sf_dir, "conversations").select("role", "conv_id", "turn", F.struct("role", key, "conv_id", "turn").alias("k"))
+    return C.intern(c, ["role", "conv_id", "turn"], "k").select(F.col("db_idx").alias("pos"), "role", "conv_id", "turn")
 
 
 @query(
@@ -241,10 +242,10 @@ def unique_files(spark, sf_dir):
     return docs(spark, sf_dir).select("source", "lang").distinct()
 
 
-@query("union_keep_first", "SELECT doc_id, min(o) AS origin FROM (SELECT doc_id, 1 AS o FROM labels UNION ALL SELECT doc_id, 2 FROM documents WHERE doc_id < 500) GROUP BY doc_id")
+@query("union_keep_first", "SELECT doc_id, min(o) AS origin FROM (SELECT doc_id, 1 AS o FROM labels UNION ALL SELECT doc_id, 2 FROM documents) GROUP BY doc_id")
 def union_keep_first(spark, sf_dir):
     a = table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("origin"))
-    b = docs(spark, sf_dir).where("doc_id < 500").select("doc_id", F.lit(2).alias("origin"))
+    b = docs(spark, sf_dir).select("doc_id", F.lit(2).alias("origin"))
     return C.keep_first(a.unionByName(b), ["doc_id"], ["origin"])
 
 

@@ -10,47 +10,47 @@ from gneiss.registry import CHOICES, choose, query, table
 
 CONV = """
 c AS (SELECT conv_id, turn, text, conv_id % 20 AS src, coalesce(string_agg(text, '') OVER w, '') AS script,
-      string_agg(substr(text, 1, 40), chr(10) || '[GOAL]' || chr(10)) OVER r AS state, string_agg(text, '|') OVER f AS rest
+      string_agg(text, chr(10) || '[GOAL]' || chr(10)) OVER r AS state, string_agg(text, '|') OVER f AS rest
       FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
       r AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), f AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-p AS (SELECT src, string_agg(head, chr(10) ORDER BY rank DESC) AS premises FROM (SELECT doc_id % 20 AS src, substr(text, 1, 60) AS head, row_number() OVER (PARTITION BY doc_id % 20 ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 4 GROUP BY src),
-q AS (SELECT src, string_agg(head, chr(10) ORDER BY rank DESC) AS proofs FROM (SELECT item_id % 20 AS src, substr(text, 1, 50) AS head, row_number() OVER (PARTITION BY item_id % 20 ORDER BY item_id) AS rank FROM benchmark) WHERE rank <= 2 GROUP BY src),
+p AS (SELECT src, string_agg(head, chr(10) ORDER BY rank DESC) AS premises FROM (SELECT doc_id % 20 AS src, text AS head, row_number() OVER (PARTITION BY doc_id % 20 ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 4 GROUP BY src),
+q AS (SELECT src, string_agg(head, chr(10) ORDER BY rank DESC) AS proofs FROM (SELECT item_id % 20 AS src, text AS head, row_number() OVER (PARTITION BY item_id % 20 ORDER BY item_id) AS rank FROM benchmark) WHERE rank <= 2 GROUP BY src),
 x AS (SELECT c.*, coalesce(premises, '') AS premises, coalesce(proofs, '') AS proofs FROM c LEFT JOIN p USING (src) LEFT JOIN q USING (src))
 """
 N = "chr(10)"
 SQL_STATE = f"{N} || '[STATE]' || {N} || state"
-SQL_SCRIPT = f"{N} || '[SCRIPT]' || {N} || right(script, 200)"
+SQL_SCRIPT = f"{N} || '[SCRIPT]' || {N} || script"
 SQL_PREM = f"{N} || '[PREMISES]' || {N} || premises"
 SQL_PROOF = f"{N} || '[PROOFS]' || {N} || proofs"
-SQL_END = f"{N} || '[TACTIC]' || {N} || left(text, 30)"
+SQL_END = f"{N} || '[TACTIC]' || {N} || text"
 
 
 def lm(spark, sf_dir):
     from pyspark.sql import Window
 
     c = table(spark, sf_dir, "conversations")
-    goals = F.collect_list(F.substring("text", 1, 40)).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-1, 0))
+    goals = F.collect_list("text").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-1, 0))
     c = c.select("conv_id", "turn", "text", (F.col("conv_id") % 20).alias("src"), S.prefix(F.col("text"), ["conv_id"], ["turn"]).alias("script"), F.array_join(goals, E.GOAL_SEPARATOR).alias("state"), S.remaining(F.col("text"), ["conv_id"], ["turn"]).alias("next_steps"))
 
-    def top(name, key, head, order, k):
+    def top(name, key, order, k):
         from gneiss.operators.retrieval import ranked
 
-        d = table(spark, sf_dir, name).select((F.col(key) % 20).alias("src"), F.substring("text", 1, head).alias("head"), order.alias("score"), key)
+        d = table(spark, sf_dir, name).select((F.col(key) % 20).alias("src"), F.col("text").alias("head"), order.alias("score"), key)
         rows = ranked(d, ["src"], key, k).groupBy("src").agg(F.sort_array(F.collect_list(F.struct("rank", "head"))).alias("r"))
         return rows.select("src", F.transform("r", lambda x: x["head"]).alias(name))
 
-    docs = top("documents", "doc_id", 60, F.col("n_chars"), 4).withColumnRenamed("documents", "premises")
-    proofs = top("benchmark", "item_id", 50, F.lit(0), 2).withColumnRenamed("benchmark", "proofs")
+    docs = top("documents", "doc_id", F.col("n_chars"), 4).withColumnRenamed("documents", "premises")
+    proofs = top("benchmark", "item_id", F.lit(0), 2).withColumnRenamed("benchmark", "proofs")
     none = F.array().cast("array<string>")
     return c.join(docs, "src", "left").join(proofs, "src", "left").withColumns({"premises": F.coalesce("premises", none), "proofs": F.coalesce("proofs", none)})
 
 
 @query(
     "lm_examples",
-    f"WITH {CONV} SELECT conv_id, turn, md5(script) AS script_md5, state, md5(rest) AS next_md5, premises, proofs FROM x",
+    f"WITH {CONV} SELECT conv_id, turn, md5(script) AS script_md5, md5(state) AS state_md5, md5(rest) AS next_md5, md5(premises) AS premises_md5, md5(proofs) AS proofs_md5 FROM x",
 )
 def lm_examples(spark, sf_dir):
-    return lm(spark, sf_dir).select("conv_id", "turn", F.md5("script").alias("script_md5"), "state", F.md5(F.array_join("next_steps", "|")).alias("next_md5"), E.best_last(F.col("premises")).alias("premises"), E.best_last(F.col("proofs")).alias("proofs"))
+    return lm(spark, sf_dir).select("conv_id", "turn", F.md5("script").alias("script_md5"), F.md5("state").alias("state_md5"), F.md5(F.array_join("next_steps", "|")).alias("next_md5"), F.md5(E.best_last(F.col("premises"))).alias("premises_md5"), F.md5(E.best_last(F.col("proofs"))).alias("proofs_md5"))
 
 
 FORMS = {
@@ -65,25 +65,25 @@ FORMS = {
 def prompt(alias):
     def run(spark, sf_dir):
         d = lm(spark, sf_dir)
-        text = choose("collator", alias)(F.col("state"), F.right("script", F.lit(200)), F.col("premises"), F.col("proofs"))
-        return d.select("conv_id", "turn", F.concat(text, F.left(F.get("next_steps", F.lit(0)), F.lit(30))).alias("prompt"))
+        text = choose("collator", alias)(F.col("state"), F.col("script"), F.col("premises"), F.col("proofs"))
+        return d.select("conv_id", "turn", F.md5(F.concat(text, F.get("next_steps", F.lit(0)))).alias("prompt_md5"))
 
     return run
 
 
 for alias in CHOICES["collator"]:
-    query(f"prompt_collate_{alias.replace('-', '_')}", f"WITH {CONV} SELECT conv_id, turn, {FORMS[alias]} AS prompt FROM x")(prompt(alias))
+    query(f"prompt_collate_{alias.replace('-', '_')}", f"WITH {CONV} SELECT conv_id, turn, md5({FORMS[alias]}) AS prompt_md5 FROM x")(prompt(alias))
 
 
 @query(
     "context_format",
-    """WITH g AS (SELECT conv_id, string_agg('Goal ' || (turn + 1) || ':' || chr(10) || substr(text, 1, 30), chr(10) || chr(10) ORDER BY turn) AS goals, arg_min(text, turn) AS first FROM conversations GROUP BY conv_id)
-    SELECT conv_id, substr(first, 1, 20) || chr(10) || chr(10) || goals AS context FROM g""",
+    """WITH g AS (SELECT conv_id, string_agg('Goal ' || (turn + 1) || ':' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS goals, arg_min(text, turn) AS first FROM conversations GROUP BY conv_id)
+    SELECT conv_id, first || chr(10) || chr(10) || goals AS context FROM g""",
 )
 def context_format(spark, sf_dir):
     rows = F.sort_array(F.collect_list(F.struct("turn", "text")))
     g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(rows.alias("r"))
-    return g.select("conv_id", E.context(F.substring(F.get("r", F.lit(0))["text"], 1, 20), F.transform("r", lambda x: F.substring(x["text"], 1, 30))).alias("context"))
+    return g.select("conv_id", E.context(F.get("r", F.lit(0))["text"], F.transform("r", lambda x: x["text"])).alias("context"))
 
 
 def labelled(spark, sf_dir):
@@ -160,28 +160,28 @@ def contrastive_labels(spark, sf_dir):
     return a.join(b, "batch").select("item_id", "positive", "premise", (F.col("item_id") == F.col("other")).alias("label"))
 
 
-@query("rerank_pair_text", f"SELECT d.doc_id, left(d.text, 50) || {N} || '[SEP]' || {N} || left(b.text, 50) AS pair FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40")
+@query("rerank_pair_text", f"SELECT d.doc_id, md5(d.text || {N} || '[SEP]' || {N} || b.text) AS pair_md5 FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40")
 def rerank_pair_text(spark, sf_dir):
-    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(50)).alias("context"))
-    return d.join(b, F.col("item_id") == F.col("doc_id") % 40).select("doc_id", F.concat(F.left("text", F.lit(50)), F.lit(E.PAIR_SEPARATOR), "context").alias("pair"))
+    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("context"))
+    return d.join(b, F.col("item_id") == F.col("doc_id") % 40).select("doc_id", F.md5(F.concat("text", F.lit(E.PAIR_SEPARATOR), "context")).alias("pair_md5"))
 
 
 @query(
     "join_best_last",
-    "SELECT source, string_agg(left(text, 20), chr(10) ORDER BY rank DESC) AS passages FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents) WHERE rank <= 5 GROUP BY source",
+    "SELECT source, string_agg(text, chr(10) ORDER BY rank DESC) AS passages FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents) WHERE rank <= 5 GROUP BY source",
 )
 def join_best_last(spark, sf_dir):
     from gneiss.operators.retrieval import ranked
 
     d = ranked(table(spark, sf_dir, "documents").withColumn("score", F.lit(0)), ["source"], "doc_id", 5)
-    return d.groupBy("source").agg(E.best_last(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.left("text", F.lit(20)).alias("t")))), lambda x: x["t"])).alias("passages"))
+    return d.groupBy("source").agg(E.best_last(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.col("text").alias("t")))), lambda x: x["t"])).alias("passages"))
 
 
 @query(
     "human_baseline",
     f"""WITH l AS (SELECT conv_id, arg_max(text, turn) AS last, count(*) AS n FROM conversations GROUP BY ALL)
-    SELECT conv_id, n AS n_steps, conv_id // 10 AS n_available FROM l WHERE conv_id % 2 = 0 AND NOT contains(last, 'Defined')""",
+    SELECT conv_id, n AS n_steps, conv_id // 10 AS n_available FROM l WHERE NOT contains(last, 'Defined')""",
 )
 def human_baseline(spark, sf_dir):
-    last = table(spark, sf_dir, "conversations").where("conv_id % 2 = 0").groupBy("conv_id").agg(F.max_by("text", "turn").alias("last"), F.count("*").alias("n_steps"))
+    last = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("last"), F.count("*").alias("n_steps"))
     return last.where(~F.col("last").contains("Defined")).select("conv_id", "n_steps", F.floor(F.col("conv_id") / 10).cast("long").alias("n_available"))

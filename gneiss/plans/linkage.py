@@ -10,14 +10,15 @@ from gneiss.operators import linkage as L
 from gneiss.registry import query, table
 
 FOUND = """
-f AS (SELECT doc_id, substr(text, 1, 400) AS text, substr(text, 3, 2) AS needle FROM documents),
-o AS (SELECT doc_id, unnest(range(0, length(text))) AS spot, text, needle FROM f),
-h AS (SELECT doc_id, spot, text FROM o WHERE length(needle) > 0 AND substr(text, spot + 1, length(needle)) = needle)
+f AS (SELECT doc_id, text, regexp_extract(text, '\\S+') AS needle, string_split(text, '') AS c FROM documents),
+o AS (SELECT doc_id, text, unnest(list_filter(range(0, len(c)), lambda i: c[i + 1] = needle[1] AND c[i + 1:i + length(needle)] = string_split(needle, ''))) AS spot FROM f WHERE needle <> ''),
+h AS (SELECT doc_id, spot, text FROM o)
 """
 
 
 def found(spark, sf_dir):
-    f = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 400).alias("text"), F.substring("text", 3, 2).alias("needle"))
+    """Every place in its document where the document's first word stands."""
+    f = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_extract("text", r"\S+", 0).alias("needle")).where("needle != ''")
     return f.select("doc_id", "text", F.explode(L.occurrences(F.col("text"), F.col("needle"))).alias("spot"))
 
 
@@ -104,14 +105,17 @@ def workspace_of_path(spark, sf_dir):
 
 @query(
     "fuzzy_same_theorem",
-    """WITH d AS (SELECT doc_id, source, substr(text, 1, 12) AS t FROM documents) SELECT a.doc_id, count(*)::INTEGER AS n_same, (count(*) FILTER (WHERE b.doc_id < a.doc_id))::INTEGER AS ordinal FROM d a JOIN d b ON a.source = b.source AND (contains(a.t, b.t) OR contains(b.t, a.t)) GROUP BY a.doc_id""",
+    """WITH d AS (SELECT doc_id, source, regexp_extract(text, '\\S+(\\s+\\S+)?') AS t FROM documents WHERE source IS NOT NULL AND text IS NOT NULL) SELECT a.doc_id, count(*)::INTEGER AS n_same, (count(*) FILTER (WHERE b.doc_id < a.doc_id))::INTEGER AS ordinal FROM d a JOIN d b ON a.source = b.source AND (contains(a.t, b.t) OR contains(b.t, a.t)) GROUP BY a.doc_id""",
 )
 def fuzzy_same_theorem(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.substring("text", 1, 12).alias("t"))
-    g = d.groupBy("source", "t").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
-    o = g.select("source", F.col("t").alias("u"), "ids")
-    j = d.join(o, "source").where(F.col("t").contains(F.col("u")) | F.col("u").contains(F.col("t")))
-    return j.groupBy("doc_id").agg(F.sum(F.size("ids")).cast("int").alias("n_same"), F.sum(F.size(F.filter("ids", lambda i: i < F.col("doc_id")))).cast("int").alias("ordinal"))
+    """Theorems of a file are the same if the name of one (the first two words here) holds the other's. A name holds
+    another only if it holds all its pieces of three characters, so names meet on one such piece and not in a file."""
+    d = table(spark, sf_dir, "documents").where("source IS NOT NULL AND text IS NOT NULL").select("doc_id", "source", F.regexp_extract("text", r"\S+(\s+\S+)?", 0).alias("t"))
+    names = L.containments(d.select("source", "t").distinct(), "source", "t")
+    both = names.unionByName(names.where("t != u").select("source", F.col("u").alias("t"), F.col("t").alias("u"))).distinct()
+    other = d.select("source", F.col("t").alias("u"), F.col("doc_id").alias("other"))
+    j = d.join(both, ["source", "t"]).join(other, ["source", "u"])
+    return j.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_same"), F.count_if(F.col("other") < F.col("doc_id")).cast("int").alias("ordinal"))
 
 
 @query(

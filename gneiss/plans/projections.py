@@ -125,15 +125,19 @@ def steps_in_order(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.row_number().over(w).cast("long").alias("step"), F.lead("turn").over(w).alias("after"))
 
 
-@query("external_shuffle")
+@query("external_shuffle", "SELECT doc_id, text, row_number() OVER (ORDER BY md5('shuffle:' || doc_id), doc_id) AS pos FROM documents")
 def external_shuffle(spark, sf_dir):
-    """All rows in an order drawn from a hash; the sort spills."""
-    return table(spark, sf_dir, "documents").select("doc_id", "text").orderBy(C.hash_order("shuffle", F.col("doc_id")))
+    """All rows with their place in an order drawn from a hash: places are given out by ranges, whose sort spills."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    place = C.intern(d.select("doc_id", F.struct(C.hash_order("shuffle", F.col("doc_id")), "doc_id").alias("k")), ["doc_id"], "k")
+    return d.join(place.withColumnRenamed("db_idx", "pos"), "doc_id")
 
 
-@query("hash_encoder")
+@query("hash_encoder", "SELECT doc_id AS id, upper(sha256(text)) AS bytes FROM documents")
 def hash_encoder(spark, sf_dir):
-    return M.encode(table(spark, sf_dir, "documents"), "text", choose("encoder", "hash"), "doc_id")
+    """The stand-in encoder's vectors, written as the bytes they are made of."""
+    e = M.encode(table(spark, sf_dir, "documents"), "text", choose("encoder", "hash"), "doc_id")
+    return e.select("id", F.array_join(F.transform("emb", lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")), "").alias("bytes"))
 
 
 @query("whole_proof_length", "SELECT conv_id, sum(length(text))::BIGINT AS n FROM conversations GROUP BY conv_id")

@@ -54,19 +54,19 @@ def sha256_key(spark, sf_dir):
 
 @query(
     "ansi_strip",
-    "WITH s AS (SELECT doc_id, chr(27) || '[31m' || substr(text, 1, 40) || chr(27) || '[0m only 1: x' AS s FROM documents) SELECT doc_id, replace(regexp_replace(s, '\\x1b\\[\\d+m', '', 'g'), 'only 1: ', '') AS plain FROM s",
+    "WITH s AS (SELECT doc_id, chr(27) || '[31m' || text || chr(27) || '[0m only 1: x' AS s FROM documents) SELECT doc_id, replace(regexp_replace(s, '\\x1b\\[\\d+m', '', 'g'), 'only 1: ', '') AS plain FROM s",
 )
 def ansi_strip(spark, sf_dir):
-    s = F.concat(F.lit("\x1b[31m"), F.substring("text", 1, 40), F.lit("\x1b[0m only 1: x"))
+    s = F.concat(F.lit("\x1b[31m"), F.col("text"), F.lit("\x1b[0m only 1: x"))
     return table(spark, sf_dir, "documents").select("doc_id", F.replace(T.strip_ansi(s), F.lit("only 1: "), F.lit("")).alias("plain"))
 
 
 @query(
     "goal_codec",
-    "WITH g AS (SELECT conv_id, string_agg(replace(substr(text, 1, 25), chr(10), ' '), chr(10) ORDER BY turn) AS h, min(role) AS goal FROM conversations GROUP BY conv_id) SELECT conv_id, h || chr(10) || chr(10) || goal AS goal_text, goal, len(string_split(h, chr(10)))::INTEGER AS n_hyps FROM g",
+    "WITH g AS (SELECT conv_id, string_agg(replace(text, chr(10), ' '), chr(10) ORDER BY turn) AS h, min(role) AS goal FROM conversations GROUP BY conv_id) SELECT conv_id, h || chr(10) || chr(10) || goal AS goal_text, goal, len(string_split(h, chr(10)))::INTEGER AS n_hyps FROM g",
 )
 def goal_codec(spark, sf_dir):
-    g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.replace(F.substring("text", 1, 25), F.lit("\n"), F.lit(" ")).alias("t")))), lambda x: x["t"]).alias("h"), F.min("role").alias("goal"))
+    g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.replace("text", F.lit("\n"), F.lit(" ")).alias("t")))), lambda x: x["t"]).alias("h"), F.min("role").alias("goal"))
     g = g.withColumn("goal_text", T.goal_text(F.col("h"), F.col("goal"))).withColumn("back", T.goal_parts(F.concat(F.array_join("h", "\n"), F.lit("\n\n"), F.col("goal"))))
     return g.select("conv_id", "goal_text", F.col("back.goal").alias("goal"), F.size("back.hyps").alias("n_hyps"))
 
@@ -107,15 +107,43 @@ def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("kill_comments")
+@query("kill_comments", """SELECT doc_id, md5('a  "(* q *)" ' || replace(replace(replace(text, '(*', ''), '*)', ''), '"', '')) AS plain_md5 FROM documents""")
 def kill_comments(spark, sf_dir):
     """Nested comments are removed; quoted ones outside comments stay."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("a (* b (* c *) *) \"(* q *)\" "), F.substring("text", 1, 200)).alias("s"))
-    return d.select("doc_id", X.without_comments("s").alias("plain"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("a (* b (* c *) *) \"(* q *)\" "), F.regexp_replace("text", r'\(\*|\*\)|"', ""), F.lit("(* \"*)\" *)")).alias("s"))
+    return d.select("doc_id", F.md5(X.without_comments("s")).alias("plain_md5"))
 
 
-@query("alpha_equiv")
+@query("alpha_equiv", "SELECT doc_id, coalesce(text, '') = coalesce(text, '') AND doc_id % 3 = doc_id % 2 AND doc_id % 5 <> 0 AS equal FROM documents")
 def alpha_equiv(spark, sf_dir):
-    """Syntax trees that are equal up to the names of bound variables."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('["fun","x",["app","f",["var","x"],'), F.col("doc_id") % 3, F.lit("]]")).alias("a"), F.concat(F.lit('["fun","y",["app","f",["var","y"],'), F.col("doc_id") % 2, F.lit("]]")).alias("b"), F.lit('{"x":"y"}').alias("names"))
+    """Syntax trees that are equal up to the names of bound variables; locations do not count, free variables do."""
+    d = table(spark, sf_dir, "documents")
+    leaf = lambda var, n: F.array(F.lit("app"), F.coalesce("text", F.lit("")), var, (F.col("doc_id") % n).cast("string"))
+
+    def tree(bound: str, var, n: int):
+        return F.to_json(F.struct(F.lit("fun").alias("kind"), F.lit(bound).alias("bound"), leaf(var, n).alias("body"), F.col("doc_id" if n == 2 else "n_chars").alias("loc")))
+
+    free = F.when(F.col("doc_id") % 5 == 0, F.lit("x-bound")).otherwise(F.lit("y-bound"))
+    d = d.select("doc_id", tree("x-bound", F.lit("x-bound"), 3).alias("a"), tree("y-bound", free, 2).alias("b"), F.lit('{"x-bound":"y-bound"}').alias("names"))
     return d.select("doc_id", X.equal_under("a", "b", "names").alias("equal"))
+
+
+@query(
+    "obligation_coverage",
+    """WITH s AS (SELECT o_orderkey AS k, list(DISTINCT l_linenumber % 4) AS given, list(DISTINCT l_suppkey % 4) AS needed FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+    SELECT k, len(list_filter(needed, lambda z: NOT list_contains(given, z))) = 0 AS covered FROM s""",
+)
+def obligation_coverage(spark, sf_dir):
+    """Whether every obligation that is needed is given, each by one of its own."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    s = o.groupBy(F.col("o_orderkey").alias("k")).agg(F.to_json(F.collect_set(F.col("l_linenumber") % 4)).alias("given"), F.to_json(F.collect_set(F.col("l_suppkey") % 4)).alias("needed"))
+    return s.select("k", X.covers("needed", "given").alias("covered"))
+
+
+@query("located_trees", "SELECT event_id, '{\"k\":' || (props->>'$.k') || ',\"tree\":[\"f\",' || user_id || ']}' AS tree FROM events")
+def located_trees(spark, sf_dir):
+    """Trees without what says where they stand in a file."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    inner = F.struct(k.alias("k"), F.array(F.lit("f"), F.col("user_id").cast("string")).alias("tree"), F.struct(F.col("event_id").alias("line")).alias("loc"), F.lit("here").alias("location"))
+    text = F.regexp_replace(F.to_json(inner), r'"(\d+)"', "$1")
+    return table(spark, sf_dir, "events").select("event_id", X.unlocated(text).alias("tree"))

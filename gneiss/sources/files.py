@@ -19,9 +19,13 @@ LOG = "epoch double, learning_rate double, loss double, step long, eval_loss dou
 SENTENCE_COLUMNS = "db_idx long, text string, file_path string, module string, sentence_type string, line int"
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document file, with its name; the JSON may span lines."""
-    return spark.read.schema(DOCUMENT).json(path, multiLine=True, pathGlobFilter="*.v*", recursiveFileLookup=True).withColumn("dp_name", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+def read_documents(spark: SparkSession, path: str, glob: str = "*.v*") -> DataFrame:
+    """One row per document file, with its name; the JSON may span lines. Below a folder that ``write_documents``
+    wrote (``glob`` of its part files), the name is that of the file's folder."""
+    at = F.col("_metadata.file_path")
+    folder = F.nullif(F.regexp_extract(at, "/dp_name=([^/]+)/", 1), F.lit(""))
+    read = spark.read.schema(DOCUMENT).json(path, multiLine=True, pathGlobFilter=glob, recursiveFileLookup=True)
+    return read.withColumn("dp_name", F.coalesce(folder, F.element_at(F.split(at, "/"), -1)))
 
 
 def file_metadata(documents: DataFrame) -> DataFrame:
@@ -72,10 +76,10 @@ def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
     return d.select(F.posexplode("results").alias("pos", "r")).select("pos", "r.thm.*", "r.proof", "r.time", "r.n_attempts")
 
 
-def read_tool_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_tool_lines(spark: SparkSession, path: str, glob: str = "*proofs.txt") -> DataFrame:
     """JSON lines of a tool: an array of positional metadata and an object with a status."""
     v = F.from_json("value", "array<variant>")
-    d = spark.read.text(path, pathGlobFilter="*proofs.txt", recursiveFileLookup=True).select(v.alias("v"))
+    d = spark.read.text(path, pathGlobFilter=glob, recursiveFileLookup=True).select(v.alias("v"))
     get = lambda k: F.variant_get(F.get("v", F.lit(0)), f"$[{k}]", "string")
     more = lambda name, kind="string": F.try_variant_get(F.get("v", F.lit(1)), f"$.{name}", kind)
     return d.select(get(0).alias("project"), get(1).alias("file"), get(2).alias("module"), get(3).alias("theorem"), (more("status") == "SUCCESS").alias("success"), more("time_taken", "double").alias("time"))
@@ -106,12 +110,18 @@ def read_vector_page(spark: SparkSession, path: str, page: int) -> DataFrame:
     return spark.read.parquet(path).where(F.col("page") == page)
 
 
-def write_vectors(vectors: DataFrame, path: str, size: int, id_col: str = "idx") -> None:
-    """Pages of ``size`` consecutive ids, as folders; pages that are there already stay as they are."""
+def write_vectors(vectors: DataFrame, path: str, size: int, id_col: str = "idx", source: DataFrame | None = None) -> None:
+    """Pages of ``size`` consecutive ids, as folders; pages that are there already stay as they are. With ``source``
+    (a column ``text`` in the order of ``id``), its sha256 and the page size are written beside the pages."""
     from gneiss.streaming.resume import not_yet
 
     rows = vectors.withColumn("page", F.floor(F.col(id_col) / size).cast("int"))
     not_yet(rows, path, ["page"]).write.mode("append").partitionBy("page").parquet(path)
+    if source is not None:  # a hash of sorted row hashes: rows are hashed where they are
+        each = source.select(F.sha2(F.concat_ws(":", F.col("id").cast("string"), "text"), 256).alias("h"))
+        part = each.groupBy(F.substring("h", 1, 3).alias("p")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
+        whole = part.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), ""), 256).alias("source_sha256"))
+        whole.withColumn("page_size", F.lit(size)).write.mode("overwrite").json(path.rstrip("/") + "-metadata")
 
 
 def write_examples(examples: DataFrame, path: str, by: str = "dp_name") -> None:
@@ -124,9 +134,51 @@ def write_retrieved(ranks: DataFrame, path: str, by: str = "dp_name") -> None:
 
 
 def write_summary(rows: DataFrame, path: str, order: list[str]) -> None:
-    rows.orderBy(*order).coalesce(1).write.mode("errorifexists").csv(path, header=True)
+    """CSV in order: sorted ranges, whose files follow each other by name, so that no task writes everything."""
+    rows.orderBy(*order).write.mode("errorifexists").csv(path, header=True)
 
 
+def write_results(results: DataFrame, path: str) -> None:
+    """One JSON file for each theorem, in folders of its project, path and line. Columns of ``RESULT``."""
+    place = {name: F.col(f"thm.{name}") for name in ("project", "path", "line")}
+    folders = {f"by_{name}": value for name, value in place.items()}
+    rows = results.select("thm", "proof", "time", "n_attempts").withColumns(folders)
+    rows.write.mode("errorifexists").option("maxRecordsPerFile", 1).partitionBy(*folders).json(path)
+
+
+def write_evaluation(results: DataFrame, path: str, order: list[str]) -> None:
+    """One document that lists all results in the canonical order of theorems; a document is one value by its
+    nature, so this is for results of one evaluation."""
+    keyed = results.select(F.struct(*order).alias("k"), F.struct("thm", "proof", "time", "n_attempts").alias("r"))
+    one = keyed.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "r"))), lambda x: x["r"]).alias("results"))
+    one.write.mode("errorifexists").json(path)
+
+
+def write_split(files: DataFrame, path: str, split_col: str = "split") -> None:
+    """JSON lines, a folder for each split."""
+    files.write.mode("errorifexists").partitionBy(split_col).json(path)
+
+
+def write_lines_of_files(lines: DataFrame, path: str, file_col: str, line_col: str) -> None:
+    """JSON lines of a file and the sorted lines where its theorems begin."""
+    rows = lines.groupBy(F.col(file_col).alias("file")).agg(F.sort_array(F.collect_list(line_col)).alias("lines"))
+    rows.write.mode("errorifexists").json(path)
+
+
+def write_shuffled_index(index: DataFrame, path: str, pos: str = "pos") -> None:
+    """JSON lines in the order of the index."""
+    index.orderBy(pos).write.mode("errorifexists").json(path)
+
+
+def write_log(rows: DataFrame, path: str) -> None:
+    """Attempts as they come; what is there stays."""
+    rows.write.mode("append").json(path)
+
+
+def read_examples(spark: SparkSession, path: str, file: str, by: str = "dp_name") -> DataFrame:
+    """The page of one source file; only its folder is read."""
+    return spark.read.json(path).where(F.col(by) == file)
+
 def write_documents(files: DataFrame, premises: DataFrame, proofs: DataFrame, path: str, stored: bool = True) -> None:
     """Documents as JSON: metadata first, then a line for each premise, as its id or in full."""
     one = F.struct(F.lit("stored").alias("type"), F.col("db_idx").alias("id")) if stored else F.struct(F.lit("explicit").alias("type"), "text", "file_path", "module", "sentence_type", "line")
