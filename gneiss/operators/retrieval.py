@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as T
-from gneiss.operators import sparse
+from gneiss.operators import dense, sparse
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -91,9 +91,8 @@ def dot(a: Column, b: Column) -> Column:
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", emb: str = "embedding", k: int = 5, rounds: int = 6) -> DataFrame:
     """(query_id, rank, id, score) by dot product; a stated query set against all rows."""
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(emb).alias("_q"))
-    s = vectors.select(id_col, F.col(emb).alias("_v")).join(q, F.col("query_id") != F.col(id_col))
-    return ranked(s.select("query_id", id_col, F.round(dot(F.col("_q"), F.col("_v")), rounds).alias("score")), ["query_id"], id_col, k).select("query_id", "rank", id_col, "score")
+    s = dense.best_of(vectors, queries, id_col, emb, k, digits=rounds).select("query_id", F.col("id").alias(id_col), "score")
+    return ranked(s, ["query_id"], id_col, k).select("query_id", "rank", id_col, "score")
 
 
 def rerank(ranks: DataFrame, by: list[str], id_col: str, score: Column, take: int) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as T
+from gneiss.operators import dense
 from gneiss.operators import retrieval as R
+from gneiss.operators.corpus import intern
 from gneiss.registry import query, table
 
 TOKENS = f"regexp_extract_all(coalesce(text, ''), '{T.TOKEN}')"
@@ -220,22 +222,24 @@ def dense_topk(spark, sf_dir):
     SELECT query_id, rank::INTEGER AS rank, label, vec_id, score FROM r WHERE rank <= 3""",
 )
 def dense_proof_topk(spark, sf_dir):
+    """The best earlier vector of each label, and the best three labels by it."""
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    s = q.join(e, F.col("vec_id") < F.col("query_id")).select("query_id", "label", "vec_id", F.round(R.dot(F.col("q"), F.col("embedding")), 6).alias("score"))
+    s = dense.best_of(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", 1, "label", earlier=True)
+    s = s.select("query_id", F.col("group").cast("int").alias("label"), F.col("id").alias("vec_id"), "score")
     g = s.groupBy("query_id", "label").agg(F.max("score").alias("score"), F.min_by("vec_id", F.struct(-F.col("score"), "vec_id")).alias("vec_id"))
     return R.ranked(g, ["query_id"], "vec_id", 3).select("query_id", "rank", "label", "vec_id", "score")
 
 
 @query(
     "vector_gather",
-    """WITH w AS (SELECT row_number() OVER (ORDER BY e.vec_id, k) - 1 AS pos, (e.vec_id * 7 + k * 13) % 600 AS vec_id FROM (SELECT vec_id FROM embeddings WHERE vec_id < 100) e, (SELECT unnest([0, 1]) AS k))
-    SELECT pos::INTEGER AS pos, w.vec_id, round(e.embedding[1]::DOUBLE, 6) AS first, round(e.embedding[64]::DOUBLE, 6) AS last FROM w LEFT JOIN embeddings e USING (vec_id)""",
+    """WITH w AS (SELECT row_number() OVER (ORDER BY e.vec_id, k) AS pos, e.vec_id * 7 + k * 13 AS vec_id FROM embeddings e, (SELECT unnest([0, 1]) AS k))
+    SELECT pos, w.vec_id, round(e.embedding[1]::DOUBLE, 6) AS first, round(e.embedding[64]::DOUBLE, 6) AS last FROM w LEFT JOIN embeddings e USING (vec_id)""",
 )
 def vector_gather(spark, sf_dir):
+    """Two ids for each row, known or not, in order; places are given out by ranges."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    w = e.where("vec_id < 100").select(F.col("vec_id").alias("v"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
-    w = w.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("v", "k")) - 1).select("pos", ((F.col("v") * 7 + F.col("k") * 13) % 600).alias("vec_id"))
+    w = e.select(F.col("vec_id").alias("v"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    w = intern(w.withColumn("at", F.struct("v", "k")), ["v", "k"], "at").select(F.col("db_idx").alias("pos"), (F.col("v") * 7 + F.col("k") * 13).alias("vec_id"))
     g = R.gather(e, w)
     return g.select("pos", "vec_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"), F.round(F.get("embedding", F.lit(63)).cast("double"), 6).alias("last"))
 
@@ -264,15 +268,12 @@ def rerank_two_stage(spark, sf_dir):
 
 @query("linear_map_scores")
 def linear_map_scores(spark, sf_dir):
-    """Each query of a label solves (P'P) X = P'g over that label's vectors P; scores are P X. Solved per label."""
-    import numpy as np
-    import pandas as pd
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-        g = p[:, :1]
-        x = np.linalg.lstsq(p.T @ p, p.T @ g, rcond=None)[0]
-        return pd.DataFrame({"vec_id": pdf["vec_id"], "label": pdf["label"], "score": (p @ x)[:, 0].round(6)})
-
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    return e.groupBy("label").applyInPandas(solve, "vec_id long, label int, score double")
+    """The map from premises to the contexts that used them (here a vector's successor of its label), by label, and
+    the score of every mapped premise for the label's query, its vector with the largest id."""
+    e = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL AND label IS NOT NULL").select("vec_id", F.col("label").cast("long").alias("group"), "embedding")
+    after = F.lead("embedding").over(Window.partitionBy("group", "run").orderBy("vec_id"))
+    e = e.withColumn("run", F.floor(F.col("vec_id") / 1000))  # successors within a run of ids, so that no label is one task
+    maps = dense.linear_maps(e.select("group", F.col("embedding").alias("p"), after.alias("g")).where("g IS NOT NULL"))
+    asked = e.groupBy("group").agg(F.max_by("embedding", "vec_id").alias("q"))
+    v = maps.join(asked, "group").select("group", F.transform("map", lambda row: R.dot(row, F.col("q"))).alias("v"))  # one row per label
+    return e.join(v, "group").select("vec_id", F.col("group").cast("int").alias("label"), F.round(R.dot(F.col("embedding"), F.col("v")), 6).alias("score"))

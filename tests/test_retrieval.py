@@ -104,3 +104,31 @@ def test_declared_names(spark):
     from pyspark.sql import functions as F
 
     assert [r.n for r in d.select(R.declared_name(F.col("t")).alias("n")).collect()][:2] == ["foo", "bar"]
+
+
+def test_linear_maps_are_least_squares(spark):
+    import numpy as np
+
+    from gneiss.plans.retrieval import linear_map_scores
+
+    got = {r.vec_id: r.score for r in linear_map_scores(spark, "/root/testdata/sf0.01").collect()}
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").where("embedding IS NOT NULL").orderBy("vec_id").collect()
+    want = {}
+    for label in {r.label for r in rows}:
+        mine = [r for r in rows if r.label == label]
+        x = np.array([r.embedding for r in mine], np.float64)
+        pairs = [k for k in range(len(mine) - 1) if mine[k].vec_id // 1000 == mine[k + 1].vec_id // 1000]
+        p, g = x[pairs], x[[k + 1 for k in pairs]]
+        m = np.linalg.pinv(p, rcond=1e-6) @ g
+        want |= dict(zip([r.vec_id for r in mine], (x @ m @ x[-1]).tolist(), strict=True))
+    assert got.keys() == want.keys()
+    assert max(abs(got[k] - want[k]) for k in got) < 1e-5
+
+
+def test_dense_blocks(spark, monkeypatch):
+    from gneiss.operators import dense
+
+    monkeypatch.setattr(dense, "QUERIES_AT_ONCE", 2)
+    v = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(7)] + [(9, None), (None, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in R.dense_topk(v, v.where("vec_id < 5"), k=2).collect()}
+    assert got[0, 1] == (1, 1.0) and got[2, 1] == (5, 5.0) and got[2, 2] == (1, 3.0) and len(got) == 10
