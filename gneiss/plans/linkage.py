@@ -10,9 +10,11 @@ from gneiss.operators import linkage as L
 from gneiss.registry import query, table
 
 FOUND = """
-f AS (SELECT doc_id, text, regexp_extract(text, '\\S+') AS needle, string_split(text, '') AS c FROM documents),
-o AS (SELECT doc_id, text, unnest(list_filter(range(0, len(c)), lambda i: c[i + 1] = needle[1] AND c[i + 1:i + length(needle)] = string_split(needle, ''))) AS spot FROM f WHERE needle <> ''),
-h AS (SELECT doc_id, spot, text FROM o)
+f AS (SELECT doc_id, regexp_extract(text, '\\S+') AS needle, string_split(text, chr(10)) AS t FROM documents),
+l AS (SELECT doc_id, needle, unnest(t) AS line, generate_subscripts(t, 1) - 1 AS n FROM f WHERE needle <> ''),
+s AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM l),
+o AS (SELECT doc_id, needle, line, n, base, unnest(range(0, length(line))) AS col FROM s),
+h AS (SELECT doc_id, base + col AS spot, n, col FROM o WHERE substr(line, col + 1, length(needle)) = needle)
 """
 
 
@@ -29,7 +31,7 @@ def occurrence_linkage(spark, sf_dir):
 
 @query(
     "offset_to_pos",
-    f"WITH {FOUND}, p AS (SELECT doc_id, spot, string_split(substr(text, 1, spot), chr(10)) AS l FROM h WHERE spot > 0) SELECT doc_id, spot::INTEGER AS spot, (len(l) - 1)::INTEGER AS line, length(l[-1])::INTEGER AS col FROM p",
+    f"WITH {FOUND} SELECT doc_id, spot::INTEGER AS spot, n::INTEGER AS line, col::INTEGER AS col FROM h WHERE spot > 0",
 )
 def offset_to_pos(spark, sf_dir):
     d = found(spark, sf_dir).where("spot > 0")
