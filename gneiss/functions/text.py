@@ -170,7 +170,8 @@ def goal_tokens(goal: Column) -> Column:
     names = F.flatten(F.transform(goal["hyps"], lambda h: F.when(h.contains(":"), F.split(F.substring_index(h, ":", 1), ", ", -1)).otherwise(F.array().cast("array<string>"))))
     body = lambda h: F.when(h.contains(":"), F.array_join(F.slice(F.split(h, ":", -1), F.lit(2), F.size(F.split(h, ":", -1))), "")).otherwise(h)
     every = F.flatten(F.transform(goal["hyps"], lambda h: tokens(body(h))))
-    keep = lambda a: F.filter(a, lambda t: ~F.array_contains(names, t))
+    # names in an array of their own, so that they are found once and not for each token
+    keep = lambda a: F.transform(F.array(names), lambda found: F.filter(a, lambda t: ~F.array_contains(found, t)))[0]
     return F.struct(keep(every).alias("hyps"), keep(tokens(goal["goal"])).alias("goal"))
 
 
