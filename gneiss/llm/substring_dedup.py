@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.llm.ids import told_apart
 from gneiss.llm.store import cut, free
 from gneiss.llm.words import M1, M2, M3, POWERS, Chunk, as_bytes, chunks, grams, mix, small
 
@@ -169,13 +170,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A window of ``window`` words is removed if its words also start earlier: in a document with a smaller id, or
     before it in the same one. Judged on the input. Null or empty texts and texts without words: no words, hash
     of the empty string. Rows with a null id take no part and lose nothing. Rows that repeat an id with its text
-    are one document, and each row gets its result; if an id has several texts, positions are joined. Other
-    columns are ignored, whatever their names. Long texts are handled whole, a batch of rows at a time. Nothing
+    are one document, and each row gets its result; texts that share an id are documents of their own, in the order
+    of a hash. Other columns are ignored, whatever their names. Long texts are handled whole, a batch of rows at a time. Nothing
     is gathered per anchor: joins and counts on anchors are split or summed before they are dealt out.
     """
     if not 0 < seed <= window:
         raise ValueError("seed must be from 1 to window")
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    d, back = told_apart(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     occ = d.mapInArrow(occurrences(window, seed), OCCURRENCES)
     low, high = F.min("region").alias("low"), F.max("region").alias("high")
     shared = cut(occ.groupBy("anchor").agg(F.count("*").alias("n"), low, high).where("n > 1").select("anchor", F.expr("low != high").alias("mixed")))  # a table of its own, so that the join below can split hot anchors
@@ -197,7 +198,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     starts = late.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
     marked = marks.select("doc_id", "places").join(starts, "doc_id", "left")
     schema = RESULT + ", kept_text string" * texts
-    return d.join(marked, "doc_id", "left").select("doc_id", "text", "places", "starts").mapInArrow(remove(window, seed, texts), schema)
+    return back(d.join(marked, "doc_id", "left").select("doc_id", "text", "places", "starts").mapInArrow(remove(window, seed, texts), schema))
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.llm.ids import told_apart
 from gneiss.llm.store import cut, free
 from gneiss.llm.suffix_sort import repeated_starts
 from gneiss.llm.words import M2, M3, POWERS, VALUE, as_bytes, mix, small
@@ -181,13 +182,14 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are UTF-8 bytes; null is empty. Matches never cross documents, overlaps count, and strings are judged on
     the input. All copies go, not all but one. Rows with a null id take no part and lose nothing. Rows that repeat
-    an id with its text are one document, and each row gets its result. Other columns are ignored. Long texts are
+    an id with its text are one document, and each row gets its result; texts that share an id are documents of
+    their own. Other columns are ignored. Long texts are
     handled in pieces that overlap. A shard holds whole anchors, so its size is bounded by ``sort_shards`` and the
     distinct regions of one anchor; the sorter's queues go to disk beyond their limit.
     """
     if not 0 < seed <= length:
         raise ValueError("seed must be from 1 to length")
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    d, back = told_apart(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     occ = d.mapInArrow(occurrences(length, seed), "doc_id long, first int, windows int, anchor long, region long").where("doc_id IS NOT NULL")
     counted = occ.groupBy("anchor").agg(F.count("*").alias("n"), F.min("region").alias("low"), F.max("region").alias("high"))
     shared = cut(counted.where("n > 1").select("anchor", F.expr("low != high").alias("mixed")))  # a table of its own, so that the join below can split hot anchors
@@ -205,7 +207,7 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     free(again)
     free(whole)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>" + ", kept binary" * texts
-    return d.hint("merge").join(marks, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(remove(texts), schema)
+    return back(d.hint("merge").join(marks, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(remove(texts), schema))
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:

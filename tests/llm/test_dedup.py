@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gneiss.llm.components import components
 from gneiss.llm.line_dedup import dedup_lines
@@ -255,6 +256,20 @@ def test_lines_of_a_whole_table_against_brute_force(spark):
     assert {(r.doc_id, r.text) for r in dedup_lines(docs).collect()} == {(i, x) for (i, _), x in line_brute(rows).items()}
 
 
+def test_ids_with_several_texts(spark):
+    """Equal to the same documents under ids of their own, whose order is that of the text's hash."""
+    r = random.Random(8)
+    shared = " ".join(f"w{r.randint(0, 10**6)}" for _ in range(60))
+    texts = [f"{i} alone here {shared if i % 2 else i} and {i} more" for i in range(8)]
+    rows = [(i // 2, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1])]
+    order = [x.text for x in documents(spark, rows[:8], False).orderBy("doc_id", F.xxhash64("text")).collect()]
+    plain = [(order.index(t), t) for _, t in rows[:9]] + [(None, texts[1])]
+    for f in (dedup_suffixes, dedup_substrings):
+        got = sorted((x.doc_id is None, x.doc_id or 0, x.kept_sha256, x.n_removed) for x in f(documents(spark, rows)).collect())
+        want = sorted((x.doc_id is None, (x.doc_id or 0) // 2, x.kept_sha256, x.n_removed) for x in f(documents(spark, plain)).collect())
+        assert got == want and any(x[3] for x in got)
+
+
 def test_texts_with_one_id_are_two_documents(spark):
     one, two = "the quick brown fox jumps over the lazy dog", "a line that is nowhere else in these documents"
     got = sorted(r.text for r in dedup_lines(documents(spark, [(1, one), (2, two), (2, one), (2, one)])).collect())
