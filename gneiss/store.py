@@ -43,8 +43,9 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     _worked += time.monotonic() - begin
     if _worked > RELEASE_AFTER:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # the first frees what the session holds for Python objects that are gone
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
         _worked = 0.0
     out = spark.read.schema(df.schema).parquet(path)
     out._gneiss_path = path
