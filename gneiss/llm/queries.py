@@ -10,7 +10,7 @@ from gneiss.llm.line_dedup import op7_line_dedup
 from gneiss.llm.minhash_dedup import OP10_SQL, op10_minhash_dedup
 from gneiss.llm.mixing import OP2_SQL, op2_source_mixing
 from gneiss.llm.substring_dedup import OP9_SQL, op9_substring_dedup
-from gneiss.llm.suffix_dedup import op1_suffix_dedup
+from gneiss.llm.suffix_dedup import OP1_SQL, op1_suffix_dedup
 from gneiss.llm.token_counts import op5_token_counts
 
 QUERIES = {
@@ -25,4 +25,4 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
 }
-ORACLES: dict[str, str] = {"op2_source_mixing": OP2_SQL, "op9_substring_dedup": OP9_SQL, "op10_minhash_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_suffix_dedup": OP1_SQL, "op2_source_mixing": OP2_SQL, "op9_substring_dedup": OP9_SQL, "op10_minhash_dedup": OP10_SQL}

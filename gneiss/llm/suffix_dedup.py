@@ -213,3 +213,20 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return dedup_suffixes(docs, texts=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP1_SQL = """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS t, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, unnest(range(0, octet_length(t) - 199)) AS i, t FROM b WHERE octet_length(t) >= 200),
+h AS (SELECT doc_id, i, md5(array_slice(t, i + 1, i + 200)) AS h FROM w),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM h) WHERE n > 1),
+f AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200, true) AS new FROM r),
+g AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f),
+s AS (SELECT doc_id, run, min(i) AS lo, max(i) + 200 AS hi FROM g GROUP BY ALL),
+p AS (SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS a, lo AS z FROM s
+      UNION ALL SELECT doc_id, max(hi) AS a, NULL AS z FROM s GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(CASE WHEN z IS NULL THEN substr(x, 2 * a + 1) ELSE substr(x, 2 * a + 1, 2 * (z - a)) END, '' ORDER BY a) AS kept FROM p JOIN b USING (doc_id) GROUP BY doc_id),
+c AS (SELECT doc_id, sum(hi - lo) AS gone, count(*) AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, octet_length(t)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(CASE WHEN gone IS NULL THEN t ELSE unhex(kept) END) AS kept_sha256
+FROM b LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
