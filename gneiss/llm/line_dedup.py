@@ -176,3 +176,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(t) AS line, generate_subscripts(t, 1) AS pos FROM d),
+n AS (SELECT line, row_number() OVER (ORDER BY line) AS id FROM (SELECT DISTINCT line FROM l WHERE regexp_matches(line, '[^ \t\n\f\r\x0b]'))),
+s AS (SELECT DISTINCT id, substr(line, i, 10) AS g FROM (SELECT id, line, unnest(range(1, greatest(length(line) - 9, 1) + 1)) AS i FROM n)),
+z AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
+k AS (SELECT a, b FROM p JOIN z x ON x.id = a JOIN z y ON y.id = b WHERE 10 * common >= 8 * (x.n + y.n - common)),
+e AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+r AS (SELECT a AS id, a AS reach FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.reach = e.a),
+c AS (SELECT id, min(reach) AS c FROM r GROUP BY id),
+o AS (SELECT doc_id, pos, line, coalesce(c, n.id) AS c FROM l LEFT JOIN n USING (line) LEFT JOIN c USING (id)),
+f AS (SELECT *, c IS NOT NULL AND row_number() OVER (PARTITION BY c ORDER BY doc_id, pos) > 1 AS gone FROM o),
+t AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, CASE WHEN d.text IS NOT NULL THEN sha256(kept) END AS kept_sha256 FROM documents d LEFT JOIN t USING (doc_id)
+"""

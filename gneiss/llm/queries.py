@@ -6,7 +6,7 @@ from gneiss.llm.ann import op8_multi_index_hashing
 from gneiss.llm.decontamination import op3_template_decontamination
 from gneiss.llm.html_extraction import op6_html_extraction
 from gneiss.llm.language_id import op4_language_id
-from gneiss.llm.line_dedup import op7_line_dedup
+from gneiss.llm.line_dedup import OP7_SQL, op7_line_dedup
 from gneiss.llm.minhash_dedup import OP10_SQL, op10_minhash_dedup
 from gneiss.llm.mixing import OP2_SQL, op2_source_mixing
 from gneiss.llm.substring_dedup import OP9_SQL, op9_substring_dedup
@@ -25,4 +25,4 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
 }
-ORACLES: dict[str, str] = {"op1_suffix_dedup": OP1_SQL, "op2_source_mixing": OP2_SQL, "op9_substring_dedup": OP9_SQL, "op10_minhash_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_suffix_dedup": OP1_SQL, "op7_line_dedup": OP7_SQL, "op2_source_mixing": OP2_SQL, "op9_substring_dedup": OP9_SQL, "op10_minhash_dedup": OP10_SQL}
