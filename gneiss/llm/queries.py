@@ -9,6 +9,7 @@ from gneiss.llm.language_id import op4_language_id
 from gneiss.llm.line_dedup import OP7_SQL, op7_line_dedup
 from gneiss.llm.minhash_dedup import OP10_SQL, op10_minhash_dedup
 from gneiss.llm.mixing import OP2_SQL, op2_source_mixing
+from gneiss.llm.piece_encoding import op11_piece_encoding
 from gneiss.llm.substring_dedup import OP9_SQL, op9_substring_dedup
 from gneiss.llm.suffix_dedup import OP1_SQL, op1_suffix_dedup
 from gneiss.llm.token_counts import op5_token_counts
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_multi_index_hashing": op8_multi_index_hashing,
     "op7_line_dedup": op7_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
+    "op11_piece_encoding": op11_piece_encoding,
 }
 ORACLES: dict[str, str] = {"op1_suffix_dedup": OP1_SQL, "op7_line_dedup": OP7_SQL, "op2_source_mixing": OP2_SQL, "op9_substring_dedup": OP9_SQL, "op10_minhash_dedup": OP10_SQL}
