@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from gneiss.llm.ann import op8_multi_index_hashing
 from gneiss.llm.decontamination import op3_template_decontamination
+from gneiss.llm.divergence import OP12_SQL, op12_source_divergence
 from gneiss.llm.html_extraction import op6_html_extraction
 from gneiss.llm.language_id import op4_language_id
 from gneiss.llm.line_dedup import OP7_SQL, op7_line_dedup
@@ -26,5 +27,6 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op11_piece_encoding": op11_piece_encoding,
+    "op12_source_divergence": op12_source_divergence,
 }
-ORACLES: dict[str, str] = {"op1_suffix_dedup": OP1_SQL, "op7_line_dedup": OP7_SQL, "op2_source_mixing": OP2_SQL, "op9_substring_dedup": OP9_SQL, "op10_minhash_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_suffix_dedup": OP1_SQL, "op7_line_dedup": OP7_SQL, "op2_source_mixing": OP2_SQL, "op9_substring_dedup": OP9_SQL, "op10_minhash_dedup": OP10_SQL, "op12_source_divergence": OP12_SQL}
