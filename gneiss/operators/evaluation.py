@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.operators.ranges import numbered
+
 
 def succeeded(proof: Column, time: Column, timeout: float) -> Column:
     """A proof and a time strictly below the timeout; unknown is failure."""
@@ -49,7 +51,8 @@ def mutual(results: DataFrame, key: list[str], system: str, n: int) -> DataFrame
 
 
 def curve(results: DataFrame, by: list[str], time: str, tie: str) -> DataFrame:
-    return results.withColumn("solved", F.row_number().over(Window.partitionBy(*by).orderBy(time, tie)))
+    """How many a system had solved by each time; a system may have any number of results."""
+    return numbered(results, by, [time, tie], "solved").withColumn("solved", F.col("solved").cast("int"))
 
 
 def bucket(value: Column, ranges: list[tuple[int, int | None]]) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.operators.ranges import running
+
 
 def prefix(step: Column, by: list[str], order: list[str], start: Column | None = None) -> Column:
     """What was written before each row, without the row itself."""
@@ -32,8 +34,7 @@ def sessions(rows: DataFrame, by: list[str], order: list[str], value: str, alias
 
 def within_budget(rows: DataFrame, by: list[str], order: list[str], tokens: Column, budget: int | Column) -> DataFrame:
     """Ranked rows as long as their tokens fit: it stops at the first overflow."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum(tokens).over(w)).where(F.col("used") <= budget)
+    return running(rows, by, order, {"used": tokens}).where(F.col("used") <= budget)
 
 
 def truncate(tokens: Column, n: int, front: bool) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as T
 from gneiss.operators import corpus as C
+from gneiss.operators.ranges import running
 from gneiss.registry import query, table
 
 
@@ -92,8 +92,8 @@ def in_out_file_partition(spark, sf_dir):
 )
 def visible_counts(spark, sf_dir):
     """Earlier premises of the file, counted as a running sum instead of a self-join."""
-    w = Window.partitionBy("source").orderBy("doc_id").rangeBetween(Window.unboundedPreceding, -1)
-    return docs(spark, sf_dir).select("doc_id", F.count("*").over(w).alias("n_visible"))
+    d = running(docs(spark, sf_dir).select("doc_id", "source"), ["source"], ["doc_id"], {"n_visible": F.lit(1).cast("long")}, "before")
+    return d.select("doc_id", F.when(F.col("source").isNull(), 0).otherwise(F.col("n_visible")).alias("n_visible"))
 
 
 @query(

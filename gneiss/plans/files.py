@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions import text as T
 from gneiss.operators import corpus as C
+from gneiss.operators.ranges import numbered
 from gneiss.registry import query, table
 from gneiss.sources import files as S
 from gneiss.store import shared_folder
@@ -23,8 +24,7 @@ def written_documents(spark, sf_dir):
     """A document file for each source: its documents are the premises, conversations are the proofs."""
     d = table(spark, sf_dir, "documents").where("source IS NOT NULL").select(F.concat("source", F.lit(".v")).alias("dp_name"), "source", "doc_id", "text")
     files = d.select("dp_name", F.concat(F.lit("repos/"), "source", F.lit(".v")).alias("file"), "source").distinct().select("dp_name", "file", F.col("source").alias("workspace"), F.lit("repos/r").alias("repository"))
-    pos = F.row_number().over(Window.partitionBy("dp_name").orderBy("doc_id"))
-    premises = d.select("dp_name", pos.alias("pos"), F.col("doc_id").alias("db_idx"))
+    premises = numbered(d.select("dp_name", "doc_id"), ["dp_name"], ["doc_id"], "pos").select("dp_name", F.col("pos").cast("int").alias("pos"), F.col("doc_id").alias("db_idx"))
     c = table(spark, sf_dir, "conversations").select(F.concat(F.lit("src"), F.col("conv_id") % 20, F.lit(".v")).alias("dp_name"), "conv_id", "turn", "role", "text")
     step = F.struct(F.col("role").alias("term"), F.struct("text", F.array().cast("array<string>").alias("context")).alias("step"), F.col("turn").cast("int").alias("n_step"), F.array("role").alias("goals"))
     proofs = c.groupBy("dp_name", "conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", step.alias("s")))).alias("x"))
@@ -159,8 +159,8 @@ def example_pages(spark, sf_dir):
 
 @query("retrieved_pages", "SELECT source AS dp_name, (row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id))::INTEGER AS rank, doc_id FROM documents WHERE source IS NOT NULL")
 def retrieved_pages(spark, sf_dir):
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
-    rows = table(spark, sf_dir, "documents").where("source IS NOT NULL").select(F.col("source").alias("dp_name"), rank.alias("rank"), "doc_id")
+    d = table(spark, sf_dir, "documents").where("source IS NOT NULL").select(F.col("source").alias("dp_name"), "n_chars", "doc_id")
+    rows = numbered(d, ["dp_name"], [-F.col("n_chars"), "doc_id"]).select("dp_name", F.col("rank").cast("int").alias("rank"), "doc_id")
     path = folder(spark)
     S.write_retrieved(rows, path)
     return spark.read.parquet(path).select("dp_name", "rank", "doc_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions import text as T
 from gneiss.operators import steps as S
+from gneiss.operators.ranges import numbered
 from gneiss.registry import query, table
 
 
@@ -124,5 +125,5 @@ def proof_independence(spark, sf_dir):
     "SELECT doc_id, (row_number() OVER (PARTITION BY trim(regexp_replace(text, '\\s+', ' ', 'g')) ORDER BY doc_id) - 1)::INTEGER AS ordinal FROM documents",
 )
 def occurrence_ordinal(spark, sf_dir):
-    w = Window.partitionBy(T.normalize_ws(F.col("text"))).orderBy("doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", (F.row_number().over(w) - 1).alias("ordinal"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalize_ws(F.col("text")), 256).alias("statement"))
+    return numbered(d, ["statement"], ["doc_id"], "nth").select("doc_id", (F.col("nth") - 1).cast("int").alias("ordinal"))
