@@ -11,6 +11,7 @@ from gneiss.llm.line_dedup import OP7_SQL, op7_line_dedup
 from gneiss.llm.minhash_dedup import OP10_SQL, op10_minhash_dedup
 from gneiss.llm.mixing import OP2_SQL, op2_source_mixing
 from gneiss.llm.piece_encoding import op11_piece_encoding
+from gneiss.llm.resampling import OP13_SQL, op13_importance_resampling
 from gneiss.llm.substring_dedup import OP9_SQL, op9_substring_dedup
 from gneiss.llm.suffix_dedup import OP1_SQL, op1_suffix_dedup
 from gneiss.llm.token_counts import op5_token_counts
@@ -28,5 +29,6 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op11_piece_encoding": op11_piece_encoding,
     "op12_source_divergence": op12_source_divergence,
+    "op13_importance_resampling": op13_importance_resampling,
 }
-ORACLES: dict[str, str] = {"op1_suffix_dedup": OP1_SQL, "op7_line_dedup": OP7_SQL, "op2_source_mixing": OP2_SQL, "op9_substring_dedup": OP9_SQL, "op10_minhash_dedup": OP10_SQL, "op12_source_divergence": OP12_SQL}
+ORACLES: dict[str, str] = {"op1_suffix_dedup": OP1_SQL, "op7_line_dedup": OP7_SQL, "op2_source_mixing": OP2_SQL, "op9_substring_dedup": OP9_SQL, "op10_minhash_dedup": OP10_SQL, "op12_source_divergence": OP12_SQL, "op13_importance_resampling": OP13_SQL}
