@@ -44,10 +44,11 @@ def tfidf_topk(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text
     return ranked(best, ["qid"], "id", k).select(F.col("qid").alias(qid), "rank", F.col("id").alias(id_col), "score")
 
 
-def visible_topk(docs: DataFrame, queries: DataFrame, kind: str = "bm25", id_col: str = "doc_id", text_col: str = "text", file_col: str = "source", line_col: str = "line", qid: str = "query_id", qtext: str = "query", k: int = 5) -> DataFrame:
-    """(qid, rank, id, score) over the documents of the query's file on earlier lines, with statistics of just these.
-    Every visible document is ranked, those without a shared term with score 0."""
-    best = sparse.best_of(docs, queries, kind, id_col, text_col, qid, qtext, k, file_col, line_col)
+def visible_topk(docs: DataFrame, queries: DataFrame, kind: str = "bm25", id_col: str = "doc_id", text_col: str = "text", file_col: str = "source", line_col: str = "line", qid: str = "query_id", qtext: str = "query", k: int = 5, edges: DataFrame | None = None) -> DataFrame:
+    """(qid, rank, id, score) over the documents of the query's file on earlier lines, and of the files that its file
+    depends on by ``edges`` (file, dep), with statistics of just these. Every visible document is ranked, those
+    without a shared term with score 0."""
+    best = sparse.best_of(docs, queries, kind, id_col, text_col, qid, qtext, k, file_col, line_col, edges)
     return ranked(best, ["qid"], "id", k).select(F.col("qid").alias(qid), "rank", F.col("id").alias(id_col), "score")
 
 

@@ -1,55 +1,69 @@
 """Sparse ranking of a stated query set against all rows, with the statistics of what each query can see.
 
-Texts are tokenised once: each document becomes one row with the terms that any query has. Queries go in blocks of
-bounded size. For a block one pass over that table counts documents, lengths and document frequencies between the
-lines of its queries, so that running sums over these few counts are the statistics of every visible set; a second
-pass scores documents where they are and keeps the best ``k`` per query and task. What is shuffled is one row per
-document, small counts and ``k`` rows per query and task, never documents by queries.
+A query sees the documents of its file on earlier lines and all documents of the files its file depends on. Texts are
+tokenised once: each document becomes one row with the terms that any query has. Statistics are composed, never
+counted over pairs: counts by (file, stretch between two queries' lines, term) are summed along a file up to the
+query's line, and over the edges to other files; the term that every document has gives numbers and lengths.
+
+Queries then go in blocks of bounded size with their weights to where the documents are; a pass scores what each sees
+and keeps the best ``k`` per query and task, or the places of given documents. What is shuffled is one row per
+document, counts and ``k`` rows per query and task, never documents by queries.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as T
-from gneiss.store import cut
+from gneiss.operators.ranges import running
+from gneiss.store import cut, free
 
-QUERIES_AT_ONCE, TERMS_AT_ONCE, CELLS = 256, 100_000, 2_000_000
+QUERIES_AT_ONCE, TERMS_AT_ONCE, LINKS_AT_ONCE, WANTED_AT_ONCE, CELLS = 256, 100_000, 200_000, 1_000_000, 2_000_000
+EMPTY = np.int64(0)  # a term that every document and query has
 
 
 class Block:
-    """Some queries in the order of (file, line), their terms, and where documents fall between their lines."""
+    """Some queries in the order of (file, line), with the weights of their terms and the files they see whole."""
 
-    def __init__(self, rows: pa.Table):
+    def __init__(self, rows: pa.Table, links: dict[str, list[str]], kind: str, k1: float, b: float):
         rows = rows.sort_by([("file", "ascending"), ("at", "ascending"), ("qid", "ascending")])
-        qid, at, h, f = (np.asarray(rows[c]) for c in ("qid", "at", "h", "f"))
+        qid, at, h, f, df, size = (np.asarray(rows[c]) for c in ("qid", "at", "h", "f", "n", "size"))
         file = rows["file"].to_pylist()
-        new = np.concatenate([[True], qid[1:] != qid[:-1]])
-        first = np.flatnonzero(new)
+        self.kind, self.k1, self.b = kind, k1, b
+        first = np.flatnonzero(np.concatenate([[True], qid[1:] != qid[:-1]]))
         self.qid, self.at = qid[first], at[first]
         self.files: dict[str, tuple[int, int]] = {}
+        self.whole: dict[str, list[int]] = {}
         for k, i in enumerate(first.tolist()):
             lo, _ = self.files.get(file[i], (k, k))
             self.files[file[i]] = (lo, k + 1)
+            for dep in links.get(file[i], ()):
+                self.whole.setdefault(dep, []).append(k)
         real = h != EMPTY
         self.terms = np.unique(h[real])
-        self.cols, self.f = [], []
+        self.cols, self.w, self.avg = [], [], []
         for k in range(len(first)):
             mine = slice(first[k], first[k + 1] if k + 1 < len(first) else len(h))
-            keep = real[mine]
+            keep, none = real[mine], ~real[mine]
+            n, length = float(df[mine][none][0]), float(size[mine][none][0])
             self.cols.append(np.searchsorted(self.terms, h[mine][keep]))
-            self.f.append(f[mine][keep].astype(np.float64))
-        self.n = self.all_len = self.df = None
+            self.avg.append(length / max(n, 1.0) or 1.0)
+            self.w.append(self.weights(n, f[mine][keep].astype(np.float64), df[mine][keep].astype(np.float64)))
 
-    def slot(self, file: str, line: np.ndarray) -> tuple[int, int, np.ndarray]:
-        """The file's queries, and the first of them that sees each line; the end of the file's if none does."""
-        lo, hi = self.files[file]
-        return lo, hi, lo + np.searchsorted(self.at[lo:hi], line, side="right")
+    def weights(self, n: float, f: np.ndarray, df: np.ndarray) -> np.ndarray:
+        """The weight of every query term, zero where no visible document has it."""
+        d = np.where(df > 0, df, 1.0)
+        if self.kind == "bm25":
+            w = f * np.log((n - d + 0.5) / (d + 0.5) + 1) * (self.k1 + 1)
+        else:
+            w = (0.5 + 0.5 * f / f.max(initial=1.0)) * np.log(max(n, 1.0) / d) ** 2
+        return np.where(df > 0, w, 0.0)
 
     def known(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which of the terms are asked for, their columns)."""
@@ -59,136 +73,124 @@ class Block:
         here = np.flatnonzero(self.terms[col] == h)
         return here, col[here]
 
-    def learn(self, counts: pa.Table) -> None:
-        """Running sums of the counts: what each query sees."""
-        q = len(self.qid)
-        slot, col, n, size = (np.asarray(counts[c]) for c in ("slot", "col", "n", "size"))
-        whole = col < 0
-        self.n, self.all_len = np.zeros(q), np.zeros(q)
-        np.add.at(self.n, slot[whole], n[whole])
-        np.add.at(self.all_len, slot[whole], size[whole])
-        df = np.zeros((q, len(self.terms)), np.int64)
-        df[slot[~whole], col[~whole]] = n[~whole]
-        for lo, hi in self.files.values():
-            np.cumsum(self.n[lo:hi], out=self.n[lo:hi])
-            np.cumsum(self.all_len[lo:hi], out=self.all_len[lo:hi])
-            np.cumsum(df[lo:hi], axis=0, out=df[lo:hi])
-        self.df = [df[k, cols].astype(np.float64) for k, cols in enumerate(self.cols)]
-
-    def weigh(self, kind: str, k1: float, b: float) -> None:
-        """The weight of every query term, zero where no visible document has it."""
-        self.kind, self.k1, self.b, self.w = kind, k1, b, []
-        for k, df in enumerate(self.df):
-            n, seen = self.n[k], df > 0
-            d = np.where(seen, df, 1.0)
-            if kind == "bm25":
-                w = self.f[k] * np.log((n - d + 0.5) / (d + 0.5) + 1) * (k1 + 1)
-            else:
-                w = (0.5 + 0.5 * self.f[k] / self.f[k].max(initial=1.0)) * np.log(max(n, 1.0) / d) ** 2
-            self.w.append(np.where(seen, w, 0.0))
-
     def scores(self, k: int, tf: np.ndarray, size: np.ndarray) -> np.ndarray:
         x = tf[:, self.cols[k]]
         if self.kind == "bm25":
-            avg = self.all_len[k] / max(self.n[k], 1.0) or 1.0
-            x = x / (x + self.k1 * (1 - self.b + self.b * size / avg)[:, None])
+            x = x / (x + self.k1 * (1 - self.b + self.b * size / self.avg[k])[:, None])
         else:
             x = x / np.maximum(size, 1)[:, None]
         return np.round(x @ self.w[k], 6)
 
-
-EMPTY = np.int64(0)  # stands for no term, so that documents and queries without one have a row
+    def seen(self, files: pa.Array, line: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(query, the rows that it sees) for rows with their files and lines."""
+        found: dict[int, list[np.ndarray]] = {}
+        codes = files.dictionary_encode()
+        code = np.asarray(codes.indices)
+        for c, name in enumerate(codes.dictionary.to_pylist()):
+            if name not in self.files and name not in self.whole:
+                continue
+            rows = np.flatnonzero(code == c)
+            for j in self.whole.get(name, ()):
+                found.setdefault(j, []).append(rows)
+            if name in self.files:
+                rows = rows[np.argsort(line[rows], kind="stable")]
+                lo, hi = self.files[name]
+                for j, m in zip(range(lo, hi), np.searchsorted(line[rows], self.at[lo:hi], side="left").tolist(), strict=True):
+                    if m:
+                        found.setdefault(j, []).append(rows[:m])
+        for j, parts in found.items():
+            yield j, np.concatenate(parts) if len(parts) > 1 else parts[0]
+
+    def scored(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, ids, scores) of what each query sees of the rows (id, file, line, size, h, tf), piece by piece."""
+        for whole in batches:
+            most = max(1, min(1024, CELLS // max(1, len(self.terms))))
+            for at in range(0, whole.num_rows, most):
+                b = whole.slice(at, most)
+                ids, line, size = (np.asarray(b.column(i)) for i in (0, 2, 3))
+                tf = np.zeros((b.num_rows, len(self.terms)))
+                of, h = ragged(b.column(4))
+                _, count = ragged(b.column(5))
+                here, col = self.known(h)
+                tf[of[here], col] = count[here]
+                for j, mine in self.seen(b.column(1), line):
+                    yield j, ids[mine], self.scores(j, tf[mine], size[mine])
 
 
-def hashed(tokens):
-    """One row per token and one for none."""
-    h = F.transform(tokens, lambda t: F.xxhash64(t))
-    return F.explode(F.concat(F.array(F.lit(int(EMPTY))), h)).alias("h")
+def ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each value, values) of a list column."""
+    size = np.asarray(column.value_lengths())
+    return np.repeat(np.arange(len(column)), size), np.asarray(column.flatten())
 
 
-def by_file(b: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
-    files = b.column(1).dictionary_encode()
-    code = np.asarray(files.indices)
-    for k, name in enumerate(files.dictionary.to_pylist()):
-        yield name, np.flatnonzero(code == k)
+def batch_of(names: list[str], parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names)
 
 
-def parts(b: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
-    for at in range(0, b.num_rows, most):
-        yield b.slice(at, most)
+def best_in_task(block, k: int):
+    """Rows (id, file, line, size, h, tf) -> (qid, id, score): the best ``k`` of this task for each query."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = block.value
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for j, i, s in q.scored(batches):
+            if j in best:
+                s, i = np.concatenate([best[j][0], s]), np.concatenate([best[j][1], i])
+            top = np.lexsort((i, -s))[:k]
+            best[j] = s[top], i[top]
+        if best:
+            yield batch_of(["qid", "id", "score"], [(np.full(len(i), q.qid[j]), i, s) for j, (s, i) in best.items()])
 
-def ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each value, values) of a list column."""
-    size = np.asarray(column.value_lengths())
-    return np.repeat(np.arange(len(column)), size), np.asarray(column.flatten())
+    return run
 
 
-def count_between(block):
-    """Rows (id, file, line, size, h, tf) -> (slot, col, n, size): documents by term, and by themselves (col -1)."""
+def scores_of(block, wanted):
+    """Rows -> (qid, id, score) of the wanted ids of each query, by its place in the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = block.value
-        n, size = np.zeros(len(q.qid) + 1, np.int64), np.zeros(len(q.qid) + 1, np.int64)
-        df = np.zeros((len(q.qid) + 1, len(q.terms)), np.int32)
-        for whole in batches:
-            for b in parts(whole, 4096):
-                slot = np.full(b.num_rows, len(q.qid))
-                line, length = np.asarray(b.column(2)), np.asarray(b.column(3))
-                for name, rows in by_file(b):
-                    if name in q.files:
-                        _, hi, s = q.slot(name, line[rows])
-                        slot[rows] = np.where(s < hi, s, len(q.qid))  # no query sees it: the row behind all
-                np.add.at(n, slot, 1)
-                np.add.at(size, slot, length)
-                of, h = ragged(b.column(4))
-                here, col = q.known(h)
-                np.add.at(df, (slot[of[here]], col), 1)
-        s, c = np.nonzero(df[:-1])
-        seen = np.flatnonzero(n[:-1])
-        cols = [np.concatenate([seen, s]), np.concatenate([np.full(len(seen), -1), c]), np.concatenate([n[seen], df[s, c]]), np.concatenate([size[seen], np.zeros(len(s), np.int64)])]
-        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], ["slot", "col", "n", "size"])
+        found = []
+        for j, i, s in q.scored(batches):
+            here = np.isin(i, wanted.value[j]) if j in wanted.value else np.zeros(0, bool)
+            if here.any():
+                found.append((np.full(int(here.sum()), q.qid[j]), i[here], s[here]))
+        if found:
+            yield batch_of(["qid", "id", "score"], found)
 
     return run
 
 
-def best_in_task(block, k: int):
-    """Rows (id, file, line, size, h, tf) -> (qid, id, score): the best ``k`` of this task for each query."""
+def ahead_of(block, wanted):
+    """Rows -> (qid, nth, n): how many rows stand before the ``nth`` wanted one of a query, but not before the one
+    before it. Wanted ones are given as (scores, ids) in the order of the ranking."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = block.value
-        best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(q.qid)
-        for whole in batches:
-            for b in parts(whole, max(1, min(1024, CELLS // max(1, len(q.terms))))):
-                ids, line, size = (np.asarray(b.column(i)) for i in (0, 2, 3))
-                tf = np.zeros((b.num_rows, len(q.terms)))
-                of, h = ragged(b.column(4))
-                _, count = ragged(b.column(5))
-                here, col = q.known(h)
-                tf[of[here], col] = count[here]
-                for name, rows in by_file(b):
-                    if name not in q.files:
-                        continue
-                    rows = rows[np.argsort(line[rows], kind="stable")]
-                    lo, hi = q.files[name]
-                    sees = np.searchsorted(line[rows], q.at[lo:hi], side="left")
-                    for j, m in zip(range(lo, hi), sees.tolist(), strict=True):
-                        if not m:
-                            continue
-                        mine = rows[:m]
-                        s, i = q.scores(j, tf[mine], size[mine]), ids[mine]
-                        if best[j] is not None:
-                            s, i = np.concatenate([best[j][0], s]), np.concatenate([best[j][1], i])
-                        top = np.lexsort((i, -s))[:k]
-                        best[j] = s[top], i[top]
-        found = [(np.full(len(x[0]), q.qid[j]), x[1], x[0]) for j, x in enumerate(best) if x is not None]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["qid", "id", "score"])
+        total = {j: np.zeros(len(s) + 1, np.int64) for j, (s, _) in wanted.value.items()}
+        for j, i, s in q.scored(batches):
+            if j not in total:
+                continue
+            score, ids = wanted.value[j]
+            at = np.searchsorted(-score, -s, side="left")
+            upto = np.searchsorted(-score, -s, side="right")
+            for lo in np.unique(at[at < upto]).tolist():  # equal scores are ordered by id
+                same = np.flatnonzero((at == lo) & (upto > lo))
+                at[same] = lo + np.searchsorted(ids[lo : upto[same[0]]], i[same], side="right")
+            total[j] += np.bincount(at, minlength=len(total[j]))
+        rows = [(np.full(len(n) - 1, q.qid[j]), np.arange(1, len(n)), n[:-1]) for j, n in total.items()]
+        if rows:
+            yield batch_of(["qid", "nth", "n"], rows)
 
     return run
 
 
-def document_terms(docs: DataFrame, vocabulary: DataFrame, id_col: str, text_col: str, file, line) -> DataFrame:
+def hashed(tokens: Column) -> Column:
+    """One row per token and one for the term that all have."""
+    h = F.transform(tokens, lambda t: F.xxhash64(t))
+    return F.explode(F.concat(F.array(F.lit(int(EMPTY))), h)).alias("h")
+
+
+def document_terms(docs: DataFrame, vocabulary: DataFrame, id_col: str, text_col: str, file: Column, line: Column) -> DataFrame:
     """(id, file, line, size, h, tf): one row per document with the terms of the vocabulary it has. One shuffle, by
     document; texts are tokenised once."""
     d = docs.select(F.col(id_col).cast("long").alias("id"), file.alias("file"), line.alias("line"), T.tokens(F.coalesce(text_col, F.lit(""))).alias("t"))
@@ -198,31 +200,123 @@ def document_terms(docs: DataFrame, vocabulary: DataFrame, id_col: str, text_col
     return one.groupBy("id", "file", "line", "size").agg(F.collect_list("h").alias("h"), F.collect_list("tf").alias("tf"))
 
 
-def best_of(docs: DataFrame, queries: DataFrame, kind: str, id_col: str, text_col: str, qid: str, qtext: str, k: int, file_col: str | None = None, line_col: str | None = None, k1: float = 1.8, b: float = 0.75) -> DataFrame:
+def statistics(rows: DataFrame, asked: DataFrame, links: DataFrame | None, by_file: bool) -> DataFrame:
+    """``asked`` (qid, file, at, h, f) with n and size: how many documents that the query sees have the term, and
+    their summed lengths. A document belongs to the stretch before the first query line of its file that sees it."""
+    points = asked.select("file", "at").distinct()
+    if by_file:
+        both = rows.select("id", "file", "line", F.lit(0).alias("point")).unionByName(points.select(F.lit(None).cast("long").alias("id"), "file", F.col("at").alias("line"), F.lit(1).alias("point")))
+        placed = cut(running(both, ["file"], ["line"], {"stretch": F.col("point")}, "peers"))
+        points = placed.where("point = 1").select("file", F.col("line").alias("at"), (F.col("stretch") - 1).alias("stretch"))
+        d = rows.join(placed.where("point = 0").select("id", "file", "line", "stretch"), ["id", "file", "line"])
+    else:
+        placed, d, points = None, rows.withColumn("stretch", F.lit(0).cast("long")), points.withColumn("stretch", F.lit(0).cast("long"))
+    counts = cut(d.select("file", "stretch", "size", F.explode("h").alias("h")).groupBy("file", "stretch", "h").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
+    own = counts.join(asked.select("file", "h").distinct(), ["file", "h"], "left_semi").select("file", "h", "stretch", "n", "size", *[F.lit(None).cast("long").alias(c) for c in ("qid", "at", "f")])
+    asks = asked.join(points, ["file", "at"]).select("file", "h", "stretch", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("size"), "qid", "at", "f")
+    out = running(own.unionByName(asks), ["file", "h"], ["stretch"], {"n": F.col("n"), "size": F.col("size")}, "peers").where("qid IS NOT NULL")
+    if links is not None:
+        whole = counts.groupBy(F.col("file").alias("dep"), "h").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+        others = links.join(whole, "dep").join(asked.select("file", "h").distinct(), ["file", "h"], "left_semi").groupBy("file", "h").agg(F.sum("n").alias("more"), F.sum("size").alias("more_size"))
+        out = out.join(others, ["file", "h"], "left").withColumns({"n": F.col("n") + F.coalesce("more", F.lit(0)), "size": F.col("size") + F.coalesce("more_size", F.lit(0))})
+    out = cut(out.select("qid", "file", "at", "h", "f", "n", "size"))
+    free(counts)
+    if placed is not None:
+        free(placed)
+    return out
+
+
+@dataclass
+class Search:
+    """Documents as rows of terms, and queries with the statistics of what they see."""
+
+    rows: DataFrame
+    asked: DataFrame
+    links: DataFrame | None
+    weighing: tuple[str, float, float]
+    blocks: int
+
+    def __iter__(self) -> Iterator[tuple[int, Block]]:
+        """(number, block) of the blocks that have queries."""
+        for part in range(self.blocks):
+            got = self.asked.where(self.in_block("qid", part)).toArrow()
+            if got.num_rows:
+                links: dict[str, list[str]] = {}
+                if self.links is not None:
+                    files = self.asked.where(self.in_block("qid", part)).select("file").distinct()
+                    for r in self.links.join(files, "file", "left_semi").toLocalIterator():
+                        links.setdefault(r.file, []).append(r.dep)
+                yield part, Block(got, links, *self.weighing)
+
+    def in_block(self, qid: str, part: int) -> Column:
+        return F.pmod(F.xxhash64(qid), F.lit(self.blocks)) == part
+
+
+def search(docs: DataFrame, queries: DataFrame, kind: str, id_col: str, text_col: str, qid: str, qtext: str, file_col: str | None = None, line_col: str | None = None, edges: DataFrame | None = None, k1: float = 1.8, b: float = 0.75, n_wanted: int = 0) -> Search:
+    """``edges``: (file, dep); repeated edges count once, edges to the file itself and to files without documents add
+    nothing. Without ``file_col`` every query sees all documents."""
+    place = lambda c, otherwise: F.col(c) if c else F.lit(otherwise)
+    q = queries.select(F.col(qid).cast("long").alias("qid"), place(file_col, "").cast("string").alias("file"), place(line_col, 1).cast("long").alias("at"), T.tokens(F.coalesce(qtext, F.lit(""))).alias("t"))
+    asked = cut(q.where("qid IS NOT NULL AND file IS NOT NULL AND at IS NOT NULL").select("qid", "file", "at", hashed("t")).groupBy("qid", "file", "at", "h").agg(F.count("*").alias("f")))
+    links = None
+    if edges is not None:
+        links = edges.select(F.col("file").cast("string"), F.col("dep").cast("string")).where("file <> dep").distinct()
+        links = cut(links.join(asked.select("file").distinct(), "file", "left_semi"))
+    seen = docs if not file_col else docs.where(F.col(file_col).isNotNull() & F.col(line_col).isNotNull())
+    rows = cut(document_terms(seen.where(F.col(id_col).isNotNull()), asked.select("h").distinct(), id_col, text_col, place(file_col, "").cast("string"), place(line_col, 0).cast("long")))
+    n_queries, n_terms = asked.agg(F.count_distinct("qid"), F.count("*")).first()
+    n_links = 0 if links is None else asked.select("qid", "file").distinct().join(links, "file").count()
+    blocks = max(1, -(-n_queries // QUERIES_AT_ONCE), -(-n_terms // TERMS_AT_ONCE), -(-n_links // LINKS_AT_ONCE), -(-n_wanted // WANTED_AT_ONCE))
+    return Search(rows, statistics(rows, asked, links, bool(file_col)), links, (kind, k1, b), blocks)
+
+
+def best_of(docs: DataFrame, queries: DataFrame, kind: str, id_col: str, text_col: str, qid: str, qtext: str, k: int, file_col: str | None = None, line_col: str | None = None, edges: DataFrame | None = None, k1: float = 1.8, b: float = 0.75) -> DataFrame:
     """(qid, id, score): the ``k`` best of each query and task over what it sees: the documents of its file on
-    earlier lines, or all without ``file_col``. Documents without a shared term have score 0 and are seen too.
+    earlier lines and those of files that ``edges`` lead to, or all without ``file_col``. Documents without a shared
+    term have score 0 and are seen too.
 
     Null files and lines see nothing and are not seen; null and empty texts have no terms. A document is one row per
     id, file and line. Query ids are unique numbers.
     """
-    place = lambda x, c, otherwise: F.col(c) if c else F.lit(otherwise)
-    q = queries.select(F.col(qid).cast("long").alias("qid"), place(queries, file_col, "").cast("string").alias("file"), place(queries, line_col, 1).cast("long").alias("at"), T.tokens(F.coalesce(qtext, F.lit(""))).alias("t"))
-    asked = cut(q.where("qid IS NOT NULL AND file IS NOT NULL AND at IS NOT NULL").select("qid", "file", "at", hashed("t")).groupBy("qid", "file", "at", "h").agg(F.count("*").alias("f")))
-    n_queries, n_terms = asked.agg(F.count_distinct("qid"), F.count("*")).first()
-    blocks = max(1, -(-n_queries // QUERIES_AT_ONCE), -(-n_terms // TERMS_AT_ONCE))
-    seen = docs if not file_col else docs.where(F.col(file_col).isNotNull() & F.col(line_col).isNotNull())
-    rows = cut(document_terms(seen.where(F.col(id_col).isNotNull()), asked.select("h").distinct(), id_col, text_col, place(docs, file_col, "").cast("string"), place(docs, line_col, 0).cast("long")))
+    spark = docs.sparkSession
+    s = search(docs, queries, kind, id_col, text_col, qid, qtext, file_col, line_col, edges, k1, b)
     out = None
-    for part in range(blocks):
-        got = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == part).toArrow()
-        if not got.num_rows:
-            continue
-        block = Block(got)
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-        counts = rows.mapInArrow(count_between(shared), "slot long, col long, n long, size long")
-        block.learn(counts.groupBy("slot", "col").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).toArrow())
-        block.weigh(kind, k1, b)
-        shared.unpersist()
-        best = rows.mapInArrow(best_in_task(docs.sparkSession.sparkContext.broadcast(block), k), "qid long, id long, score double")
+    for _, block in s:
+        best = s.rows.mapInArrow(best_in_task(spark.sparkContext.broadcast(block), k), "qid long, id long, score double")
         out = best if out is None else out.unionByName(best)
-    return out if out is not None else docs.sparkSession.createDataFrame([], "qid long, id long, score double")
+    return out if out is not None else spark.createDataFrame([], "qid long, id long, score double")
+
+
+def places(docs: DataFrame, queries: DataFrame, wanted: DataFrame, kind: str, id_col: str, text_col: str, qid: str, qtext: str, file_col: str | None = None, line_col: str | None = None, edges: DataFrame | None = None, k1: float = 1.8, b: float = 0.75) -> DataFrame:
+    """(qid, id, score, rank): the rank of each wanted (qid, id) in the whole ranking of what the query sees, however
+    far down. One pass scores the wanted documents, another counts what stands before them; rankings are not made.
+    Wanted ones that the query does not see are left out."""
+    spark = docs.sparkSession
+    w = cut(wanted.select(F.col("qid").cast("long"), F.col("id").cast("long")).where("qid IS NOT NULL AND id IS NOT NULL").distinct())
+    s = search(docs, queries, kind, id_col, text_col, qid, qtext, file_col, line_col, edges, k1, b, w.count())
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    out = None
+    for part, block in s:
+        at = {q: j for j, q in enumerate(block.qid.tolist())}
+        ids: dict[int, np.ndarray] = {}
+        mine = w.where(s.in_block("qid", part)).toArrow().sort_by("qid")  # bounded by the number of blocks
+        for q, i in by_query(mine, "id"):
+            if q in at:
+                ids[at[q]] = i
+        shared = spark.sparkContext.broadcast(block)
+        scored = cut(s.rows.mapInArrow(scores_of(shared, spark.sparkContext.broadcast(ids)), "qid long, id long, score double"))
+        table = scored.toArrow().sort_by([("qid", "ascending"), ("score", "descending"), ("id", "ascending")])
+        wanted_scores = {at[q]: (x, i) for (q, x), (_, i) in zip(by_query(table, "score"), by_query(table, "id"), strict=True)}
+        before = s.rows.mapInArrow(ahead_of(shared, spark.sparkContext.broadcast(wanted_scores)), "qid long, nth long, n long").groupBy("qid", "nth").agg(F.sum("n").alias("n"))
+        ahead = F.sum("n").over(Window.partitionBy("qid").orderBy("nth"))
+        found = scored.withColumn("nth", F.row_number().over(order).cast("long")).join(before.withColumn("rank", ahead + 1), ["qid", "nth"])
+        found = found.select("qid", "id", "score", "rank")
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else spark.createDataFrame([], "qid long, id long, score double, rank long")
+
+
+def by_query(table: pa.Table, column: str) -> Iterator[tuple[int, np.ndarray]]:
+    """(query, its values) of a table in the order of queries."""
+    q, v = np.asarray(table["qid"]), np.asarray(table[column])
+    first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+    yield from zip(q[first].tolist(), np.split(v, first[1:]) if len(q) else [], strict=True)
