@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.functions import text as T
 from gneiss.store import cut
 
 # Kinds of statements that the named filters leave out, from the standard library and from elsewhere.
@@ -64,10 +65,37 @@ def keep_first(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
-def visible(steps: DataFrame, premises: DataFrame, file: str = "file", line: str = "line") -> DataFrame:
-    """Steps with the premises they can see: those of other files given for their file, and those of their own on
-    earlier lines. ``premises``: file, premise_line, own (whether it is of that file itself)."""
-    return steps.join(premises, file).where(~F.col("own") | (F.col("premise_line") < F.col(line)))
+def dependencies(premises: DataFrame, path: str, origin: str, pos: str) -> DataFrame:
+    """(file, dep, first_pos): the files that a file's premises come from, with the position of the first. ``path``
+    is of the file itself, ``origin`` of the premise; one that contains the other's name is the same file. Paths that
+    are not under ``repos`` are of no data point and give nothing."""
+    name = F.nullif(F.regexp_extract(origin, r"repos/(.*\.v)", 1), F.lit(""))
+    d = premises.select(T.data_point_name(F.col(path)).alias("file"), T.data_point_name(F.col(origin)).alias("dep"), name.alias("_name"), F.col(path).alias("_path"), F.col(pos).alias("_pos"))
+    return d.where(~F.col("_path").contains(F.col("_name")) & ~F.col("_name").contains(F.col("_path"))).groupBy("file", "dep").agg(F.min("_pos").alias("first_pos"))
+
+
+def of_dependencies(edges: DataFrame, per_file: DataFrame, *values: str) -> DataFrame:
+    """(file, sums of the values over the files that it depends on); files that are not there add nothing."""
+    e = edges.select("file", "dep").where("file != dep").distinct()
+    return e.join(per_file.withColumnRenamed("file", "dep"), "dep").groupBy("file").agg(*[F.sum(v).alias(v) for v in values])
+
+
+def visible_premises(steps: DataFrame, premises: DataFrame, edges: DataFrame, file: str, line: str, premise_line: str) -> DataFrame:
+    """Steps with each premise they can see and whether it is their file's ``own``: those of their own file on earlier
+    lines, and all of the files that it depends on. The pairs are the result; sums over them need no pair."""
+    own = steps.join(premises, file).where(F.col(premise_line) < F.col(line)).withColumn("own", F.lit(True))
+    e = edges.select(F.col("file").alias(file), "dep").where(F.col(file) != F.col("dep")).distinct()
+    other = steps.join(e, file).join(premises.withColumnRenamed(file, "dep"), "dep").drop("dep").withColumn("own", F.lit(False))
+    return own.unionByName(other.select(own.columns))
+
+
+def positives(used: DataFrame, edges: DataFrame, step: str, file: str, premise: str, premise_file: str, pos: str) -> DataFrame:
+    """``used`` (a step with a premise that it used) without premises that the step cannot see, numbered per step in
+    the order of ``pos`` as ``nth``. A premise of the step's own file counts from an earlier line only."""
+    e = edges.select(F.col("file").alias(file), F.col("dep").alias(premise_file)).where(F.col(file) != F.col(premise_file)).distinct()
+    own = used.where((F.col(file) == F.col(premise_file)) & (F.col(premise) < F.col(step)))
+    seen = own.unionByName(used.join(e, [file, premise_file], "left_semi"))
+    return seen.withColumn("nth", F.row_number().over(Window.partitionBy(step).orderBy(pos, premise)).cast("long"))
 
 
 def leakage_safe_split(files: DataFrame, test: Column, val: Column, file: str = "file", text: str = "text") -> DataFrame:

@@ -96,20 +96,6 @@ def visible_counts(spark, sf_dir):
     return d.select("doc_id", F.when(F.col("source").isNull(), 0).otherwise(F.col("n_visible")).alias("n_visible"))
 
 
-@query(
-    "positive_premises",
-    """SELECT d.doc_id AS step_id, p.doc_id AS premise_id FROM documents d JOIN documents p ON p.source = d.source AND p.doc_id < d.doc_id AND p.lang = d.lang
-    WHERE p.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)""",
-)
-def positive_premises(spark, sf_dir):
-    """Each step with the earlier premises of its file that it uses (here those of good quality in its language):
-    the rows asked for are these pairs."""
-    d = docs(spark, sf_dir).select("doc_id", "source", "lang")
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
-    p = d.join(good, "doc_id", "left_semi").withColumnRenamed("doc_id", "premise_id")
-    return d.withColumnRenamed("doc_id", "step_id").join(p, ["source", "lang"]).where("premise_id < step_id").select("step_id", "premise_id")
-
-
 @query(
     "dependency_edges",
     """WITH p AS (SELECT source AS file, 'repos/' || source || '/' || lang || '.v' AS path, doc_id AS pos FROM documents),
@@ -123,20 +109,6 @@ def dependency_edges(spark, sf_dir):
     return n.where(~F.col("dep").contains(own) & ~own.contains(F.col("dep"))).groupBy("file", "dep").agg(F.min("pos").alias("first_pos"))
 
 
-@query(
-    "available_proofs",
-    """WITH c AS (SELECT conv_id, conv_id % 10 AS file, conv_id // 10 AS idx FROM conversations GROUP BY ALL),
-    e AS (SELECT 1 AS file, 2 AS dep UNION ALL SELECT 1, 3 UNION ALL SELECT 4, 99)
-    SELECT a.conv_id, b.conv_id AS available FROM c a JOIN c b ON a.file = b.file AND b.idx < a.idx
-    UNION ALL SELECT a.conv_id, b.conv_id FROM c a JOIN e ON a.file = e.file JOIN c b ON b.file = e.dep""",
-)
-def available_proofs(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id").distinct().select("conv_id", (F.col("conv_id") % 10).alias("file"), F.floor(F.col("conv_id") / 10).alias("idx"))
-    other = c.select(F.col("conv_id").alias("available"), F.col("file").alias("dep"), F.col("idx").alias("j"))
-    edges = spark.createDataFrame([(1, 2), (1, 3), (4, 99)], "file long, dep long")
-    own = c.join(other, F.col("file") == F.col("dep")).where("j < idx").select("conv_id", "available")
-    return own.unionByName(c.join(edges, "file").join(other, "dep").select("conv_id", "available"))
-
 
 SPLIT = """
 WITH f AS (SELECT DISTINCT source || '-' || lang AS file, source, text FROM documents),

@@ -107,80 +107,6 @@ def tfidf_visible_topk(spark, sf_dir):
     return visible(spark, sf_dir, "tfidf")
 
 
-def step_ranks(spark, sf_dir):
-    """Steps of earlier proofs (conversations) with the same opening role, for the first step of each proof."""
-    c = table(spark, sf_dir, "conversations").withColumn("step_id", F.col("conv_id") * 1000 + F.col("turn"))
-    steps = c.select("step_id", F.lit("all").alias("file"), F.col("conv_id").alias("line"), "text")
-    asks = c.where("turn = 0").select(F.col("conv_id").alias("query_id"), F.lit("all").alias("file"), F.col("conv_id").alias("line"), F.col("text").alias("query"))
-    ranks = R.visible_topk(steps, asks, "bm25", "step_id", "text", "file", "line", k=40)
-    return ranks.withColumns({"proof": F.floor(F.col("step_id") / 1000).cast("long"), "step": (F.col("step_id") % 1000).cast("long")})
-
-
-STEPS = f"""
-c AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '{T.TOKEN}') AS t FROM conversations),
-q AS (SELECT conv_id AS query_id, regexp_extract_all(coalesce(text, ''), '{T.TOKEN}') AS t FROM conversations WHERE turn = 0),
-v AS (SELECT query_id, conv_id, turn, c.t FROM q JOIN c ON c.conv_id < q.query_id),
-n AS (SELECT query_id, count(*) AS n, sum(len(t)) / count(*) AS a FROM v GROUP BY ALL),
-tf AS (SELECT query_id, conv_id, turn, term, any_value(len) AS len, count(*) AS tf FROM (SELECT query_id, conv_id, turn, len(t) AS len, unnest(t) AS term FROM v) GROUP BY ALL),
-df AS (SELECT query_id, term, count(*) AS df FROM tf GROUP BY ALL),
-qf AS (SELECT query_id, term, count(*) AS f FROM (SELECT query_id, unnest(t) AS term FROM q) GROUP BY ALL),
-s AS (SELECT query_id, conv_id, turn, round(sum(f * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.8 / (tf + 1.8 * (0.25 + 0.75 * len / a))), 6) AS score
-      FROM qf JOIN tf USING (query_id, term) JOIN df USING (query_id, term) JOIN n USING (query_id) GROUP BY ALL),
-p AS (SELECT query_id, conv_id, turn, coalesce(score, 0.0) AS score FROM v LEFT JOIN s USING (query_id, conv_id, turn)),
-r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, conv_id, turn) AS rank FROM p) WHERE rank <= 40)
-"""
-
-
-@query(
-    "proof_step_bm25",
-    f"""WITH {STEPS}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id, conv_id ORDER BY rank) = 1 AS first FROM r),
-    g AS (SELECT *, coalesce(sum(first::INT) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f)
-    SELECT query_id, rank::INTEGER AS rank, conv_id AS proof, turn AS step, score FROM g WHERE before < 6""",
-)
-def proof_step_bm25(spark, sf_dir):
-    return R.cut_at_group(step_ranks(spark, sf_dir), ["query_id"], ["proof"], 6).select("query_id", "rank", "proof", "step", "score")
-
-
-@query(
-    "similar_proofs",
-    f"""WITH {STEPS}, b AS (SELECT query_id, conv_id AS proof, min(rank) AS best FROM r GROUP BY ALL)
-    SELECT query_id, proof, best::INTEGER AS best, (row_number() OVER (PARTITION BY query_id ORDER BY best))::INTEGER AS rank FROM b""",
-)
-def similar_proofs(spark, sf_dir):
-    return R.first_of_group(step_ranks(spark, sf_dir), ["query_id"], ["proof"]).select("query_id", "proof", "best", "rank")
-
-
-@query(
-    "first_step_retrieval",
-    f"WITH {STEPS} SELECT query_id, conv_id AS proof, score FROM r WHERE turn = 0",
-)
-def first_step_retrieval(spark, sf_dir):
-    return step_ranks(spark, sf_dir).where("step = 0").select("query_id", "proof", "score")
-
-
-@query(
-    "next_tactic",
-    f"""WITH {STEPS} SELECT query_id, rank::INTEGER AS rank, c.text FROM r JOIN conversations c USING (conv_id, turn) WHERE rank <= 3""",
-)
-def next_tactic(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("proof"), F.col("turn").alias("step"), "text")
-    return step_ranks(spark, sf_dir).where("rank <= 3").join(c, ["proof", "step"]).select("query_id", "rank", "text")
-
-
-@query(
-    "previous_proof_replay",
-    f"""WITH {STEPS}, b AS (SELECT query_id, conv_id, min(rank) AS best FROM r GROUP BY ALL),
-    t AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS proof_text FROM conversations GROUP BY ALL),
-    u AS (SELECT query_id, proof_text, min(best) AS best FROM b JOIN t USING (conv_id) GROUP BY ALL)
-    SELECT query_id, md5(proof_text) AS proof_md5, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best) AS rank FROM u) WHERE rank <= 2""",
-)
-def previous_proof_replay(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("proof")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), "").alias("proof_text"))
-    best = R.first_of_group(step_ranks(spark, sf_dir), ["query_id"], ["proof"]).join(c, "proof")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("best"))
-    return best.groupBy("query_id", "proof_text").agg(F.min("best").alias("best")).withColumn("rank", rank).where("rank <= 2").select("query_id", F.md5("proof_text").alias("proof_md5"), "rank")
-
-
 @query(
     "lookup_rank",
     f"""WITH p AS (SELECT doc_id, regexp_extract(text, '([A-Za-z]+)', 1) AS name, source IN ('src0', 'src1') AS library FROM documents),

@@ -132,3 +132,57 @@ def test_dense_blocks(spark, monkeypatch):
     v = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(7)] + [(9, None), (None, [1.0, 1.0])], "vec_id long, embedding array<double>")
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in R.dense_topk(v, v.where("vec_id < 5"), k=2).collect()}
     assert got[0, 1] == (1, 1.0) and got[2, 1] == (5, 5.0) and got[2, 2] == (1, 3.0) and len(got) == 10
+
+
+DOCS = [(i, "fgh"[i % 3], i, t) for i, t in enumerate(["a b", "a", "b b c", "a c", "c", "a b c", "", "b", "a a", "b c", None, "c"])]
+# g is reached from f twice, z is not there, h depends on itself
+EDGES = [("f", "g"), ("f", "g"), ("f", "z"), ("h", "h"), ("h", "f"), ("z", "f"), (None, "f"), ("g", None)]
+ASKS = [(1, "f", 7, "a b b"), (2, "g", 6, "c a"), (3, "f", 0, "a"), (4, "h", 12, ""), (5, "z", 5, "b"), (6, "f", 3, None), (7, None, 3, "a")]
+
+
+def seen_by(file, line):
+    deps = {d for f, d in EDGES if f == file and d not in (file, None)}
+    return [x for x in DOCS if x[1] in deps or (x[1] == file and x[2] < line)]
+
+
+def dependency_tables(spark):
+    d = spark.createDataFrame(DOCS, "doc_id long, source string, line long, text string")
+    return d, spark.createDataFrame(ASKS, "query_id long, source string, line long, query string"), spark.createDataFrame(EDGES, "file string, dep string")
+
+
+def test_dependencies_equal_recount(spark, monkeypatch):
+    from gneiss.operators import sparse
+
+    monkeypatch.setattr(sparse, "QUERIES_AT_ONCE", 4)  # several blocks
+    d, q, edges = dependency_tables(spark)
+    for kind, score in (("bm25", bm25), ("tfidf", tfidf)):
+        got = {(r.query_id, r.doc_id): r.score for r in R.visible_topk(d, q, kind, k=99, edges=edges).collect()}
+        want = {}
+        for qid, file, line, text in ASKS:
+            seen = seen_by(file, line) if file else []
+            if seen:
+                scores = score(text, [x[3] or "" for x in seen]) if text else [0.0] * len(seen)
+                want |= {(qid, x[0]): pytest.approx(s, abs=2e-6) for x, s in zip(seen, scores, strict=True)}
+        assert got == want
+
+
+def test_places_are_those_of_the_whole_ranking(spark, monkeypatch):
+    """However far down, with ties; what a query does not see has no place."""
+    from gneiss.operators import sparse
+
+    monkeypatch.setattr(sparse, "CELLS", 9)  # small pieces
+    d, q, edges = dependency_tables(spark)
+    wanted = spark.createDataFrame([(a, i) for a in range(1, 8) for i in range(12)] + [(1, None), (None, 1), (99, 1)], "qid long, id long")
+    for e in (edges, None):
+        whole = {(r.query_id, r.doc_id): (r["rank"], r.score) for r in R.visible_topk(d, q, "bm25", k=99, edges=e).collect()}
+        got = {(r.qid, r.id): (r["rank"], r.score) for r in sparse.places(d, q, wanted, "bm25", "doc_id", "text", "query_id", "query", "source", "line", e).collect()}
+        assert got == whole
+
+
+def test_rank_far_down(spark):
+    from gneiss.operators import sparse
+
+    d = spark.createDataFrame([(i, "x" if i < 600 else "x y") for i in range(1000)], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "y")], "item_id long, text string")
+    wanted = spark.createDataFrame([(1, 599), (1, 600), (1, 0)], "qid long, id long")
+    assert {r.id: r["rank"] for r in sparse.places(d, q, wanted, "bm25", "doc_id", "text", "item_id", "text").collect()} == {600: 1, 0: 401, 599: 1000}
