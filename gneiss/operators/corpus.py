@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as T
+from gneiss.operators.ranges import numbered
 from gneiss.store import cut
 
 # Kinds of statements that the named filters leave out, from the standard library and from elsewhere.
@@ -132,6 +133,6 @@ def purity_mix(positives: DataFrame, negatives: DataFrame, by: str, item: str, p
     if purity == 0:
         return negatives.select(by, item, F.lit(False).alias("positive"))
     n = positives.groupBy(by).agg((F.floor(F.count("*") / F.lit(purity)) - F.count("*")).alias("_n"))
-    r = F.row_number().over(Window.partitionBy(by).orderBy(hash_order("purity", F.col(by), F.col(item))))
-    chosen = negatives.join(n, by).withColumn("_r", r).where("_r <= _n")
+    order = hash_order("purity", F.col(by), F.col(item))
+    chosen = numbered(negatives, [by], [order, item], "_r").join(n, by).where("_r <= _n")
     return positives.select(by, item, F.lit(True).alias("positive")).unionByName(chosen.select(by, item, F.lit(False).alias("positive")))

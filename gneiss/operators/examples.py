@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.operators.corpus import hash_order, sample_per_group
+from gneiss.operators.sampling import drawn, key_of
 from gneiss.registry import choice
 
 # Section tags of the prompts.
@@ -48,13 +48,16 @@ def context(prefix: Column, goals: Column) -> Column:
 
 
 def negatives(step: str, positives: DataFrame, available: DataFrame, item: str, total: int, in_file: int) -> DataFrame:
-    """(step, positive, negative): ``total`` sampled negatives for each positive. A step with fewer negatives gives
-    none; at most ``in_file`` come from the step's own file, more only if others cannot fill the rest. ``available``:
-    step, item, own; positives must not be among them."""
-    counts = available.groupBy(step).agg(F.sum(F.col("own").cast("int")).alias("_own"), F.sum((~F.col("own")).cast("int")).alias("_other"))
-    counts = counts.where(F.col("_own") + F.col("_other") >= total)
-    want = F.when(F.lit(in_file) + F.col("_other") < total, F.least(F.lit(total), "_own")).otherwise(F.least(F.lit(in_file), "_own"))
-    rows = positives.select(step, F.col(item).alias("positive")).join(counts.select(step, want.alias("_want")), step).join(available, step)
-    n = F.when(F.col("own"), F.col("_want")).otherwise(F.lit(total) - F.col("_want"))
-    picked = sample_per_group(rows, [step, "positive", "own"], hash_order("neg", F.col(step), F.col("positive"), F.col(item)), n)
-    return picked.select(step, "positive", F.col(item).alias("negative"), "own")
+    """(step, positive, negative, own): ``total`` sampled negatives for each positive. A step with fewer negatives
+    gives none; at most ``in_file`` come from the step's own file, more only if others cannot fill the rest.
+    ``available``: step, item, own; positives must not be among them. Rows read and made are linear in the positives
+    and in what is available: a positive's sample is named by places, pairs are not ordered."""
+    n = available.groupBy(step).agg(F.count_if("own").alias("_own"), F.count_if(~F.col("own")).alias("_other"))
+    n = n.where(F.col("_own") + F.col("_other") >= total)
+    want = F.when(F.lit(in_file) + F.col("_other") < total, F.least(F.lit(total), "_own")).otherwise(F.least(F.lit(in_file), "_own")).cast("long")
+    each = positives.select(step, F.col(item).alias("positive")).join(n.withColumn("_want", want), step)
+    side = lambda own, size, many: F.struct(F.lit(own).alias("own"), size.alias("_size"), many.alias("_many"))
+    sides = F.explode(F.array(side(True, F.col("_own"), F.col("_want")), side(False, F.col("_other"), F.lit(total) - F.col("_want"))))
+    asks = each.select(step, "positive", sides.alias("s")).select(step, "positive", "s.*")
+    asks = asks.where("_many > 0").withColumn("_key", key_of("neg", F.col(step), F.col("positive"), F.col("own").cast("int")))
+    return drawn(asks, available, [step, "own"], item, "_size", "_many", "_key").select(step, "positive", F.col(item).alias("negative"), "own")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from gneiss.functions import text as T
 from gneiss.operators import evaluation as E
+from gneiss.operators import sparse
 from gneiss.operators import steps as S
-from gneiss.operators.retrieval import bm25_topk
 from gneiss.registry import query, table
 
 R = "r AS (SELECT event_type AS system, user_id, event_id, value AS time, value < 50 AS success, user_id % 7 AS project FROM events)"
@@ -250,21 +250,16 @@ def totals_with_sum_row(spark, sf_dir):
     return table(spark, sf_dir, "documents").rollup("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")).select(F.coalesce("lang", F.lit("Total")).alias("lang"), "n", "chars")
 
 
-@query("dependency_counts", "SELECT lang, count(DISTINCT source) - 1 AS n_deps, count(DISTINCT source) AS n_files FROM documents GROUP BY lang")
-def dependency_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang").agg((F.count_distinct("source") - 1).alias("n_deps"), F.count_distinct("source").alias("n_files"))
-
-
 @query("unknown_token_counts", "SELECT c AS token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^\\x00-\\x7f]')) AS c FROM documents) GROUP BY c")
 def unknown_token_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x00-\x7f]"), F.lit(0))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
 def hit_rows(spark, sf_dir):
-    ranks = bm25_topk(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=200)
     good = table(spark, sf_dir, "labels").where("quality = 1").select((F.floor(F.col("doc_id") / 25) % 40).alias("item_id"), "doc_id").distinct()
     good = good.join(table(spark, sf_dir, "benchmark").select("item_id"), "item_id", "left_semi")
-    return S.hits(ranks, good, "item_id", "doc_id")
+    ranks = sparse.places(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), good.select(F.col("item_id").alias("qid"), F.col("doc_id").alias("id")), "bm25", "doc_id", "text", "item_id", "text")
+    return S.hits(ranks.select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"), F.col("rank").cast("int").alias("rank")), good, "item_id", "doc_id")
 
 
 from gneiss.plans.retrieval import STATS  # noqa: E402
@@ -274,7 +269,7 @@ s AS (SELECT item_id, doc_id, round(sum(f * ln((n - df + 0.5) / (df + 0.5) + 1)
 p AS (SELECT b.item_id, d.doc_id, coalesce(score, 0.0) AS score FROM (SELECT DISTINCT item_id FROM benchmark) b CROSS JOIN documents d LEFT JOIN s USING (item_id, doc_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM p),
 g AS (SELECT DISTINCT (doc_id // 25) % 40 AS item_id, doc_id FROM labels WHERE quality = 1 AND (doc_id // 25) % 40 IN (SELECT item_id FROM benchmark)),
-h AS (SELECT g.item_id, count(*) AS num_premises, coalesce(list_sort(list(rank) FILTER (WHERE rank <= 200)), []) AS hits_on FROM g JOIN r USING (item_id, doc_id) GROUP BY g.item_id)"""
+h AS (SELECT g.item_id, count(*) AS num_premises, coalesce(list_sort(list(rank)), []) AS hits_on FROM g JOIN r USING (item_id, doc_id) GROUP BY g.item_id)"""
 
 
 @query("hits_on", f"{HITS} SELECT item_id, num_premises, array_to_string(hits_on, ',') AS hits_on FROM h")
@@ -282,9 +277,9 @@ def hits_on(spark, sf_dir):
     return hit_rows(spark, sf_dir).select("item_id", "num_premises", F.array_join(F.transform("hits_on", lambda x: x.cast("string")), ",").alias("hits_on"))
 
 
-@query("recall_table", f"{HITS}, k AS (SELECT unnest([1, 10, 50, 100, 200]) AS k), f AS (SELECT k, num_premises, len(list_filter(hits_on, lambda z: z <= k)) AS found FROM h, k) SELECT k, round(avg((found = num_premises)::INT), 6) AS strict, round(sum(found) / sum(num_premises), 6) AS micro FROM f GROUP BY k")
+@query("recall_table", f"{HITS}, k AS (SELECT unnest([1, 10, 50, 100, 200, 500]) AS k), f AS (SELECT k, num_premises, len(list_filter(hits_on, lambda z: z <= k)) AS found FROM h, k) SELECT k, round(avg((found = num_premises)::INT), 6) AS strict, round(sum(found) / sum(num_premises), 6) AS micro FROM f GROUP BY k")
 def recall_table(spark, sf_dir):
-    return E.recall(hit_rows(spark, sf_dir), [1, 10, 50, 100, 200])
+    return E.recall(hit_rows(spark, sf_dir), [1, 10, 50, 100, 200, 500])
 
 
 @query("training_log_parse", "SELECT event_type, min((props->>'$.k')::BIGINT) AS least, max((props->>'$.k')::BIGINT) AS most, count(*) FILTER (WHERE (props->>'$.k')::BIGINT % 2 = 0) AS n_eval FROM events GROUP BY event_type")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gneiss.functions import text as T
 from gneiss.operators import corpus as C
 from gneiss.operators import retrieval as R
+from gneiss.operators import steps as S
 from gneiss.operators.ranges import running
 from gneiss.plans.retrieval import TOKENS, VISIBLE_TOP
 from gneiss.registry import query, table
@@ -160,3 +161,47 @@ def available_proof_counts(spark, sf_dir):
     other = C.of_dependencies(file_edges(spark, sf_dir, False), per_file, "n", "dependencies")
     own = running(c, ["file"], ["conv_id"], {"own": F.lit(1).cast("long")}, "before")
     return own.join(other, "file", "left").select("conv_id", (F.col("own") + F.coalesce("n", F.lit(0))).alias("available"), F.coalesce("dependencies", F.lit(0)).alias("dependencies"))
+
+
+@query(
+    "dependency_counts",
+    f"""WITH {edges_sql(True)}, n AS (SELECT file, count(*) AS n_deps FROM e GROUP BY ALL)
+    SELECT replace(substr(path, 7), '/', '-') AS file, count(DISTINCT name) - 1 AS n_paths, any_value(coalesce(n_deps, 0)) AS n_deps FROM d1 LEFT JOIN n ON n.file = replace(substr(path, 7), '/', '-') GROUP BY ALL""",
+)
+def dependency_counts(spark, sf_dir):
+    """Per file: how many paths its premises come from, itself not counted, and on how many files it depends."""
+    d = table(spark, sf_dir, "documents").select(path_of(True).alias("path"), "doc_id", F.sha2("text", 256).alias("sentence"))
+    origin = d.groupBy("sentence").agg(F.min_by("path", "doc_id").alias("origin"))
+    paths = d.join(origin, "sentence").groupBy(T.data_point_name(F.col("path")).alias("file")).agg((F.count_distinct("origin") - 1).alias("n_paths"))
+    n = file_edges(spark, sf_dir).groupBy("file").agg(F.count("*").alias("n_deps"))
+    return paths.join(n, "file", "left").select("file", "n_paths", F.coalesce("n_deps", F.lit(0)).alias("n_deps"))
+
+
+@query("dependency_count_join", f"WITH {edges_sql(True)}, n AS (SELECT file, count(*) AS n_deps FROM e GROUP BY ALL) SELECT doc_id, coalesce(n_deps, 0) AS n_deps FROM documents LEFT JOIN n ON n.file = source || '-' || lang || '.v'")
+def dependency_count_join(spark, sf_dir):
+    """Each theorem with the number of files that its file depends on, worked out once a file."""
+    n = file_edges(spark, sf_dir).groupBy("file").agg(F.count("*").alias("n_deps"))
+    d = table(spark, sf_dir, "documents").select("doc_id", T.data_point_name(path_of(True)).alias("file"))
+    return d.join(n, "file", "left").select("doc_id", F.coalesce("n_deps", F.lit(0)).alias("n_deps"))
+
+
+@query(
+    "human_baseline",
+    f"""WITH {PROOFS}, l AS (SELECT conv_id, arg_max(text, turn) AS last, count(*) AS n_steps, string_agg(text, '' ORDER BY turn) AS proof FROM conversations GROUP BY ALL),
+    w AS (SELECT e.file, sum(k) AS n FROM e JOIN (SELECT file, count(*) AS k FROM c GROUP BY ALL) x ON x.file = e.dep GROUP BY ALL), n AS (SELECT file, count(*) AS n_deps FROM e GROUP BY ALL),
+    a AS (SELECT conv_id, file, row_number() OVER (PARTITION BY file ORDER BY conv_id) - 1 AS nth FROM c)
+    SELECT file, nth, conv_id, md5(proof) AS proof_md5, n_steps, coalesce(n_deps, 0) AS n_deps, (nth + coalesce(n, 0))::BIGINT AS n_available FROM a JOIN l USING (conv_id) LEFT JOIN w USING (file) LEFT JOIN n USING (file)
+    WHERE file IN ('src0.v', 'src1.v') AND NOT contains(last, 'Defined')""",
+)
+def human_baseline(spark, sf_dir):
+    """Proofs of the test files that nothing else is built on, with what their writers had: dependencies of the file
+    and proofs that were there before, in it and in them."""
+    c = proofs(spark, sf_dir)
+    edges = file_edges(spark, sf_dir, False)
+    n = edges.groupBy("file").agg(F.count("*").alias("n_deps"))
+    there = C.of_dependencies(edges, c.groupBy("file").agg(F.count("*").alias("n")), "n")
+    place = running(c, ["file"], ["conv_id"], {"nth": F.lit(1).cast("long")}, "before").where(F.col("file").isin("src0.v", "src1.v"))
+    turns = table(spark, sf_dir, "conversations")
+    last = S.whole_text(turns, ["conv_id"], "turn", "text").join(turns.groupBy("conv_id").agg(F.max_by("text", "turn").alias("last"), F.count("*").alias("n_steps")), "conv_id")
+    rows = place.join(last.where(~F.col("last").contains("Defined")), "conv_id").join(there, "file", "left").join(n, "file", "left")
+    return rows.select("file", "nth", "conv_id", F.md5("proof_text").alias("proof_md5"), "n_steps", F.coalesce("n_deps", F.lit(0)).alias("n_deps"), (F.col("nth") + F.coalesce("n", F.lit(0))).alias("n_available"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gneiss.operators import examples as E
 from gneiss.operators import steps as S
+from gneiss.operators.ranges import numbered
 from gneiss.registry import CHOICES, choose, query, table
 
 CONV = """
@@ -102,12 +103,26 @@ neg AS (SELECT item_id, doc_id, own FROM d WHERE doc_id NOT IN (SELECT doc_id FR
 """
 
 
+def feistel_sql(rows: str) -> str:
+    """``rows`` (key, n, x and others) with x taken through the keyed permutation once."""
+    out = f"(SELECT * EXCLUDE x, x >> bits AS l, x & ((1::BIGINT << bits) - 1) AS r FROM {rows})"
+    for k in range(4):
+        out = f"(SELECT *, (r * 2654435761 + key + {k} * 40503) % 4294967296 AS y FROM {out})"
+        out = f"(SELECT * EXCLUDE y, xor(y, y >> 15) * 1540483477 % 4294967296 AS y FROM {out})"
+        out = f"(SELECT * EXCLUDE y, xor(y, y >> 13) * 2146121005 % 4294967296 AS y FROM {out})"
+        out = f"(SELECT * EXCLUDE (l, r, y), r AS l, xor(l, y >> (32 - bits)) AS r FROM {out})"
+    return f"(SELECT * EXCLUDE (l, r), (l << bits) | r AS x FROM {out})"
+
+
 @query(
     "select_examples",
-    f"""WITH {PAIRS}, c AS (SELECT item_id, sum(own::INT) AS o, sum((NOT own)::INT) AS x FROM neg GROUP BY ALL HAVING count(*) >= 6),
-    w AS (SELECT item_id, CASE WHEN 1 + x < 6 THEN least(6, o) ELSE least(1, o) END AS want FROM c),
-    r AS (SELECT item_id, positive, doc_id, own, want, row_number() OVER (PARTITION BY item_id, positive, own ORDER BY md5('neg:' || item_id || ':' || positive || ':' || doc_id)) AS r FROM pos JOIN w USING (item_id) JOIN neg USING (item_id))
-    SELECT item_id, positive, doc_id AS negative, own FROM r WHERE r <= CASE WHEN own THEN want ELSE 6 - want END""",
+    f"""WITH RECURSIVE {PAIRS}, c AS (SELECT item_id, count(*) FILTER (WHERE own) AS o, count(*) FILTER (WHERE NOT own) AS x FROM neg GROUP BY ALL HAVING count(*) >= 6),
+    w AS (SELECT item_id, o, x, CASE WHEN 1 + x < 6 THEN least(6, o) ELSE least(1, o) END AS want FROM c),
+    a AS (SELECT item_id, positive, true AS own, o AS n, want AS many FROM pos JOIN w USING (item_id) UNION ALL SELECT item_id, positive, false, x, 6 - want FROM pos JOIN w USING (item_id)),
+    d0 AS (SELECT *, ('0x' || substr(md5('neg:' || item_id || ':' || positive || ':' || own::INT), 1, 8))::BIGINT AS key, greatest(1, ceil(log2(n) / 2 - 1e-12))::BIGINT AS bits, unnest(range(0, least(many, n))) AS x FROM a),
+    walk AS (SELECT * FROM {feistel_sql('d0')} UNION ALL SELECT * FROM {feistel_sql('(SELECT * FROM walk WHERE x >= n)')}),
+    p AS (SELECT item_id, own, doc_id, row_number() OVER (PARTITION BY item_id, own ORDER BY doc_id) - 1 AS x FROM neg)
+    SELECT item_id, positive, doc_id AS negative, own FROM (SELECT * FROM walk WHERE x < n) JOIN p USING (item_id, own, x)""",
 )
 def select_examples(spark, sf_dir):
     pos, neg = labelled(spark, sf_dir)
@@ -138,24 +153,26 @@ def rerank_examples(spark, sf_dir):
     SELECT item_id, positive AS target, string_agg(doc_id, ',' ORDER BY rank) AS relevant FROM r WHERE rank <= 5 GROUP BY ALL""",
 )
 def lemma_examples(spark, sf_dir):
+    """The five best premises besides the target are among the six best of the group."""
     from gneiss.operators.retrieval import ranked
 
     pos, neg = labelled(spark, sf_dir)
-    every = pos.unionByName(neg).select("item_id", "doc_id")
-    rows = pos.select("item_id", F.col("doc_id").alias("target")).join(every, "item_id").where("doc_id != target").withColumn("score", F.lit(0))
-    r = ranked(rows, ["item_id", "target"], "doc_id", 5)
-    return r.groupBy("item_id", "target").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string")), ",").alias("relevant"))
+    six = ranked(pos.unionByName(neg).select("item_id", "doc_id").withColumn("score", F.lit(0)), ["item_id"], "doc_id", 6)
+    best = six.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))).alias("best"))
+    rows = pos.select("item_id", F.col("doc_id").alias("target")).join(best, "item_id")
+    other = F.slice(F.filter(F.transform("best", lambda x: x["doc_id"]), lambda i: i != F.col("target")), 1, 5)
+    return rows.where(F.size(other) > 0).select("item_id", "target", F.array_join(F.transform(other, lambda i: i.cast("string")), ",").alias("relevant"))
 
 
 @query(
     "contrastive_labels",
-    f"""WITH {PAIRS}, x AS (SELECT p.item_id, p.positive, q.positive AS premise, q.item_id = p.item_id AS label FROM pos p JOIN pos q ON p.item_id // 8 = q.item_id // 8)
-    SELECT item_id, positive, premise, label FROM x""",
+    f"""WITH {PAIRS}, x AS (SELECT item_id, positive, (row_number() OVER (ORDER BY item_id, positive) - 1) // 8 AS batch FROM pos)
+    SELECT a.item_id, a.positive, b.positive AS premise, a.item_id = b.item_id AS label FROM x a JOIN x b USING (batch)""",
 )
 def contrastive_labels(spark, sf_dir):
-    """Batches of eight items: every example against every premise of its batch."""
+    """Batches of eight examples: each against every premise of its batch; those of its own item are positives."""
     pos, _ = labelled(spark, sf_dir)
-    a = pos.select("item_id", F.col("doc_id").alias("positive"), F.floor(F.col("item_id") / 8).alias("batch"))
+    a = numbered(pos.select("item_id", F.col("doc_id").alias("positive")), [], ["item_id", "positive"], "nth").select("item_id", "positive", F.floor((F.col("nth") - 1) / 8).alias("batch"))
     b = a.select(F.col("item_id").alias("other"), F.col("positive").alias("premise"), "batch")
     return a.join(b, "batch").select("item_id", "positive", "premise", (F.col("item_id") == F.col("other")).alias("label"))
 
@@ -175,13 +192,3 @@ def join_best_last(spark, sf_dir):
 
     d = ranked(table(spark, sf_dir, "documents").withColumn("score", F.lit(0)), ["source"], "doc_id", 5)
     return d.groupBy("source").agg(E.best_last(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.col("text").alias("t")))), lambda x: x["t"])).alias("passages"))
-
-
-@query(
-    "human_baseline",
-    f"""WITH l AS (SELECT conv_id, arg_max(text, turn) AS last, count(*) AS n FROM conversations GROUP BY ALL)
-    SELECT conv_id, n AS n_steps, conv_id // 10 AS n_available FROM l WHERE NOT contains(last, 'Defined')""",
-)
-def human_baseline(spark, sf_dir):
-    last = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("last"), F.count("*").alias("n_steps"))
-    return last.where(~F.col("last").contains("Defined")).select("conv_id", "n_steps", F.floor(F.col("conv_id") / 10).cast("long").alias("n_available"))

@@ -70,12 +70,6 @@ def cache_join(spark, sf_dir):
     return j.select("doc_id", F.coalesce(F.col("quality").cast("long"), F.col("n_chars") % 2).alias("value"), F.col("quality").isNotNull().alias("cached"))
 
 
-@query("dependency_count_join", "SELECT d.doc_id, c.n AS n_deps FROM documents d JOIN (SELECT source, count(DISTINCT lang) - 1 AS n FROM documents GROUP BY source) c USING (source)")
-def dependency_count_join(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.join(d.groupBy("source").agg((F.count_distinct("lang") - 1).alias("n_deps")), "source").select("doc_id", "n_deps")
-
-
 @query("keys_in_range", "SELECT DISTINCT source, lang FROM documents WHERE n_chars BETWEEN 500 AND 900")
 def keys_in_range(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(F.col("n_chars").between(500, 900)).select("source", "lang").distinct()
@@ -108,15 +102,16 @@ def stored_result_first_match(spark, sf_dir):
     return a.unionByName(b).groupBy("doc_id").agg(F.min_by("v", "o").alias("v"))
 
 
-@query("common_records", "SELECT source || '/' || lang AS file, trim(regexp_replace(text, '\\s+', ' ', 'g')) = text AS plain, doc_id % 3 = 0 AS success, CASE WHEN doc_id % 3 = 0 THEN n_chars / 10.0 END AS time FROM documents WHERE doc_id % 3 < 2")
+@query("common_records", "SELECT source || '/' || lang AS file, trim(regexp_replace(text, '\\s+', ' ', 'g')) = text AS plain, doc_id % 3 <> 1 AS success, CASE WHEN doc_id % 3 = 0 THEN n_chars / 10.0 WHEN doc_id % 3 = 2 THEN n_chars / 20.0 END AS time FROM documents")
 def common_records(spark, sf_dir):
-    """Two systems as one record; rows of one without a time are left out by the other's rule."""
+    """Three systems with records of their own as one: a time in tenths, no time for a failure, a time in twentieths."""
     d = table(spark, sf_dir, "documents")
     plain = (T.normalize_ws(F.col("text")) == F.col("text")).alias("plain")
     file = F.concat_ws("/", "source", "lang").alias("file")
     a = d.where("doc_id % 3 = 0").select(file, plain, F.lit(True).alias("success"), (F.col("n_chars") / 10.0).cast("double").alias("time"))
     b = d.where("doc_id % 3 = 1").select(file, plain, F.lit(False).alias("success"), F.lit(None).cast("double").alias("time"))
-    return a.unionByName(b)
+    c = d.where("doc_id % 3 = 2").select(file, plain, F.lit(True).alias("success"), (F.col("n_chars") / 20.0).cast("double").alias("time"))
+    return a.unionByName(b).unionByName(c)
 
 
 @query("steps_in_order", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS step, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations")

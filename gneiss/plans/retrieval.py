@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as T
 from gneiss.operators import dense
 from gneiss.operators import retrieval as R
 from gneiss.operators.corpus import intern
+from gneiss.operators.ranges import numbered
 from gneiss.registry import query, table
 
 TOKENS = f"regexp_extract_all(coalesce(text, ''), '{T.TOKEN}')"
@@ -197,9 +197,10 @@ def linear_map_scores(spark, sf_dir):
     """The map from premises to the contexts that used them (here a vector's successor of its label), by label, and
     the score of every mapped premise for the label's query, its vector with the largest id."""
     e = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL AND label IS NOT NULL").select("vec_id", F.col("label").cast("long").alias("group"), "embedding")
-    after = F.lead("embedding").over(Window.partitionBy("group", "run").orderBy("vec_id"))
-    e = e.withColumn("run", F.floor(F.col("vec_id") / 1000))  # successors within a run of ids, so that no label is one task
-    maps = dense.linear_maps(e.select("group", F.col("embedding").alias("p"), after.alias("g")).where("g IS NOT NULL"))
+    place = numbered(e.select("group", "vec_id"), ["group"], ["vec_id"], "nth")
+    at = e.join(place, ["group", "vec_id"])
+    after = at.select("group", (F.col("nth") - 1).alias("nth"), F.col("embedding").alias("g"))  # the successor by its place, so that no label is one task
+    maps = dense.linear_maps(at.join(after, ["group", "nth"]).select("group", F.col("embedding").alias("p"), "g"))
     asked = e.groupBy("group").agg(F.max_by("embedding", "vec_id").alias("q"))
     v = maps.join(asked, "group").select("group", F.transform("map", lambda row: R.dot(row, F.col("q"))).alias("v"))  # one row per label
     return e.join(v, "group").select("vec_id", F.col("group").cast("int").alias("label"), F.round(R.dot(F.col("embedding"), F.col("v")), 6).alias("score"))
