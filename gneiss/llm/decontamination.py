@@ -33,6 +33,11 @@ UNITS = (
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years ms "
     "usd eur gbp dollar dollars euro euros cent cents yen percent degrees degree k c f w kw kwh v volt volts a amp amps hz khz mhz ghz b kb mb gb tb mph kph"
 ).split()
+# Numbers written as words.
+NUMBER_WORDS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion trillion"
+).split()
 ALNUM = np.array([(b < 128 and chr(b).isalnum()) or b >= 128 for b in range(256)])
 DIGIT = np.array([48 <= b <= 57 for b in range(256)])
 STOP = np.array([chr(b) in ".!?\n" for b in range(256)])
@@ -58,7 +63,7 @@ class Tokens:
         n = len(self.h)
         self.kind = np.zeros(n, np.int8)
         digits = np.concatenate([[0], np.cumsum(digit)])
-        number = digits[self.end] > digits[self.begin]
+        number = (digits[self.end] > digits[self.begin]) | np.isin(self.h, NUMBER_HASHES)
         stops = np.concatenate([[0], np.cumsum(STOP[data])])
         before = np.concatenate([[0], self.end[:-1]])
         starts = stops[self.begin] > stops[before] if n else np.zeros(0, bool)
@@ -82,7 +87,9 @@ class Tokens:
         return out
 
 
-UNIT_HASHES = np.zeros(0, np.uint64)
+UNIT_HASHES = NUMBER_HASHES = np.zeros(0, np.uint64)
+NUMBER_HASHES = np.unique(Tokens([" ".join(NUMBER_WORDS).encode()]).h)
+READING_SALTS = np.arange(3, dtype=np.uint64) * M2
 UNIT_HASHES = np.unique(Tokens([" ".join(UNITS).encode()]).h)
 
 
@@ -111,7 +118,7 @@ def windows(tokens: Tokens, sizes: list[int]) -> Iterator[tuple[int, int, np.nda
         for size in sizes:
             at, keys = window_hashes(h, kind, tokens.of, size)
             if len(at):
-                yield reading, size, at, mix(keys + np.uint64(reading) * M2)
+                yield reading, size, at, mix(keys + READING_SALTS[reading])
 
 
 def texts_at_once(batches: Iterator[pa.RecordBatch], most: int = 400_000) -> Iterator[tuple[list, list, list]]:

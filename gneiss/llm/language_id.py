@@ -9,7 +9,6 @@ each language, those with the smallest hash of their id. Everything else covers
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -19,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.llm.store import cut, free
+
 # ISO 639-1 codes by family; a code that is not listed is in the family "other".
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "fo", "fy", "is", "lb", "nb", "nl", "nn", "no", "sv", "yi"),
@@ -42,13 +43,17 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
 TRIGRAMS = 1 << 12
 SIZE = TRIGRAMS + 256
 #: ASCII letters in lower case, other ASCII as a space, the rest as it is
 READ = np.array([(b | 32) if chr(b).isalpha() and b < 128 else b if b >= 128 else 32 for b in range(256)], np.uint8)
 
 
+def lettered(text: str) -> bool:
+    """Whether a character is a letter (Unicode's categories L); raised, circled and broken numbers are none."""
+    return any(map(str.isalpha, text))
+
+
 def features(text: bytes) -> np.ndarray:
     """The feature vector of a lower-cased text; its length is one."""
     b = READ[np.frombuffer(b" " + text + b" ", np.uint8)]
@@ -86,6 +91,8 @@ class Model:
         self.stages = {"": self.pairs(x, family)}
         for f in sorted(set(family)):
             self.stages[f] = self.pairs(x[family == f], lang[family == f])
+        #: the lowest score of a text that was learned from
+        self.lowest = min(self.predict(row)[1] for row in x)
 
     @staticmethod
     def pairs(x: np.ndarray, label: np.ndarray):
@@ -135,11 +142,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for part in ([F.col("lang"), F.pmod(F.col("version"), F.lit(PARTS))], [F.col("lang")]):  # so that no task sees more than PARTS samples of a language
         rank = F.row_number().over(Window.partitionBy(*part).orderBy("draw", "doc_id", "version"))
         ids = ids.withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank")
-    ids = {(r.doc_id, r.version, r.lang) for r in ids.collect()}
-    if not ids:
-        return None
-    chosen = open_rows.where(F.col("version").isin([v for _, v, _ in ids]) & F.col("doc_id").isin([i for i, _, _ in ids])).dropDuplicates(draw)
+    ids = cut(ids.select(draw).distinct())  # ``per_language`` rows a language
+    chosen = open_rows.join(F.broadcast(ids), draw, "left_semi").dropDuplicates(draw)
     rows = chosen.select("doc_id", "text", "lang").mapInArrow(sample_features, "doc_id long, lang string, x binary").collect()
+    free(ids)
+    if not rows:
+        return None
     rows.sort(key=lambda r: (r.doc_id, r.lang, r.x))
     return Model(np.array([np.frombuffer(r.x, np.float16) for r in rows]).astype(np.float32), [r.lang for r in rows])
 
@@ -161,7 +169,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
         for b in batches:
             out = []
             for t in pc.utf8_lower(b.column(1)).to_pylist():
-                known = m is not None and t is not None and LETTER.search(t)
+                known = m is not None and t is not None and lettered(t)
                 out.append(m.predict(features(t.encode())) if known else (UNDETERMINED, 0.0))
             cols = [b.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())]
             yield pa.RecordBatch.from_arrays([*cols, *b.columns[2:]], ["doc_id", "lang_pred", "score", *b.schema.names[2:]])

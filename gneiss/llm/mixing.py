@@ -14,6 +14,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.llm.store import cut
+
+SOURCES_TO_ALL = 5_000  # rows of rates that go to every task; more are joined by key
 LARGEST_PART = 500.0  # exp(-rate) stays far from the smallest double; larger rates are sums of independent parts
 
 
@@ -65,6 +68,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rate = rates(docs, text_col, source_col, weights, temperature)
     part = F.greatest(F.lit(1), F.ceil(F.col("rate") / LARGEST_PART)).cast("int")
     table = rate.select(F.col("source").alias("__mix_source"), part.alias("__mix_parts"), distribution(F.col("rate") / part).alias("__mix_cdf"), (F.col("rate") > 0).alias("__mix_any"))
+    table = cut(table)  # a row a source
+    table = F.broadcast(table) if table.count() <= SOURCES_TO_ALL else table
     key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
 
     def draw(k: Column) -> Column:

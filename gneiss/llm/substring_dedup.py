@@ -1,16 +1,17 @@
-"""Substring dedup by seed and extend: word windows that already occur earlier are removed.
+"""Substring dedup by seeds: word windows that already occur earlier are removed.
 
 Seeds are winnowed anchors: of the ``seed``-word grams inside a window of ``window`` words, the one with the
 smallest hash (the rightmost of equals) is the window's anchor. Equal windows choose the same anchor at the same
-place, so documents that share a window meet when they are joined on anchors. A window belongs to one anchor
-occurrence, and the windows of one occurrence are consecutive; extended both ways, they make up its region.
+place, so equal windows are among those of one anchor. A window belongs to one anchor occurrence, and the windows of
+one occurrence are consecutive; they make up its region, which is as far as a match at the seed can reach.
 
 * An occurrence whose whole region stands earlier too is a repeat in all its windows: regions that match as a
   whole need no look at single windows, however many copies there are.
-* The first occurrence of each region of an anchor that has several regions is extended word by word: its
-  windows are compared with those of the other first occurrences.
+* The first occurrences of an anchor's different regions are not joined in pairs and extended word by word, which
+  would make a hot anchor's work grow with the square of its regions: their windows are grouped by a 128-bit hash.
+  What is found is what extension of the pairs would find.
 
-Windows that follow each other make maximal repeats of at least ``window`` words; the words that they cover go.
+Windows that follow each other make repeats of at least ``window`` words; the words that they cover go.
 """
 
 from __future__ import annotations

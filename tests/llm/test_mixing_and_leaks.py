@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gneiss.llm import queries
-from gneiss.llm.decontamination import UNITS, contaminated, decontaminate
+from gneiss.llm.decontamination import NUMBER_WORDS, UNITS, contaminated, decontaminate
 from gneiss.llm.mixing import mix, rates
 from gneiss.llm.store import cut
 from tests.llm.helpers import LONG, awkward, documents
@@ -45,6 +45,8 @@ def test_mixing_awkward(spark):
     out = mix(d, temperature=1.0)
     assert "copy" in out.columns
     assert {r.text for r in out.collect()} <= {t for _, t in awkward()}
+    plan = mix(d)._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan  # rates go to documents, not documents to rates
     nobody = spark.createDataFrame([(None, f"text {i}", "a") for i in range(400)], "doc_id long, text string, source string")
     drawn = mix(nobody, temperature=1.0).collect()  # a rate of 1
     assert 300 < len(drawn) < 500 and 200 < len({r.text for r in drawn}) < 300 and len({r.shuffle_key for r in drawn}) == len(drawn)
@@ -75,14 +77,26 @@ def test_templates(spark, text, hit):
     assert [(r.doc_id, r.item_id) for r in got] == ([(7, 1)] if hit else [])
 
 
+def test_numbers_as_words(spark):
+    item = "A farmer sells nine kg of rice for five dollars a bag; how much do eight kg cost?"
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [
+        (1, "It says: a farmer sells 4 kg of rice for 7 dollars a bag; how much do 3 kg cost?"),
+        (2, "It says: a farmer sells four kg of rice for seven dollars a bag; how much do three kg cost?"),
+        (3, "It says: a farmer sells four kg of rice for four dollars a bag; how much do four kg cost?"),
+        (4, "Nine, five and eight are numbers that a farmer knows."),
+    ]
+    assert {r.doc_id for r in contaminated(documents(spark, rows), b).collect()} == {1, 2}
+
+
 def plain_tokens(text):
     """(lower-case token, kind) as the module's docstring says, character by character."""
     out, end, data = [], 0, "\n" + text + "\n\n"
     for m in re.finditer(r"(?:[0-9A-Za-z\x80-\U0010ffff]|(?<=[0-9])[.,](?=[0-9]))+", data):
         t = m.group()
         starts = any(c in ".!?\n" for c in data[end : m.start()])
-        kind = 1 if any(c in "0123456789" for c in t) else 2 if ("A" <= t[0] <= "Z" or "\xc0" <= t[0] <= "\xde") and not starts else 0
         low = "".join(c.lower() if c < "\x80" else c for c in t)
+        kind = 1 if any(c in "0123456789" for c in t) or low in NUMBER_WORDS else 2 if ("A" <= t[0] <= "Z" or "\xc0" <= t[0] <= "\xde") and not starts else 0
         if kind == 0 and low in UNITS and out and out[-1][1] == 1:
             kind = 3
         out.append((low, kind))

@@ -28,6 +28,9 @@ def test_language_awkward(spark):
     d = documents(spark, awkward() + [(20, "12345 ***"), (21, "Ünïcode wörter")])
     m = train(spark.read.parquet(f"{SF}/documents.parquet"), per_language=60)
     got = {r.doc_id: r for r in identify(d, m, keep=("text", "lang")).collect()}
+    numbers = identify(documents(spark, [(i, t) for i, t in enumerate("² ½ ① 5 _ ٣ Ⅷ".split())]), m).collect()
+    assert {(r.lang_pred, r.score) for r in numbers} == {(UNDETERMINED, 0.0)}
+    assert {r.lang_pred for r in identify(documents(spark, [(1, "ª"), (2, "ʰ"), (3, "ǅ"), (4, "1é")]), m).collect()} <= {"de", "en", "es", "fr"}
     assert [got[i].lang_pred for i in (1, 2, 3, 20)] == [UNDETERMINED] * 4 and got[1].score == 0
     assert got[21].lang_pred in {"de", "en", "es", "fr"} and got[4].text == LONG and got[4].lang == "zz"
     assert {r.lang_pred for r in identify(d, None).collect()} == {UNDETERMINED}
