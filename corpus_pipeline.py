@@ -17,16 +17,19 @@ from gneiss.llm.mixing import mix
 from gneiss.llm.store import cut, free
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A language is believed from this score on: two stages of two cannot give less than 0.25; the lowest held-out score
-#: is 0.649 on sf0.01 and 0.487 on check_s. Most texts in an unlearned language score less, some gibberish does not.
-LEAST_SCORE = 0.48
+#: A language is believed from a score on that lies this far from what two even decisions give (0.25) to the lowest of
+#: a text that was learned from: it follows the corpus and stays below what real documents score.
+BELIEF, EVEN = 0.5, 0.25
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language (no letters, no text, or no belief) and writes the predicted one. Rows
-    that repeat are judged alike; an id may be null; where nothing can be learned, nothing is kept."""
-    found = identify(docs, train(docs), keep=("text", "source", "n_chars"))
-    known = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    that repeat are judged alike; an id may be null; a long text is read whole; where nothing can be learned, nothing
+    is kept."""
+    model = train(docs)
+    least = EVEN + BELIEF * max(0.0, model.lowest - EVEN) if model else 0.0
+    found = identify(docs, model, keep=("text", "source", "n_chars"))
+    known = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
     return known.withColumnRenamed("lang_pred", "lang").select(COLUMNS)
 
 
@@ -49,7 +52,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item, also with other values in its slots. Null texts hold nothing."""
+    """Drops documents that hold a benchmark item, also with other values in its slots. Null and empty texts hold
+    nothing; rows that repeat or share an id are judged by their own text; without items or rows nothing is dropped."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(COLUMNS)
 
 
