@@ -173,10 +173,7 @@ def summary_csv(spark, sf_dir):
     S.write_summary(table(spark, sf_dir, "events").select(F.col("event_type").alias("system"), "user_id", "event_id"), path, ["system", "user_id", "event_id"])
     back = spark.read.schema("system string, user_id long, event_id long").csv(path, header=True)
     place = back.select("*", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    n = place.groupBy("file").agg(F.count("*").alias("n"))  # one row per file
-    before = n.alias("a").join(F.broadcast(n.alias("b")), F.col("b.file") < F.col("a.file"), "left").groupBy("a.file").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("file").orderBy("block", "at"))
-    return place.join(before, "file").select("system", "user_id", "event_id", (F.col("before") + within).alias("pos"))
+    return numbered(place, [], ["file", "block", "at"], "pos").select("system", "user_id", "event_id", "pos")
 
 
 @query("split_files", "SELECT source AS file, CASE WHEN source IN ('src0', 'src1') THEN 'test' WHEN source = 'src2' THEN 'val' ELSE 'train' END AS split FROM documents WHERE source IS NOT NULL GROUP BY source")
