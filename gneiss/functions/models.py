@@ -41,10 +41,13 @@ def encode(rows: DataFrame, text: str, encoder: Callable[[list[str]], np.ndarray
     return rows.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id long, emb array<float>")
 
 
+# What a candidate proof must not contain.
+FORBIDDEN = ("Theorem", "Lemma", "Proposition", "Remark", "Corollary", "Property", "Admitted.", "admit.", "Abort.")
+
+
 @choice("checker", "stub")
 def stub_checker(proof: str) -> str:
     """COMPLETE, VALID or INVALID without a prover: by how a text ends and by content that is not allowed."""
-    bad = ("Theorem", "Lemma", "Proposition", "Remark", "Corollary", "Property", "Admitted.", "admit.", "Abort.")
-    if any(x in proof for x in bad):
+    if any(x in proof for x in FORBIDDEN):
         return "INVALID"
     return "COMPLETE" if proof.rstrip().endswith("Qed.") else "VALID"

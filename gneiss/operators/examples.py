@@ -58,6 +58,6 @@ def negatives(step: str, positives: DataFrame, available: DataFrame, item: str,
     each = positives.select(step, F.col(item).alias("positive")).join(n.withColumn("_want", want), step)
     side = lambda own, size, many: F.struct(F.lit(own).alias("own"), size.alias("_size"), many.alias("_many"))
     sides = F.explode(F.array(side(True, F.col("_own"), F.col("_want")), side(False, F.col("_other"), F.lit(total) - F.col("_want"))))
-    asks = each.select(step, "positive", sides.alias("s")).select(step, "positive", "s.*")
+    asks = each.select(step, "positive", sides.alias("_side")).select(step, "positive", "_side.*")
     asks = asks.where("_many > 0").withColumn("_key", key_of("neg", F.col(step), F.col("positive"), F.col("own").cast("int")))
     return drawn(asks, available, [step, "own"], item, "_size", "_many", "_key").select(step, "positive", F.col(item).alias("negative"), "own")

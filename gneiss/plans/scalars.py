@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gneiss.functions import structure as X
 from gneiss.functions import text as T
+from gneiss.functions.models import FORBIDDEN
 from gneiss.registry import query, table
 
 
@@ -81,8 +85,8 @@ def goal_score(spark, sf_dir):
 
 @query("forbidden_content", "SELECT doc_id, regexp_matches(text, 'Theorem|Lemma|Proposition|Remark|Corollary|Property|Admitted\\.|admit\\.|Abort\\.') AS forbidden, regexp_matches(trim(text), '^[*+-]*$') AS focus_only FROM documents")
 def forbidden_content(spark, sf_dir):
-    words = r"Theorem|Lemma|Proposition|Remark|Corollary|Property|Admitted\.|admit\.|Abort\."
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(words).alias("forbidden"), F.trim("text").rlike(r"^[*+-]*$").alias("focus_only"))
+    forbidden = reduce(Column.__or__, [F.col("text").contains(x) for x in FORBIDDEN])
+    return table(spark, sf_dir, "documents").select("doc_id", forbidden.alias("forbidden"), F.trim("text").rlike(r"^[*+-]*$").alias("focus_only"))
 
 
 @query("success_key_json", """SELECT conv_id, turn, '{"file":"' || role || '","proof_idx":' || conv_id || ',"step_idx":' || turn || '}' AS step_id FROM conversations""")
