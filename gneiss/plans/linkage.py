@@ -20,8 +20,8 @@ h AS (SELECT doc_id, base + col AS spot, n, col FROM o WHERE substr(line, col +
 
 def found(spark, sf_dir):
     """Every place in its document where the document's first word stands."""
-    f = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_extract("text", r"\S+", 0).alias("needle")).where("needle != ''")
-    return f.select("doc_id", "text", F.explode(L.occurrences(F.col("text"), F.col("needle"))).alias("spot"))
+    f = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_extract("text", r"\S+", 0).alias("needle"))
+    return L.found_in(f, f, "doc_id", "text", "needle")
 
 
 @query("occurrence_linkage", f"WITH {FOUND} SELECT doc_id, count(*) AS n, min(spot)::INTEGER AS first, max(spot)::INTEGER AS last FROM h GROUP BY doc_id")
@@ -34,8 +34,7 @@ def occurrence_linkage(spark, sf_dir):
     f"WITH {FOUND} SELECT doc_id, spot::INTEGER AS spot, n::INTEGER AS line, col::INTEGER AS col FROM h WHERE spot > 0",
 )
 def offset_to_pos(spark, sf_dir):
-    d = found(spark, sf_dir).where("spot > 0")
-    return d.select("doc_id", "spot", T.line_of(F.col("text"), F.col("spot")).alias("line"), T.column_of(F.col("text"), F.col("spot")).alias("col"))
+    return found(spark, sf_dir).where("spot > 0").select("doc_id", "spot", "line", F.col("column").alias("col"))
 
 
 @query(
@@ -63,18 +62,48 @@ def interval_overlap(spark, sf_dir):
     return L.overlap(a, b, ["user_id"], 128).select("a_id", "b_id")
 
 
-@query(
-    "linkage_modes",
-    f"""WITH {FOUND}, c AS (SELECT d.doc_id, count(h.spot) AS n, count(*) FILTER (WHERE h.spot BETWEEN 100 AND 160) AS k, count(*) OVER (PARTITION BY md5(d.text)) AS same FROM documents d LEFT JOIN h USING (doc_id) GROUP BY d.doc_id, d.text)
-    SELECT CASE WHEN n = 0 THEN 'no candidate' WHEN k = 1 THEN 'linked' WHEN k = 0 THEN 'out of range' WHEN same > 1 THEN 'ambiguous text' ELSE 'ambiguous range' END AS mode, count(*) AS records FROM c GROUP BY 1""",
-)
+RECORDS = """
+r0 AS (SELECT doc_id, unnest(string_split(text, '. ')) AS s, generate_subscripts(string_split(text, '. '), 1) - 1 AS pos FROM documents),
+r AS (SELECT CASE WHEN pos % 7 = 6 THEN doc_id + 1 ELSE doc_id END AS file, doc_id * 1000000 + pos AS record, regexp_extract(s, '\\S+') AS statement FROM r0),
+l AS (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents),
+k AS (SELECT DISTINCT file, statement FROM r WHERE statement <> ''),
+o AS (SELECT file, statement, n, line, unnest(range(0, length(line))) AS col FROM l JOIN k USING (file) WHERE contains(line, statement)),
+h AS (SELECT file, statement, n, col FROM o WHERE substr(line, col + 1, length(statement)) = statement),
+m AS (SELECT file, statement, n, col, file * 1000000 + n AS theorem FROM h WHERE n % 3 <> 1),
+c AS (SELECT file, statement, count(*) AS n, list(theorem ORDER BY n, col) AS t FROM m GROUP BY ALL),
+p AS (SELECT a.file, a.record, count(*) AS same, count(*) FILTER (WHERE b.record < a.record) AS nth FROM r a JOIN r b ON a.file = b.file AND (contains(a.statement, b.statement) OR contains(b.statement, a.statement)) GROUP BY ALL),
+j AS (SELECT r.*, c.n, c.t, p.nth, p.same - (length(statement) = 2)::INT AS same, nth - (length(statement) = 2 AND nth > 0)::INT AS own,
+    CASE WHEN d.doc_id IS NULL THEN 'file missing' WHEN f.file IS NULL THEN 'theorem missing' WHEN c.n IS NULL THEN 'theorem mismatch' WHEN c.n = 1 THEN 'linked'
+    WHEN length(statement) = 2 AND nth = 0 THEN 'bad theorem' WHEN p.same - (length(statement) = 2)::INT <> c.n THEN 'ambiguous' ELSE 'linked' END AS mode
+    FROM r LEFT JOIN (SELECT DISTINCT doc_id FROM documents) d ON d.doc_id = r.file LEFT JOIN (SELECT DISTINCT file, statement FROM h) f USING (file, statement) LEFT JOIN c USING (file, statement) LEFT JOIN p USING (file, record))
+"""
+
+
+def records(spark, sf_dir):
+    """The first word of each sentence as a record of its document; each seventh sentence is asked of the next one."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"\. ", -1)).alias("pos", "s"))
+    file = F.when(F.col("pos") % 7 == 6, F.col("doc_id") + 1).otherwise(F.col("doc_id"))
+    return d.select(file.alias("file"), (F.col("doc_id") * 1000000 + F.col("pos")).alias("record"), F.regexp_extract("s", r"\S+", 0).alias("statement"))
+
+
+def linked(spark, sf_dir):
+    """Records linked to theorems: the lines of a document but each third; of records of two letters the first is bad."""
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), "text")
+    lines = files.select("file", F.posexplode(F.split("text", "\n", -1)).alias("line", "s")).where("line % 3 != 1")
+    theorems = lines.select("file", (F.col("file") * 1000000 + F.col("line")).alias("theorem"), "line", F.lit(0).alias("column"), F.col("line").alias("end_line"), F.length("s").alias("end_column"))
+    asked = records(spark, sf_dir)
+    bad = asked.where(F.length("statement") == 2).select("file", "statement", F.lit(0).alias("nth")).distinct()
+    return L.link(asked, files, theorems, bad)
+
+
+@query("record_linkage", f"WITH {RECORDS} SELECT file, record, mode, CASE WHEN mode = 'linked' THEN CASE WHEN n = 1 THEN t[1] ELSE t[own + 1] END END AS theorem FROM j")
+def record_linkage(spark, sf_dir):
+    return linked(spark, sf_dir)
+
+
+@query("linkage_modes", f"WITH {RECORDS} SELECT mode, count(*) AS records FROM j GROUP BY mode")
 def linkage_modes(spark, sf_dir):
-    h = found(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("spot").between(100, 160)).alias("k"))
-    d = table(spark, sf_dir, "documents")
-    same = d.groupBy(F.md5("text").alias("m")).agg(F.count("*").alias("same"))
-    j = d.select("doc_id", F.md5("text").alias("m")).join(h, "doc_id", "left").join(same, "m")
-    mode = L.classify(F.coalesce("n", F.lit(0)), F.coalesce("k", F.lit(0)), F.col("same"))
-    return j.groupBy(mode.alias("mode")).agg(F.count("*").alias("records"))
+    return linked(spark, sf_dir).groupBy("mode").agg(F.count("*").alias("records"))
 
 
 @query("project_rename", "SELECT doc_id, CASE source WHEN 'src1' THEN 'alpha' WHEN 'src2' THEN 'beta' ELSE source END AS project FROM documents")
@@ -110,14 +139,9 @@ def workspace_of_path(spark, sf_dir):
     """WITH d AS (SELECT doc_id, source, regexp_extract(text, '\\S+(\\s+\\S+)?') AS t FROM documents WHERE source IS NOT NULL AND text IS NOT NULL) SELECT a.doc_id, count(*)::INTEGER AS n_same, (count(*) FILTER (WHERE b.doc_id < a.doc_id))::INTEGER AS ordinal FROM d a JOIN d b ON a.source = b.source AND (contains(a.t, b.t) OR contains(b.t, a.t)) GROUP BY a.doc_id""",
 )
 def fuzzy_same_theorem(spark, sf_dir):
-    """Theorems of a file are the same if the name of one (the first two words here) holds the other's. A name holds
-    another only if it holds all its pieces of three characters, so names meet on one such piece and not in a file."""
-    d = table(spark, sf_dir, "documents").where("source IS NOT NULL AND text IS NOT NULL").select("doc_id", "source", F.regexp_extract("text", r"\S+(\s+\S+)?", 0).alias("t"))
-    names = L.containments(d.select("source", "t").distinct(), "source", "t")
-    both = names.unionByName(names.where("t != u").select("source", F.col("u").alias("t"), F.col("t").alias("u"))).distinct()
-    other = d.select("source", F.col("t").alias("u"), F.col("doc_id").alias("other"))
-    j = d.join(both, ["source", "t"]).join(other, ["source", "u"])
-    return j.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_same"), F.count_if(F.col("other") < F.col("doc_id")).cast("int").alias("ordinal"))
+    """Theorems of a file are the same if the name of one (the first two words here) holds the other's."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.regexp_extract("text", r"\S+(\s+\S+)?", 0).alias("t"))
+    return L.same_names(d, "source", "t", "doc_id").select("doc_id", F.col("n_same").cast("int").alias("n_same"), F.col("nth").cast("int").alias("ordinal"))
 
 
 @query(

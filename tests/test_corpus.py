@@ -122,13 +122,6 @@ def test_venn_joint_curve_recall(spark):
     assert [r.v for r in spark.range(4).select(E.bucket(F.col("id"), [(0, 1), (2, None)]).alias("v")).collect()] == ["0-1", "0-1", "2+", "2+"]
 
 
-@LOOSE
-@given(st.text(alphabet="ab", max_size=12), st.text(alphabet="ab", min_size=1, max_size=3))
-def test_occurrences_overlap(spark, text, needle):
-    want = [i for i in range(len(text)) if text.startswith(needle, i)]
-    assert spark.createDataFrame([(text, needle)], "t string, n string").select(L.occurrences(F.col("t"), F.col("n")).alias("v")).first().v == want
-
-
 @LOOSE
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 12)), max_size=6), st.lists(st.tuples(st.integers(0, 30), st.integers(0, 12)), max_size=6))
 def test_interval_overlap(spark, xs, ys):
