@@ -53,51 +53,6 @@ def without_locations(tree):
     return [without_locations(x) for x in tree] if isinstance(tree, list) else tree
 
 
-def same_tree(a, b, names: dict[str, str]) -> bool:
-    """Whether two trees are equal once names of the first are read as those of the second."""
-    work = [(a, b)]
-    while work:
-        x, y = work.pop()
-        if isinstance(x, str) and isinstance(y, str):
-            if names.get(x, x) != y:
-                return False
-        elif isinstance(x, list) and isinstance(y, list) and len(x) == len(y):
-            work += zip(x, y, strict=True)
-        elif isinstance(x, dict) and isinstance(y, dict) and x.keys() == y.keys():
-            work += [(x[k], y[k]) for k in x]
-        elif type(x) is not type(y) or x != y:
-            return False
-    return True
-
-
-@F.pandas_udf(T.BooleanType())
-def equal_under(a: pd.Series, b: pd.Series, names: pd.Series) -> pd.Series:
-    read = lambda s: without_locations(json.loads(s))
-    return pd.Series([None if None in (x, y) else same_tree(read(x), read(y), json.loads(n or "{}")) for x, y, n in zip(a, b, names, strict=True)], dtype="object")
-
-
-def cover(needed: list, given: list, match) -> bool:
-    """Whether every needed item can be given one of its own, by augmenting paths."""
-    owner: dict[int, int] = {}
-
-    def place(i: int, tried: set[int]) -> bool:
-        for j, g in enumerate(given):
-            if j not in tried and match(needed[i], g):
-                tried.add(j)
-                if j not in owner or place(owner[j], tried):
-                    owner[j] = i
-                    return True
-        return False
-
-    return all(place(i, set()) for i in range(len(needed)))
-
-
-@F.pandas_udf(T.BooleanType())
-def covers(needed: pd.Series, given: pd.Series) -> pd.Series:
-    """``cover`` by equality, on JSON lists."""
-    return pd.Series([None if None in (n, g) else cover(json.loads(n), json.loads(g), lambda a, b: a == b) for n, g in zip(needed, given, strict=True)], dtype="object")
-
-
 @F.pandas_udf(T.StringType())
 def unlocated(tree: pd.Series) -> pd.Series:
     """``without_locations`` on JSON."""

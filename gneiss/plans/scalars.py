@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gneiss.functions import goals as G
 from gneiss.functions import structure as X
 from gneiss.functions import text as T
 from gneiss.functions.models import FORBIDDEN
+from gneiss.operators.ranges import numbered
 from gneiss.registry import query, table
 
 
@@ -120,16 +122,45 @@ def kill_comments(spark, sf_dir):
 
 @query("alpha_equiv", "SELECT doc_id, coalesce(text, '') = coalesce(text, '') AND doc_id % 3 = doc_id % 2 AND doc_id % 5 <> 0 AS equal FROM documents")
 def alpha_equiv(spark, sf_dir):
-    """Syntax trees that are equal up to the names of bound variables; locations do not count, free variables do."""
+    """Syntax trees that are equal up to the names that they bind; locations do not count, free names do."""
     d = table(spark, sf_dir, "documents")
-    leaf = lambda var, n: F.array(F.lit("app"), F.coalesce("text", F.lit("")), var, (F.col("doc_id") % n).cast("string"))
 
-    def tree(bound: str, var, n: int):
-        return F.to_json(F.struct(F.lit("fun").alias("kind"), F.lit(bound).alias("bound"), leaf(var, n).alias("body"), F.col("doc_id" if n == 2 else "n_chars").alias("loc")))
+    def tree(bound: str, used, n: int):
+        text, loc = F.to_json(F.array(F.coalesce("text", F.lit("")))), F.coalesce("doc_id" if n == 2 else "n_chars", F.lit(0)).cast("string")
+        use = F.concat(F.lit('["Ser_Qualid",["DirPath",[]],["Id","'), used, F.lit('"]]'))
+        body = F.concat(F.lit('["CApp",'), text, F.lit(","), use, F.lit(","), (F.col("doc_id") % n).cast("string"), F.lit("]"))
+        return F.concat(F.lit('["CLambdaN",{"loc":'), loc, F.lit(',"v":'), body, F.lit(f'}},["CLocalAssum",["Name",["Id","{bound}"]]]]'))
 
     free = F.when(F.col("doc_id") % 5 == 0, F.lit("x-bound")).otherwise(F.lit("y-bound"))
-    d = d.select("doc_id", tree("x-bound", F.lit("x-bound"), 3).alias("a"), tree("y-bound", free, 2).alias("b"), F.lit('{"x-bound":"y-bound"}').alias("names"))
-    return d.select("doc_id", X.equal_under("a", "b", "names").alias("equal"))
+    return d.select("doc_id", G.alpha_equal(tree("x-bound", F.lit("x-bound"), 3), tree("y-bound", free, 2)).alias("equal"))
+
+
+@query(
+    "goals_as_hard",
+    """WITH h AS (SELECT DISTINCT l_orderkey AS k, l_linestatus AS r, l_partkey % 3 AS i, l_suppkey % 3 AS j FROM lineitem),
+    n AS (SELECT o_orderkey AS k, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS other FROM orders),
+    p AS (SELECT k, other, m, [m % 3, m // 3 % 3, m // 9] AS f FROM n, range(27) t(m) WHERE other IS NOT NULL),
+    g AS (SELECT * FROM p WHERE f[k % 3 + 1] = other % 3),
+    w AS (SELECT g.k, g.m FROM g JOIN h a ON a.k = g.k LEFT JOIN h b ON b.k = g.other AND b.r = a.r AND b.i = g.f[a.i + 1] AND b.j = g.f[a.j + 1] WHERE b.k IS NULL),
+    s AS (SELECT DISTINCT k FROM (SELECT k, m FROM g EXCEPT SELECT k, m FROM w))
+    SELECT n.k AS goal, n.other AS other, s.k IS NOT NULL AS as_hard FROM n LEFT JOIN s USING (k) WHERE n.other IS NOT NULL""",
+)
+def goals_as_hard(spark, sf_dir):
+    """Whether an order's goal is as hard as that of its customer's next order: each line is a hypothesis that relates
+    two of three variables, the goal is about one; how variables correspond has to be found."""
+    use = lambda n: F.concat(F.lit('["Ser_Qualid",["DirPath",[]],["Id","x'), n.cast("string"), F.lit('"]]'))
+    line = F.concat(
+        F.lit('{"ids":["H'), F.col("l_linenumber").cast("string"), F.lit('"],"ast":["CApp",'), F.to_json(F.array("l_linestatus")), F.lit(","),
+        use(F.col("l_partkey") % 3), F.lit(","), use(F.col("l_suppkey") % 3), F.lit("]}"),
+    )
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("goal")).agg(F.array_join(F.sort_array(F.collect_list(line)), ",").alias("lines"))
+    types, goal = F.lit('{"hyps":[{"ids":["x0","x1","x2"],"ast":"nat"}'), F.concat(F.lit('],"goal":["CApp","G",'), use(F.col("goal") % 3), F.lit("]}"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("goal"), "o_custkey")
+    asked = orders.join(lines, "goal", "left").select("goal", F.concat(types, F.coalesce(F.concat(F.lit(","), "lines"), F.lit("")), goal).alias("tree"))
+    turn = numbered(orders, ["o_custkey"], ["goal"], "n")
+    pairs = turn.join(turn.select("o_custkey", F.col("goal").alias("other"), (F.col("n") - 1).alias("n")), ["o_custkey", "n"]).select("goal", "other")
+    both = pairs.join(asked, "goal").join(asked.withColumnsRenamed({"goal": "other", "tree": "other_tree"}), "other")
+    return both.select("goal", "other", G.hard_as("tree", "other_tree").alias("as_hard"))
 
 
 @query(
@@ -138,10 +169,11 @@ def alpha_equiv(spark, sf_dir):
     SELECT k, len(list_filter(needed, lambda z: NOT list_contains(given, z))) = 0 AS covered FROM s""",
 )
 def obligation_coverage(spark, sf_dir):
-    """Whether every obligation that is needed is given, each by one of its own."""
+    """Whether every obligation that is needed has one given that is as hard."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
-    s = o.groupBy(F.col("o_orderkey").alias("k")).agg(F.to_json(F.collect_set(F.col("l_linenumber") % 4)).alias("given"), F.to_json(F.collect_set(F.col("l_suppkey") % 4)).alias("needed"))
-    return s.select("k", X.covers("needed", "given").alias("covered"))
+    goals = lambda c: F.to_json(F.transform(F.collect_set(F.col(c) % 4), lambda x: F.struct(F.array().cast("array<string>").alias("hyps"), x.alias("goal"))))
+    s = o.groupBy(F.col("o_orderkey").alias("k")).agg(goals("l_linenumber").alias("given"), goals("l_suppkey").alias("needed"))
+    return s.select("k", G.covers("given", "needed").alias("covered"))
 
 
 @query("located_trees", "SELECT event_id, '{\"k\":' || (props->>'$.k') || ',\"tree\":[\"f\",' || user_id || ']}' AS tree FROM events")
