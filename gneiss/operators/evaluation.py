@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.operators.ranges import numbered
+from gneiss.operators.ranges import numbered, running
 
 
 def succeeded(proof: Column, time: Column, timeout: float) -> Column:
@@ -74,3 +74,19 @@ def recall(hits: DataFrame, ks: list[int]) -> DataFrame:
     every = hits.select("hits_on", "num_premises", F.explode(F.array(*map(F.lit, ks))).alias("k"))
     found = F.size(F.filter("hits_on", lambda h: h <= F.col("k")))
     return every.groupBy("k").agg(F.round(F.avg((found == F.col("num_premises")).cast("int")), 6).alias("strict"), F.round(F.try_divide(F.sum(found), F.sum("num_premises")), 6).alias("micro"))
+
+
+def spread(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, mean, median, longest) of the values of each group, exactly, null for a group that has none.
+
+    Values are counted where they are and the counts summed along each group's values in ranges, so no task holds a
+    group's values: the median is half the sum of the values that half and half the rows and one more come up to.
+    """
+    counts = rows.groupBy(*by, value).agg(F.count(value).alias("_n"))
+    along = running(counts, by, [F.col(value)], {"_upto": F.col("_n")})
+    all_of = counts.groupBy(*[F.col(c).alias(f"_key{k}") for k, c in enumerate(by)]).agg(F.sum("_n").alias("_all"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_key{k}")) for k, c in enumerate(by)])
+    reached = lambda half: F.min(F.when((F.col("_upto") >= half) & (F.col("_n") > 0), F.col(value)))
+    low, high = reached(F.floor((F.col("_all") + 1) / 2)), reached(F.floor(F.col("_all") / 2) + 1)
+    mean = F.sum(F.col(value) * F.col("_n")) / F.sum("_n")
+    return along.join(all_of, same).groupBy(*by).agg(mean.alias("mean"), ((low + high) / 2).alias("median"), F.max(value).alias("longest"))

@@ -178,13 +178,13 @@ def bucket_rates_unpivot(spark, sf_dir):
 @query("proof_length_stats", "WITH p AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS t FROM conversations GROUP BY ALL), n AS (SELECT conv_id % 5 AS grp, len(regexp_split_to_array(regexp_replace(t, '^\\s+|\\s+$', '', 'g'), '[.;]\\s+')) AS n FROM p) SELECT grp, round(avg(n), 6) AS mean, median(n)::DOUBLE AS median, max(n)::INTEGER AS longest FROM n GROUP BY grp")
 def proof_length_stats(spark, sf_dir):
     p = S.whole_text(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text").select((F.col("conv_id") % 5).alias("grp"), T.proof_length(F.col("proof_text")).alias("n"))
-    return p.groupBy("grp").agg(F.round(F.avg("n"), 6).alias("mean"), F.median("n").cast("double").alias("median"), F.max("n").alias("longest"))
+    return E.spread(p, ["grp"], "n").withColumn("mean", F.round("mean", 6))
 
 
 @query("edit_distance_stats", "WITH d AS (SELECT p_partkey % 10 AS grp, levenshtein(p_name, p_type) AS d FROM part) SELECT grp, round(avg(d), 6) AS mean, median(d)::DOUBLE AS median FROM d GROUP BY grp")
 def edit_distance_stats(spark, sf_dir):
     d = table(spark, sf_dir, "part").select((F.col("p_partkey") % 10).alias("grp"), T.edit_distance(F.col("p_name"), F.col("p_type")).alias("d"))
-    return d.groupBy("grp").agg(F.round(F.avg("d"), 6).alias("mean"), F.median("d").cast("double").alias("median"))
+    return E.spread(d, ["grp"], "d").select("grp", F.round("mean", 6).alias("mean"), "median")
 
 
 @query("error_fraction", "SELECT event_type AS system, round(avg((value > 90)::INT), 6) AS errors FROM events GROUP BY ALL")

@@ -13,7 +13,8 @@ from gneiss.operators.ranges import numbered
 from gneiss.registry import query, table
 from gneiss.sources import files as S
 from gneiss.store import shared_folder
-from gneiss.streaming.resume import not_yet
+from gneiss.streaming.resume import follow, not_yet
+from gneiss.streaming.strikes import until_stopped
 
 
 def folder(spark) -> str:
@@ -224,6 +225,29 @@ def resumed_outputs(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@query(
+    "stopped_workers",
+    """WITH e AS (SELECT user_id, event_id, ts, coalesce(value >= 50, true) AS failed FROM events),
+    o AS (SELECT *, sum((NOT failed)::INT) OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id ROWS UNBOUNDED PRECEDING) AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id) AS n FROM e),
+    s AS (SELECT *, sum(failed::INT) OVER (PARTITION BY user_id, run ORDER BY n ROWS UNBOUNDED PRECEDING) AS strikes FROM o),
+    f AS (SELECT user_id, min(n) AS last FROM s WHERE strikes >= 3 GROUP BY user_id)
+    SELECT s.user_id, event_id, strikes::INTEGER AS strikes, strikes >= 3 AS stop FROM s LEFT JOIN f ON s.user_id IS NOT DISTINCT FROM f.user_id WHERE last IS NULL OR n <= last""",
+)
+def stopped_workers(spark, sf_dir):
+    """Users stop at the third failure in a row. Events arrive in two parts, and the stream is started again for the
+    second over the first's checkpoint."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", (F.col("value") >= 50).alias("failed"))
+    parts, out, done = folder(spark), folder(spark), folder(spark)
+    day = F.to_date("ts")
+    half = F.broadcast(e.agg(F.date_add(F.min(day), F.floor(F.date_diff(F.max(day), F.min(day)) / 2).cast("int")).alias("half")))  # one row
+    split = e.crossJoin(half).withColumn("late", F.coalesce(day > F.col("half"), F.lit(False))).drop("half")
+    for late in (False, True):
+        split.where(F.col("late") == late).drop("late").write.mode("append").parquet(parts)
+        count = lambda new: until_stopped(new, "user_id", ["ts", "event_id"], "failed")
+        follow(spark, parts, e.schema, lambda rows: rows, out, done, "parquet", count).awaitTermination()
+    return spark.read.schema("user_id long, event_id long, strikes int, stop boolean").parquet(out).select("user_id", "event_id", "strikes", "stop")
+
+
 @query(
     "path_functions",
     """WITH p AS (SELECT doc_id, '../../data/repos/' || source || '/' || lang || '.v' AS path FROM documents)

@@ -17,10 +17,14 @@ def not_yet(rows: DataFrame, path: str, key: list[str]) -> DataFrame:
     return rows.join(spark.read.parquet(path).select(*key).distinct(), key, "left_anti")
 
 
-def follow(spark: SparkSession, folder: str, schema: StructType | str, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, kind: str = "json"):
+def follow(spark: SparkSession, folder: str, schema: StructType | str, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, kind: str = "json", stream: Callable[[DataFrame], DataFrame] | None = None, files: int | None = None):
     """Runs ``work`` on files as they arrive and appends the result; the checkpoint remembers what was done, so each
-    file counts once however often this is stopped and started again."""
-    new = spark.readStream.schema(schema).format(kind).load(folder)
+    file counts once however often this is stopped and started again. ``stream`` is work on the stream itself, with
+    state; ``files`` bounds how many a micro-batch takes, oldest first."""
+    source = spark.readStream.schema(schema).format(kind)
+    new = (source.option("maxFilesPerTrigger", files) if files else source).load(folder)
+    if stream:
+        new = stream(new)
 
     def step(batch: DataFrame, number: int) -> None:
         work(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
