@@ -71,6 +71,11 @@ def goal_score(goal: Column, hyps: Column, normalise: bool = False) -> Column:
     return F.try_divide(best.cast("double"), F.length(goal)) if normalise else best
 
 
+def goals_score(scores: Column) -> Column:
+    """The score of a list of goals from those of its goals, as an aggregate: the nearer its goals, the higher."""
+    return -F.sum(scores)
+
+
 def strip_owner(path: Column, owners: list[str]) -> Column:
     """Drops the first owner's name that, with a dash, begins the path."""
     out = path

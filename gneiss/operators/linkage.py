@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.functions import text as T
 from gneiss.operators.ranges import numbered
 from gneiss.store import cut
 
@@ -135,6 +136,16 @@ def same_names(records: DataFrame, group: str, name: str, order: str) -> DataFra
     return records.join(own.withColumnsRenamed({"t": name, "_o": order}), [group, name, order])
 
 
+def theorem_steps(theorems: DataFrame, steps: DataFrame) -> DataFrame:
+    """``theorems`` (file, theorem, statement, line) with ``step``: the first of the ``steps`` (file, step, text, line) of
+    the file that begins on the theorem's line and holds its statement, both with single spaces; null if none does."""
+    here = steps.select("file", "line", "step", T.normalize_ws(F.col("text")).alias("_text"))
+    asked = theorems.withColumn("_said", T.normalize_ws(F.col("statement")))
+    met = asked.join(here, ["file", "line"]).where(F.col("_text").contains(F.col("_said")))
+    first = met.groupBy("file", "theorem").agg(F.min("step").alias("step"))
+    return theorems.join(first, ["file", "theorem"], "left")
+
+
 def link(records: DataFrame, files: DataFrame, theorems: DataFrame, bad: DataFrame) -> DataFrame:
     """(file, record, mode, theorem): which theorem each record of another tool is, or why that cannot be told.
 

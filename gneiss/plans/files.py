@@ -122,6 +122,25 @@ def tool_files(spark, sf_dir):
     return S.read_tool_files(spark, path).select("file", "theorem", "success", "proof")
 
 
+@query(
+    "human_rows",
+    """SELECT o_orderkey % 1000 AS file_idx, 'p' || o_custkey % 7 || '/' || o_orderkey || '.v' AS file, 'Lemma l' || o_orderkey || ' : ' || o_orderpriority AS theorem, o_totalprice AS time,
+    o_orderstatus = 'F' AS success, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS proof, array_to_string(['M', o_orderstatus], '.') AS module, (o_custkey % 11)::INTEGER AS num_deps FROM orders""",
+)
+def human_rows(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    done, path = F.col("o_orderstatus") == "F", folder(spark)
+    rows = o.select(
+        F.concat(F.lit("p"), F.col("o_custkey") % 7, F.lit("/deep/er/"), "o_orderkey", F.lit(".v")).alias("file"),
+        F.concat(F.lit("  Lemma l"), "o_orderkey", F.lit(" \n\t: "), "o_orderpriority", F.lit("\n")).alias("theorem"),
+        F.col("o_totalprice").alias("time"), done.alias("success"), F.array(F.lit("M"), "o_orderstatus").alias("modules"),
+        (F.col("o_orderkey") % 1000).alias("file_idx"), F.when(done, F.col("o_orderpriority")).alias("proof"), (F.col("o_custkey") % 11).alias("num_deps"),
+    )
+    rows.write.json(path)
+    back = S.read_human(spark, path, multi_line=False)
+    return back.select(F.col("file_idx").cast("long").alias("file_idx"), "file", "theorem", "time", "success", "proof", F.array_join("modules", ".").alias("module"), "num_deps")
+
+
 @query("training_log_read", "SELECT event_id AS step, CASE WHEN event_id % 5 = 0 THEN NULL ELSE round(value, 6) END AS loss, CASE WHEN event_id % 5 = 0 THEN round(value, 6) END AS eval_loss, event_id % 5 = 0 AS is_eval FROM events")
 def training_log_read(spark, sf_dir):
     e = table(spark, sf_dir, "events")

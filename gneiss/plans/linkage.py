@@ -144,6 +144,23 @@ def fuzzy_same_theorem(spark, sf_dir):
     return L.same_names(d, "source", "t", "doc_id").select("doc_id", F.col("n_same").cast("int").alias("n_same"), F.col("nth").cast("int").alias("ordinal"))
 
 
+@query(
+    "theorem_steps",
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+    c AS (SELECT doc_id, line, unnest(string_split(s, '. ')) AS s, generate_subscripts(string_split(s, '. '), 1) - 1 AS pos FROM l),
+    st AS (SELECT doc_id AS file, line, line * 10000 + pos AS step, trim(regexp_replace(s, '\s+', ' ', 'g')) AS s FROM c),
+    t AS (SELECT doc_id AS file, line * 10000 + pos AS theorem, line + (doc_id % 7 = 0)::INT AS line, regexp_extract(s, '\S+') AS said FROM c WHERE pos = 1)
+    SELECT t.file, t.theorem, min(step) AS step FROM t LEFT JOIN st ON st.file = t.file AND st.line = t.line AND contains(st.s, said) GROUP BY ALL""",
+)
+def theorem_steps(spark, sf_dir):
+    """Sentences are steps; the first word of each line's second one is looked for on its line, or on the next."""
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n", -1)).alias("line", "s"))
+    steps = lines.select("file", "line", F.posexplode(F.split("s", r"\. ", -1)).alias("pos", "text")).withColumn("step", F.col("line").cast("long") * 10000 + F.col("pos"))
+    late = (F.col("file") % 7 == 0).cast("int")
+    theorems = steps.where("pos = 1").select("file", F.col("step").alias("theorem"), F.concat(F.lit(" \n"), F.regexp_extract("text", r"\S+", 0)).alias("statement"), (F.col("line") + late).alias("line"))
+    return L.theorem_steps(theorems, steps).select("file", "theorem", "step")
+
+
 @query(
     "theorem_at_line",
     "SELECT e.event_id, d.doc_id FROM events e JOIN documents d ON d.doc_id = e.event_id % 1000 AND d.source = 'src' || (e.user_id % 20)",

@@ -85,6 +85,20 @@ def goal_score(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.goal_score(F.col("p_name"), F.array("p_type")).alias("score"))
 
 
+@query(
+    "goal_list_scores",
+    """WITH g AS (SELECT l_orderkey, p_name AS goal, [p_type, p_brand, p_size::VARCHAR] AS hyps FROM lineitem JOIN part ON p_partkey = l_partkey),
+    s AS (SELECT l_orderkey, goal, least(length(goal), list_min(list_transform(hyps, lambda h: levenshtein(goal, h)))) AS d FROM g)
+    SELECT l_orderkey, round(-sum(d / length(goal)), 6) AS normalised, (-sum(d))::BIGINT AS plain FROM s GROUP BY l_orderkey""",
+)
+def goal_list_scores(spark, sf_dir):
+    """The goals of an order are the names of its parts, each with three hypotheses."""
+    hyps, name = F.array("p_type", "p_brand", F.col("p_size").cast("string")), F.col("p_name")
+    parts = table(spark, sf_dir, "part").select("p_partkey", T.goal_score(name, hyps, True).alias("normalised"), T.goal_score(name, hyps).alias("plain"))
+    goals = table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    return goals.groupBy("l_orderkey").agg(F.round(T.goals_score(F.col("normalised")), 6).alias("normalised"), T.goals_score(F.col("plain")).alias("plain"))
+
+
 @query("forbidden_content", "SELECT doc_id, regexp_matches(text, 'Theorem|Lemma|Proposition|Remark|Corollary|Property|Admitted\\.|admit\\.|Abort\\.') AS forbidden, regexp_matches(trim(text), '^[*+-]*$') AS focus_only FROM documents")
 def forbidden_content(spark, sf_dir):
     forbidden = reduce(Column.__or__, [F.col("text").contains(x) for x in FORBIDDEN])

@@ -92,6 +92,17 @@ def read_tool_files(spark: SparkSession, path: str) -> DataFrame:
     return d.select("*", F.nullif(idx, F.lit("")).cast("int").alias("file_idx"), T.tool_proof(F.col("stdout")).alias("proof"))
 
 
+# The fields of a record that all systems share.
+RECORD = "file string, raw_file string, theorem string, time double, success boolean, modules array<string>, file_idx int, proof string, num_deps int, num_proj_deps int, num_proofs_available int"
+
+
+def read_human(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Records of what people proved: theorems with single spaces, files as first and last part of their path. One JSON
+    a file as it is exported, or one a line without ``multi_line``."""
+    d = spark.read.schema(RECORD).json(path, multiLine=multi_line)
+    return d.withColumns({"theorem": T.normalize_ws(F.col("theorem")), "file": T.ends_of_path(F.col("file"))})
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a training log; those with an evaluation loss are evaluations."""
     return spark.read.schema(LOG).json(path).withColumn("is_eval", F.col("eval_loss").isNotNull())

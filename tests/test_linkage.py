@@ -113,3 +113,10 @@ def test_link_against_one_record_after_another(spark, corpus):
     assert {r.record: (r.mode, r.theorem) for r in got} == want
     assert len(got) == len(records)
     assert {m for m, _ in want.values()} == {"file missing", "theorem missing", "theorem mismatch", "linked", "ambiguous", "bad theorem"}
+
+
+def test_theorem_steps(spark):
+    steps = [("f", 4, "Lemma a :\n  x.", 3), ("f", 5, "Lemma a : x. ", 3), ("f", 9, "Lemma a : x.", 7), ("g", 1, "Lemma a : x.", 3), ("f", 10, None, 3)]
+    theorems = [("f", 0, " Lemma  a : x.", 3), ("f", 1, "a :", 7), ("f", 2, "Lemma a : x.", 8), ("g", 0, "Lemma b", 3), ("f", 3, None, 3), ("f", 5, "", 7)]
+    got = L.theorem_steps(spark.createDataFrame(theorems, "file string, theorem long, statement string, line int"), spark.createDataFrame(steps, "file string, step long, text string, line int"))
+    assert {(r.file, r.theorem): r.step for r in got.collect()} == {("f", 0): 4, ("f", 1): 9, ("f", 2): None, ("g", 0): None, ("f", 3): None, ("f", 5): 9}

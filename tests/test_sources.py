@@ -97,3 +97,11 @@ def test_incremental(spark, tmp_path):
         run()
     run()
     assert sorted(r.v for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [0, 2]
+
+
+def test_human_rows(spark, tmp_path):
+    row = {"file": "p/a/b/c.v", "raw_file": "p/a/b/c.v", "theorem": " Lemma x :\n\t y. ", "time": 3, "success": True, "modules": ["M"], "file_idx": None, "proof": "now auto.", "num_deps": 2, "num_proj_deps": 1, "num_proofs_available": 9}
+    for n in range(2):
+        (tmp_path / f"{n}.json").write_text(json.dumps(row | {"num_deps": n}, indent=1))
+    got = S.read_human(spark, str(tmp_path)).orderBy("num_deps").collect()
+    assert [(r.file, r.raw_file, r.theorem, r.time, r.modules, r.num_deps) for r in got] == [("p/c.v", "p/a/b/c.v", "Lemma x : y.", 3.0, ["M"], n) for n in range(2)]
