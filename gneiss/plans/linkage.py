@@ -148,8 +148,8 @@ def fuzzy_same_theorem(spark, sf_dir):
     "theorem_steps",
     """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
     c AS (SELECT doc_id, line, unnest(string_split(s, '. ')) AS s, generate_subscripts(string_split(s, '. '), 1) - 1 AS pos FROM l),
-    st AS (SELECT doc_id AS file, line, line * 10000 + pos AS step, trim(regexp_replace(s, '\s+', ' ', 'g')) AS s FROM c),
-    t AS (SELECT doc_id AS file, line * 10000 + pos AS theorem, line + (doc_id % 7 = 0)::INT AS line, regexp_extract(s, '\S+') AS said FROM c WHERE pos = 1)
+    st AS (SELECT doc_id AS file, line, line * 10000 + pos AS step, trim(regexp_replace(s, '\\s+', ' ', 'g')) AS s FROM c),
+    t AS (SELECT doc_id AS file, line * 10000 + pos AS theorem, line + (doc_id % 7 = 0)::INT AS line, regexp_extract(s, '\\S+') AS said FROM c WHERE pos = 1)
     SELECT t.file, t.theorem, min(step) AS step FROM t LEFT JOIN st ON st.file = t.file AND st.line = t.line AND contains(st.s, said) GROUP BY ALL""",
 )
 def theorem_steps(spark, sf_dir):
