@@ -100,3 +100,12 @@ def test_trees():
     tree = {"loc": 1, "t": ["fun", "x", {"location": 3, "v": "x"}]}
     assert X.without_locations(tree) == {"t": ["fun", "x", {"v": "x"}]}
     assert json.dumps(X.without_locations([])) == "[]"
+
+
+def test_tokens_are_what_the_pattern_matches(spark):
+    """Every character, alone and between letters, by the pattern and by ``tokens``; matches are not looked for one by one."""
+    texts = [c if alone else f"a{c}b {c}{c}" for c in map(chr, [*range(1, 0xD800), *range(0xE000, 0x10000), 0x1F600]) for alone in (True, False)]
+    d = spark.createDataFrame([(t,) for t in [*texts, "", "  ", " a  b ", None]], "text string")
+    pattern = F.regexp_extract_all("text", F.lit(T.TOKEN), F.lit(0))
+    assert d.where(~T.tokens(F.col("text")).eqNullSafe(pattern)).count() == 0
+    assert "regexp" not in str(T.tokens(F.col("text")))
