@@ -186,3 +186,34 @@ def test_rank_far_down(spark):
     q = spark.createDataFrame([(1, "y")], "item_id long, text string")
     wanted = spark.createDataFrame([(1, 599), (1, 600), (1, 0)], "qid long, id long")
     assert {r.id: r["rank"] for r in sparse.places(d, q, wanted, "bm25", "doc_id", "text", "item_id", "text").collect()} == {600: 1, 0: 401, 599: 1000}
+
+
+@pytest.mark.parametrize("kind", ["bm25", "tfidf"])
+def test_rows_that_cannot_be_among_the_best_are_not_scored(spark, kind, monkeypatch):
+    """Of 400 rows that a query sees few are scored, and the best are those of scoring all; ties go to smaller ids."""
+    import numpy as np
+    import pyarrow as pa
+
+    from gneiss.operators import sparse
+
+    rng = np.random.default_rng(1)
+    n, k, terms = 400, 3, np.arange(1, 41)
+    h = [np.sort(rng.choice(terms, 8, replace=False)) for _ in range(n // 2)] * 2  # all rows twice
+    tf = [rng.integers(1, 4, 8) for _ in range(n // 2)] * 2
+    size = np.array([int(x.sum()) for x in tf])
+    rows = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([""] * n), pa.array([0] * n), pa.array(size), pa.array([x.tolist() for x in h]), pa.array([x.tolist() for x in tf])], ["id", "file", "line", "size", "h", "tf"])
+    df = {t: sum(t in x for x in h) for t in terms.tolist()}
+    asked = [{"qid": q, "file": "", "at": 1, "h": t, "f": 1, "n": n if t == 0 else df.get(t, 0), "size": int(size.sum())} for q in range(5) for t in [0, *(rng.choice(terms, 6, replace=False).tolist() if q else [99])]]
+    block = sparse.Block(pa.Table.from_pylist(asked), {}, kind, 1.8, 0.75)
+    want = {}
+    for j, ids, s in block.scored(iter([rows])):
+        want[j] = [(int(i), float(x)) for x, i in sorted(zip(-s, ids, strict=True))[:k]]
+    scored = []
+    plain = sparse.Postings.scores
+    monkeypatch.setattr(sparse.Postings, "scores", lambda p, part, j, some: scored.append(len(some)) or plain(p, part, j, some))
+    got = sparse.best_in_task(type("B", (), {"value": block}), k)(iter([rows.slice(at, 50) for at in range(0, n, 50)]))
+    found = {}
+    for r in pa.Table.from_batches(got).to_pylist():
+        found.setdefault(r["qid"], []).append((r["id"], r["score"]))
+    assert {q: [(i, pytest.approx(-s, abs=2e-6)) for i, s in want[q]] for q in want} == found
+    assert sum(scored) < 5 * n / 3
