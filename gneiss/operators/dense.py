@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-QUERIES_AT_ONCE = 4096
+QUERIES_AT_ONCE, CELLS = 4096, 500_000
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -32,7 +32,7 @@ def best_rows(ids: np.ndarray, q: np.ndarray, k: int, earlier: bool, digits: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int | None, tuple[np.ndarray, np.ndarray]] = {}
-        for b in batches_of(batches):
+        for b in batches_of(batches, max(1, min(2048, CELLS // max(1, len(ids))))):  # scores held at once do not grow with queries
             row = np.asarray(b.column(0))
             score = np.round(q @ matrix(b.column(2)).T, digits)
             score[(row[None, :] >= ids[:, None]) if earlier else (row[None, :] == ids[:, None])] = -np.inf

@@ -217,3 +217,19 @@ def test_rows_that_cannot_be_among_the_best_are_not_scored(spark, kind, monkeypa
         found.setdefault(r["qid"], []).append((r["id"], r["score"]))
     assert {q: [(i, pytest.approx(-s, abs=2e-6)) for i, s in want[q]] for q in want} == found
     assert sum(scored) < 5 * n / 3
+
+
+def test_scores_held_at_once_do_not_grow_with_queries(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from gneiss.operators import dense
+
+    sizes = []
+    plain = dense.matrix
+    monkeypatch.setattr(dense, "matrix", lambda c: sizes.append(len(c)) or plain(c))
+    q = np.random.default_rng(0).random((4096, 2))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([None] * 300, pa.int64()), pa.array([[1.0, float(i)] for i in range(300)])], ["id", "g", "v"])
+    got = pa.Table.from_batches(dense.best_rows(np.arange(4096) + 1000, q, 2, False, 6)(iter([rows])))
+    assert got.num_rows == 2 * 4096 and sum(sizes) == 300
+    assert max(sizes) * 4096 <= dense.CELLS
