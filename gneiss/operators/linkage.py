@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import islice
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from gneiss.store import cut
 LINE = 1 << 31
 #: Lines in one bin when ranges of places meet.
 BIN = 32
+#: Files whose texts a task holds as Python strings, and places that it holds before it hands them on.
+FILES_AT_ONCE, PLACES_AT_ONCE = 64, 10_000
 
 # Names of projects that differ between data sets.
 PROJECT_NAMES = {
@@ -59,7 +62,7 @@ def found_in(files: DataFrame, records: DataFrame, by: str, text: str, statement
     many = needles.groupBy("_file").agg(F.count("*").alias("_n"))
     dealt = needles.join(many, "_file").withColumn("_block", F.pmod(F.xxhash64("_needle"), F.ceil(F.col("_n") / block)))
     blocks = dealt.groupBy("_file", "_block").agg(F.collect_list("_needle").alias("_needles"))
-    met = files.select(F.col(by).alias("_file"), F.col(text).alias("_text")).where("_text IS NOT NULL").join(blocks, "_file")
+    met = files.select(F.col(by).alias("_file"), F.col(text).alias("_text")).where("_text IS NOT NULL").join(blocks, "_file").select("_file", "_text", "_needles")
     kind = files.schema[by].dataType.simpleString()
     names = [by, statement, "spot", "line", "column", "end_line", "end_column"]
     schema = f"`{by}` {kind}, `{statement}` string, " + ", ".join(f"{c} int" for c in names[2:])
@@ -68,23 +71,34 @@ def found_in(files: DataFrame, records: DataFrame, by: str, text: str, statement
         line = np.searchsorted(breaks, spots, side="right") - 1
         return line, spots - breaks[line] - 1
 
-    def search(batches):
-        for batch in batches:
-            for file, content, some in zip(batch["_file"], batch["_text"], batch["_needles"], strict=True):
-                tree = ahocorasick.Automaton()
-                for x in some:
-                    tree.add_word(x, x)
-                tree.make_automaton()
-                breaks = np.array([-1, *(m.start() for m in re.finditer("\n", content))])
-                hits = tree.iter(content)
-                while part := list(islice(hits, 10_000)):  # what is held does not grow with what is found
-                    last = np.array([e for e, _ in part])
-                    first = last - np.array([len(x) for _, x in part]) + 1
-                    (line, column), (end_line, end_column) = places(breaks, first), places(breaks, last)
-                    values = [[file] * len(part), [x for _, x in part], first, line, column, end_line, end_column + 1]
-                    yield pd.DataFrame(dict(zip(names, values, strict=True)))
-
-    return met.mapInPandas(search, schema)
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, FILES_AT_ONCE):
+                b = whole.slice(at, FILES_AT_ONCE)
+                for k, (content, some) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                    tree = ahocorasick.Automaton()
+                    for x in some:
+                        tree.add_word(x, x)
+                    tree.make_automaton()
+                    breaks = np.array([-1, *(m.start() for m in re.finditer("\n", content))])
+                    hits = tree.iter(content)
+                    while part := list(islice(hits, 10_000)):  # what is held does not grow with what is found
+                        last = np.array([e for e, _ in part])
+                        said = [x for _, x in part]
+                        first = last - np.array(list(map(len, said))) + 1
+                        (line, column), (end_line, end_column) = places(breaks, first), places(breaks, last)
+                        numbers = [pa.array(c, pa.int32()) for c in (first, line, column, end_line, end_column + 1)]
+                        file = pa.chunked_array([b.column(0).slice(k, 1)]).take(pa.array(np.zeros(len(part), np.int64))).combine_chunks()
+                        held.append(pa.RecordBatch.from_arrays([file, pa.array(said, pa.string()), *numbers], names))
+                        n += len(part)
+                        if n >= PLACES_AT_ONCE:  # files with few places share a batch
+                            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                            held, n = [], 0
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    return met.mapInArrow(search, schema)
 
 
 def overlap(a: DataFrame, b: DataFrame, by: list[str], width: int) -> DataFrame:

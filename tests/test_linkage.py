@@ -42,6 +42,16 @@ def test_found_in(spark, corpus, block):
     assert got == sorted((k, s, *hit) for k, t in files if t for q, s in asked if q == k for hit in places(t, s))
 
 
+def test_places_of_many_files_share_batches(spark):
+    """What is handed on is dealt in batches of places, not of files."""
+    from pyspark.sql import functions as F
+
+    files = spark.range(300).select(F.col("id").alias("file"), F.lit("a b a").alias("text"), F.lit("a").alias("statement")).coalesce(1)
+    found = L.found_in(files, files, "file", "text", "statement")
+    assert found.count() == 600
+    assert "MapInArrow" in found._jdf.queryExecution().toString() and "MapInPandas" not in found._jdf.queryExecution().toString()
+
+
 def test_found_in_places_outside_the_first_plane(spark):
     f = spark.createDataFrame([("x", "é\U0001f600aa\n\U0001f600aaa")], "k string, t string")
     r = spark.createDataFrame([("x", "aa"), ("x", "a\n\U0001f600"), ("y", "aa")], "k string, s string")
