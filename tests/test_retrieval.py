@@ -233,3 +233,47 @@ def test_scores_held_at_once_do_not_grow_with_queries(monkeypatch):
     got = pa.Table.from_batches(dense.best_rows(np.arange(4096) + 1000, q, 2, False, 6)(iter([rows])))
     assert got.num_rows == 2 * 4096 and sum(sizes) == 300
     assert max(sizes) * 4096 <= dense.CELLS
+
+
+def test_rare_terms_are_added_where_they_meet(monkeypatch):
+    """Sums are those of a product of whole matrices, but no matrix has a column for every term."""
+    import numpy as np
+    import pyarrow as pa
+
+    from gneiss.operators import sparse
+
+    rng = np.random.default_rng(3)
+    n, common, rare = 60, np.arange(1, 6), np.arange(100, 20_100)
+    h = [np.concatenate([common, np.sort(rng.choice(rare, 300, replace=False))]) for _ in range(n)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([""] * n), pa.array([0] * n), pa.array([400] * n), pa.array(h), pa.array([np.ones(305, np.int64)] * n)], ["id", "file", "line", "size", "h", "tf"])
+    terms = {q: np.concatenate([common, rng.choice(rare, 400, replace=False)]) for q in range(50)}
+    df = dict(zip(*np.unique(np.concatenate(h), return_counts=True), strict=True))
+    asked = [{"qid": q, "file": "", "at": 1, "h": t, "f": 1, "n": n if t == 0 else int(df.get(t, 0)), "size": 400 * n} for q in terms for t in [0, *terms[q].tolist()]]
+    cells, plain = [], np.zeros
+    monkeypatch.setattr(sparse.np, "zeros", lambda shape, *a: cells.append(int(np.prod(shape))) or plain(shape, *a))
+    monkeypatch.setattr(sparse, "CELLS", 1000)  # a few at a time
+    block = sparse.Block(pa.Table.from_pylist(asked), {}, "bm25", 1.8, 0.75)
+    got = {(j, int(i)): s for j, ids, score in block.scored(iter([rows])) for i, s in zip(ids, score, strict=True)}
+    for q, mine in terms.items():
+        for i, its in enumerate(h):
+            want = sum(np.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1) * 2.8 / 2.8 for t in set(mine.tolist()) & set(its.tolist()))
+            assert got[q, i] == pytest.approx(want, abs=2e-6)
+    best = pa.Table.from_batches(sparse.best_in_task(type("B", (), {"value": block}), 4)(iter([rows]))).to_pylist()
+    for q in terms:
+        want = sorted(((-got[q, i], i) for i in range(n)))[:4]
+        assert [(r["id"], r["score"]) for r in best if r["qid"] == q] == [(i, pytest.approx(-s, abs=2e-6)) for s, i in want]
+    assert max(cells) < len(rare)
+
+
+def test_document_terms_are_counted_where_the_text_is(spark):
+    from pyspark.sql import functions as F
+
+    from gneiss.operators import sparse
+
+    d = spark.createDataFrame([(1, "a b a c a"), (2, None), (3, "z"), (4, "b  b")], "doc_id long, text string")
+    vocabulary = spark.createDataFrame([("a",), ("b",)], "t string").select(F.xxhash64("t").alias("h")).union(spark.createDataFrame([(0,)], "h long"))
+    rows = sparse.document_terms(d, vocabulary, "doc_id", "text", F.lit(""), F.lit(0).cast("long"))
+    name = {r.h: r.t for r in spark.createDataFrame([("a",), ("b",)], "t string").withColumn("h", F.xxhash64("t")).collect()} | {0: ""}
+    got = {r.id: (r.size, dict(zip([name[x] for x in r.h], r.tf, strict=True))) for r in rows.collect()}
+    assert got == {1: (5, {"": 1, "a": 3, "b": 1}), 2: (0, {"": 1}), 3: (1, {"": 1}), 4: (2, {"": 1, "b": 2})}
+    assert "Exchange" not in rows._jdf.queryExecution().toString()
