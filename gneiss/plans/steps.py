@@ -9,6 +9,7 @@ from gneiss.functions import text as T
 from gneiss.operators import steps as S
 from gneiss.operators.ranges import numbered
 from gneiss.registry import query, table
+from gneiss.store import cut
 
 
 def turns(spark, sf_dir):
@@ -54,7 +55,7 @@ def sessionize_steps(spark, sf_dir):
     SELECT source, doc_id, used::BIGINT AS used FROM u WHERE used <= 4000""",
 )
 def token_budget(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumn("n", F.size(T.tokens(F.col("text"))).cast("long"))
+    d = cut(table(spark, sf_dir, "documents").select("source", "doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n")))  # read twice
     return S.within_budget(d, ["source"], ["doc_id"], F.col("n"), 4000).select("source", "doc_id", "used")
 
 

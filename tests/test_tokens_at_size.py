@@ -1,7 +1,15 @@
 """What is counted or cut is worked out without moving texts."""
 
+from gneiss.operators import ranges
 from gneiss.operators import retrieval as R
-from gneiss.plans import retrieval
+from gneiss.plans import retrieval, steps
+
+
+def test_budget_deals_out_counts_and_no_texts(spark, monkeypatch):
+    dealt, plain = [], ranges.cut
+    monkeypatch.setattr(ranges, "cut", lambda df: dealt.append(df.columns) or plain(df))
+    assert steps.token_budget(spark, "/root/testdata/sf0.001").count()
+    assert dealt and not any("text" in c for c in dealt)
 
 
 def test_document_frequency_counts_an_id_once(spark):
