@@ -66,7 +66,7 @@ def truncate_front(spark, sf_dir):
 
 @query("truncate_back", f"SELECT doc_id, array_to_string(regexp_extract_all(text, '{T.TOKEN}')[1:20], ' ') AS kept FROM documents")
 def truncate_back(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(S.truncate(T.tokens(F.col("text")), 20, False), " ").alias("kept"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.first_tokens(F.col("text"), 20), " ").alias("kept"))
 
 
 @query(
