@@ -277,3 +277,22 @@ def test_document_terms_are_counted_where_the_text_is(spark):
     got = {r.id: (r.size, dict(zip([name[x] for x in r.h], r.tf, strict=True))) for r in rows.collect()}
     assert got == {1: (5, {"": 1, "a": 3, "b": 1}), 2: (0, {"": 1}), 3: (1, {"": 1}), 4: (2, {"": 1, "b": 2})}
     assert "Exchange" not in rows._jdf.queryExecution().toString()
+
+
+def test_a_task_keeps_rows_up_to_its_last_group(spark):
+    """One group is most of the rows: what a task keeps follows the groups, not the longest of them."""
+    from pyspark.sql import functions as F
+
+    from gneiss.operators import sparse
+
+    of = lambda i: i // 1000
+    ids = [5 * 1000 + j for j in range(400)] + [g * 1000 + j for g in (1, 2, 3, 4, 6, 7) for j in range(g % 4 + 1)]
+    words = "a b c d e f".split()
+    docs = [(i, "f", of(i), " ".join(words[(i + j) % 6] for j in range(i % 5))) for i in ids]
+    d = spark.createDataFrame(docs, "doc_id long, source string, line long, text string").repartition(3)
+    q = spark.createDataFrame([(1, "f", 9, "a b c"), (2, "f", 7, "e"), (3, "f", 9, "")], "query_id long, source string, line long, query string")
+    rows = lambda x: sorted(R.cut_at_group(x.withColumn("g", F.floor(F.col("doc_id") / 1000)), ["query_id"], ["g"], 3).select("query_id", "rank", "doc_id", "score").collect())
+    assert rows(R.visible_topk(d, q, k=3, group_of=of)) == rows(R.visible_topk(d, q, k=len(ids)))
+    late = d.where("line != 5").unionByName(d.where("line = 5").withColumn("text", F.lit("f"))).coalesce(1)
+    kept = sparse.best_of(late, q.where("query_id = 1"), "bm25", "doc_id", "text", "query_id", "query", 3, "source", "line", group_of=of)
+    assert 0 < kept.count() <= 20  # of 400 in one group
