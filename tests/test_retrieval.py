@@ -296,3 +296,31 @@ def test_a_task_keeps_rows_up_to_its_last_group(spark):
     late = d.where("line != 5").unionByName(d.where("line = 5").withColumn("text", F.lit("f"))).coalesce(1)
     kept = sparse.best_of(late, q.where("query_id = 1"), "bm25", "doc_id", "text", "query_id", "query", 3, "source", "line", group_of=of)
     assert 0 < kept.count() <= 20  # of 400 in one group
+
+
+def test_terms_are_counted_where_documents_are(spark, monkeypatch):
+    """A batch gives one row for each stretch and term, however many documents have it; where query lines are too many
+    for each task, statistics are the same."""
+    import numpy as np
+    import pyarrow as pa
+
+    from gneiss.operators import sparse
+
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    n = 900
+    rows = pa.RecordBatch.from_arrays([pa.array(["f", "g", "f"] * (n // 3)), pa.array(range(n)), pa.array([2] * n), pa.array([[0, 7]] * n)], ["file", "line", "size", "h"])
+    every = Shared(np.full(sparse.SLOTS // 8, 255, np.uint8))
+    got = [r for b in sparse.counted(every, Shared({"f": np.array([300]), "h": np.array([5])}), False)(iter([rows])) for r in b.to_pylist()]
+    assert sorted((r["file"], r["stretch"], r["h"], r["n"], r["size"]) for r in got) == [("f", 0, 0, 200, 400), ("f", 0, 7, 200, 400), ("f", 1, 0, 400, 800), ("f", 1, 7, 400, 800), ("g", 0, 0, 300, 600), ("g", 0, 7, 300, 600)]
+
+    docs = [(i, "fgé"[i % 3], i, " ".join("a b c d".split()[: i % 5])) for i in range(40)]
+    d = spark.createDataFrame(docs, "doc_id long, source string, line long, text string")
+    q = spark.createDataFrame([(1, "f", 7, "a b b"), (2, "g", 36, "c a"), (3, "f", 30, "d"), (4, "é", 50, "b c"), (5, "x", 1, "a")], "query_id long, source string, line long, query string")
+    edges = spark.createDataFrame([("f", "é"), ("x", "g")], "file string, dep string")
+    run = lambda e: sorted(R.visible_topk(d, q, "bm25", k=9, edges=e).collect())
+    few = [run(None), run(edges)]
+    monkeypatch.setattr(sparse, "POINTS_AT_ONCE", 0)
+    assert [run(None), run(edges)] == few
