@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gneiss.operators import evaluation as E
 from gneiss.streaming.resume import follow
-from gneiss.streaming.strikes import until_stopped
+from gneiss.streaming.strikes import GROUPS, until_stopped
 
 
 def counted(rows, limit=3):
@@ -48,3 +48,19 @@ def test_spread_equals_buffers_of_values(spark):
     as_set = lambda t: {(r.g, r.h, None if r.mean is None else round(r.mean, 9), r["median"], r.longest) for r in t.collect()}
     assert as_set(E.spread(d, ["g", "h"], "v")) == as_set(want)
     assert E.spread(d.limit(0), ["g"], "v").collect() == []
+
+
+def test_workers_share_calls(spark, tmp_path):
+    """5,000 workers with a few results each are one call a group, and each is counted on its own."""
+    source, out, done = (str(tmp_path / x) for x in ("in", "out", "done"))
+    rows = [(w, i, (w * 7 + i * i) % 5 < 3) for w in range(5000) for i in range(4)]
+    schema = "worker long, at long, failed boolean"
+    calls = []
+    for late in (False, True):
+        spark.createDataFrame([r for r in rows if (r[1] > 1) == late], schema).write.mode("append").parquet(source)
+        q = follow(spark, source, schema, lambda d: d, out, done, "parquet", lambda s: until_stopped(s, "worker", ["at"], "failed"))
+        q.awaitTermination()
+        calls.append(max(op["numRowsUpdated"] for p in q.recentProgress for op in p["stateOperators"]))
+    got = [(r.worker, r.at, r.strikes, r.stop) for r in spark.read.parquet(out).collect()]
+    assert sorted(got) == sorted(counted(rows))
+    assert all(0 < n <= GROUPS for n in calls)
