@@ -137,3 +137,17 @@ def test_ancestors_and_names(spark):
     assert [(r.path, r.folder) for r in L.first_ancestor(p, w, "path", "folder", "pos").collect()] == [("a/b/c.v", "a")]
     d = spark.createDataFrame([("AbsInt-CompCert",), ("other",)], "p string")
     assert [r.v for r in d.select(L.renamed(F.col("p")).alias("v")).collect()] == ["compcert", "other"]
+
+
+def test_visible_premises_are_met_in_chunks(spark, monkeypatch):
+    """All pairs, once, by brute force; those of one large file are made by several tasks."""
+    monkeypatch.setattr(C, "CHUNK", 3)
+    premises = [("hot", i) for i in range(0, 200)] + [("a", i) for i in range(200, 207)] + [("alone", 300), (None, 400)]
+    steps = [("hot", 120), ("a", 203), ("a", 999), ("none", 50), (None, 500)]
+    edges = [("a", "hot"), ("a", "hot"), ("a", "a"), ("hot", "alone"), ("none", "alone"), ("a", "missing")]
+    p, s = spark.createDataFrame(premises, "file string, premise_id long"), spark.createDataFrame(steps, "file string, step_id long")
+    got = C.visible_premises(s, p, spark.createDataFrame(edges, "file string, dep string"), "file", "step_id", "premise_id")
+    pairs = {(f, x) for f, x in edges if f != x}
+    want = [(x, i, f == g) for f, x in steps for g, i in premises if (f is not None and f == g and i < x) or (f, g) in pairs]
+    assert sorted((r.step_id, r.premise_id, r.own) for r in got.collect()) == sorted(want)
+    assert got.where("file = 'a'").select(F.spark_partition_id()).distinct().count() > 1
