@@ -38,22 +38,26 @@ def hashed(line: Column, k: int) -> Column:
     return F.transform(points, lambda b: F.transform(starts(b, k), lambda i: shingle(b, i, k)))[0]
 
 
-def rare_pairs(sets: DataFrame, k: int, threshold: float) -> DataFrame:
+def rare_pairs(sets: DataFrame, k: int, threshold: float, front: int = 8) -> DataFrame:
     """(a, b): all pairs of unlike components that can reach the threshold, and few others. ``sets``: d1, c, line, n.
 
     Prefix filtering with shingles in the order of (lines that have them, hash): of a pair at the threshold, the
     first common shingle is among the first n - ceil(t n) + 1 of the larger set and among the first
-    n - ceil(2 t / (1 + t) n) + 1 of the smaller, and enough shingles stand behind it in both."""
+    n - ceil(2 t / (1 + t) n) + 1 of the smaller, and enough shingles stand behind it in both. Where two lines also
+    share one of the ``front`` shingles before it in both, they have met there, and the pair is not made again: lines
+    over one passage share long runs. ``front`` only bounds how often a pair is made; none is lost by it."""
     each = sets.select("d1", "c", "n", F.explode(F.array_distinct(hashed(F.col("line"), k))).alias("h"))
     each = each.join(each.groupBy("h").agg(F.count("*").alias("df")), "h")
     ranked = each.groupBy("d1", "c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
     upto = lambda part: (F.col("n") - F.ceil(F.col("n") * part - 1e-9) + 1).cast("int")
-    ranked = ranked.select("d1", "c", "n", upto(2 * threshold / (1 + threshold)).alias("own"), F.posexplode(F.slice("s", 1, upto(threshold))).alias("i", "s"))
-    ranked = cut(ranked.where("s.df > 1").select("d1", "c", "n", "own", "i", F.col("s.h").alias("h")))
-    x = ranked.where("i < own").select("h", F.col("d1").alias("a"), F.col("c").alias("ac"), F.col("n").alias("an"), F.col("i").alias("ai"))
-    y = ranked.select("h", F.col("d1").alias("b"), F.col("c").alias("bc"), F.col("n").alias("bn"), F.col("i").alias("bi"))
+    ranked = ranked.select("d1", "c", "n", upto(2 * threshold / (1 + threshold)).alias("own"), F.slice("s", 1, upto(threshold)).alias("s"))
+    ranked = ranked.select("d1", "c", "n", "own", F.col("s.h").alias("prefix"), F.posexplode("s").alias("i", "s")).where("s.df > 1")
+    before = F.slice("prefix", F.greatest(F.lit(1), F.col("i") + 1 - front), F.least(F.col("i"), F.lit(front)))
+    ranked = cut(ranked.select("d1", "c", "n", "own", "i", F.col("s.h").alias("h"), before.alias("before")))
+    x = ranked.where("i < own").select("h", F.col("d1").alias("a"), F.col("c").alias("ac"), F.col("n").alias("an"), F.col("i").alias("ai"), F.col("before").alias("af"))
+    y = ranked.select("h", F.col("d1").alias("b"), F.col("c").alias("bc"), F.col("n").alias("bn"), F.col("i").alias("bi"), F.col("before").alias("bf"))
     fits = (F.col("an") >= threshold * F.col("bn")) & (F.least(F.col("an") - F.col("ai"), F.col("bn") - F.col("bi")) >= (F.col("an") + F.col("bn")) * (threshold / (1 + threshold)) - 1e-9)
-    return x.join(y, "h").where("ac != bc AND (an < bn OR (an = bn AND a < b))").where(fits).select("a", "b", "ac", "bc")
+    return x.join(y, "h").where("ac != bc AND (an < bn OR (an = bn AND a < b))").where(fits).where(~F.arrays_overlap("af", "bf")).select("a", "b", "ac", "bc")
 
 
 def signed(n: int) -> int:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gneiss.llm.components import components
-from gneiss.llm.line_dedup import dedup_lines
+from gneiss.llm.line_dedup import dedup_lines, rare_pairs
 from gneiss.llm.minhash_dedup import links_within, min_max, multipliers, near_duplicates
 from gneiss.llm.substring_dedup import dedup_substrings
 from gneiss.llm.suffix_dedup import dedup_suffixes, least_of
@@ -307,6 +307,20 @@ def test_pairs_of_lines_over_one_template(spark):
     assert [r.doc_id for r in dedup_lines(documents(spark, list(enumerate(lines)))).where("n_removed = 0").orderBy("doc_id").collect()] == kept
 
 
+def test_lines_over_one_passage_meet_once(spark):
+    """However many shingles two lines share, the join on rare shingles makes their pair once, and every pair of 0.8."""
+    r = random.Random(31)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    passage = letters(400)
+    lines = [letters(r.choice([30, 60])) + passage for _ in range(40)]
+    sets = [full_set(x) for x in lines]
+    like = {(x, y) for x in range(40) for y in range(x) if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])}
+    table = spark.createDataFrame([(i, i, x, len(sets[i])) for i, x in enumerate(lines)], "d1 long, c long, line string, n int")
+    got = [(max(x.a, x.b), min(x.a, x.b)) for x in rare_pairs(table, 10, 0.8).collect()]
+    assert len(like) > 100 and like <= set(got)
+    assert len(got) == len(set(got))
+
+
 def test_awkward_texts_pass_all(spark):
     d = documents(spark, awkward())
     for f in (dedup_suffixes, dedup_substrings, dedup_lines):
