@@ -16,12 +16,16 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.llm.components import components
 from gneiss.llm.store import cut, free
 
+#: Shingles that are hashed in one row.
+BLOCK = 8
+
+
 def starts(points: Column, k: int) -> Column:
     """Where the shingles of a line begin in its code points of four bytes each; one, if it has no more than ``k``."""
     return F.sequence(F.lit(0), F.greatest(F.lit(0), F.octet_length(points) - F.lit(4 * k)), F.lit(4))
@@ -38,6 +42,16 @@ def hashed(line: Column, k: int) -> Column:
     return F.transform(points, lambda b: F.transform(starts(b, k), lambda i: shingle(b, i, k)))[0]
 
 
+def blocks(lines: DataFrame, k: int) -> DataFrame:
+    """A row for every ``BLOCK`` shingles of a line, with their hashes as columns h0, h1, ... instead of ``line``. At the
+    end of a line its last shingle is repeated."""
+    names = [c for c in lines.columns if c != "line"]
+    each = lines.select(*names, F.encode("line", "UTF-32").alias("b"))
+    each = each.withColumn("last", F.greatest(F.lit(0), F.octet_length("b") - F.lit(4 * k)))
+    each = each.select(*names, "b", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(4 * BLOCK))).alias("i"))
+    return each.select(*names, *[shingle(F.col("b"), F.least(F.col("i") + 4 * j, F.col("last")), k).alias(f"h{j}") for j in range(BLOCK)])
+
+
 def rare_pairs(sets: DataFrame, k: int, threshold: float, front: int = 8) -> DataFrame:
     """(a, b): all pairs of unlike components that can reach the threshold, and few others. ``sets``: d1, c, line, n.
 
@@ -70,24 +84,21 @@ def line_groups(lines: DataFrame, k: int, threshold: float, bands: int, rows: in
     ``small``: members of a bucket that are left apart by them up to which all its pairs are made."""
     r = random.Random(11)
     masks = [signed(r.getrandbits(64)) for _ in range(bands * rows)]
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(masks)]
-    each = lines.select("doc_id", "d1", "d2", F.encode("line", "UTF-32").alias("b"))
-    each = each.select("doc_id", "d1", "d2", "b", F.explode(starts(F.col("b"), k)).alias("i"))
-    each = each.select("doc_id", "d1", "d2", shingle(F.col("b"), F.col("i"), k).alias("h"))
-    folded = each.groupBy("d1").agg(F.min("d2").alias("low"), F.max("d2").alias("high"), F.min("doc_id").alias("doc_id"), *minima)
+    # the least of a block first: the aggregate is updated once for a block and not for each shingle
+    minima = [F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(m)) for j in range(BLOCK)])).alias(f"m{i}") for i, m in enumerate(masks)]
+    folded = blocks(lines.select("doc_id", "d1", "d2", "line"), k).groupBy("d1").agg(F.min("d2").alias("low"), F.max("d2").alias("high"), F.min("doc_id").alias("doc_id"), *minima)
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + i}") for i in range(rows)]) for b in range(bands)])
     folded = cut(folded.select("d1", "doc_id", (F.col("low") != F.col("high")).alias("clash"), keys.alias("keys")))
     clash = cut(folded.where("clash").select("d1"))
     folded = folded.where("NOT clash")
     key = folded.select(F.col("d1").alias("node"), F.explode("keys").alias("key"))
-    met = cut(key.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = cut(key.join(met, "key"))
+    shared = cut(key.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"))
     central = cut(shared.groupBy("node").agg(F.sum("n").alias("met")))
     wanted = cut(folded.select("d1", "doc_id").join(central.select(F.col("node").alias("d1")), "d1", "left_semi"))
     text = lines.select("doc_id", "d1", "line").join(wanted, ["d1", "doc_id"]).groupBy("d1").agg(F.first("line").alias("line"))
     sets = cut(text.select("d1", "line", F.size(F.array_distinct(hashed(F.col("line"), k))).alias("n")))
     left = cut(shared.join(central, "node").select("key", "node", "met", F.col("node").alias("c")))
-    for table in (folded, met, shared, central, wanted):
+    for table in (folded, shared, central, wanted):
         free(table)
 
     def confirmed(ties: DataFrame) -> DataFrame:

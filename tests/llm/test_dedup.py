@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gneiss.llm.components import components
-from gneiss.llm.line_dedup import dedup_lines, rare_pairs
+from gneiss.llm.line_dedup import BLOCK, blocks, dedup_lines, hashed, rare_pairs
 from gneiss.llm.minhash_dedup import links_within, min_max, multipliers, near_duplicates
 from gneiss.llm.substring_dedup import dedup_substrings
 from gneiss.llm.suffix_dedup import dedup_suffixes, least_of
@@ -307,6 +307,19 @@ def test_pairs_of_lines_over_one_template(spark):
     assert [r.doc_id for r in dedup_lines(documents(spark, list(enumerate(lines)))).where("n_removed = 0").orderBy("doc_id").collect()] == kept
 
 
+def test_shingles_are_hashed_in_blocks(spark):
+    """A row for eight shingles of a line, not for each; together they are all the line's shingles and no other."""
+    text = "añ𝄞 das ist eine Zeile 漢字 mit 𝒳 vielen Zeichen."
+    table = spark.createDataFrame([(n, text[:n]) for n in range(1, len(text) + 1)], "d1 long, line string")
+    want = {r.d1: set(r.s) for r in table.select("d1", hashed(F.col("line"), 10).alias("s")).collect()}
+    got, rows = {}, {}
+    for r in blocks(table, 10).collect():
+        got.setdefault(r.d1, set()).update(r[1:])
+        rows[r.d1] = rows.get(r.d1, 0) + 1
+    assert got == want
+    assert rows == {n: -(-max(1, n - 9) // BLOCK) for n in want}
+
+
 def test_lines_over_one_passage_meet_once(spark):
     """However many shingles two lines share, the join on rare shingles makes their pair once, and every pair of 0.8."""
     r = random.Random(31)
