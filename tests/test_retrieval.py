@@ -324,3 +324,16 @@ def test_terms_are_counted_where_documents_are(spark, monkeypatch):
     few = [run(None), run(edges)]
     monkeypatch.setattr(sparse, "POINTS_AT_ONCE", 0)
     assert [run(None), run(edges)] == few
+
+
+def test_every_proof_asks_with_its_first_step(spark):
+    from gneiss import catalog
+    from gneiss.plans.proofs import STEP
+    from tests.oracle import compare, connect
+
+    con = connect("/root/testdata/sf0.01")
+    df = catalog.QUERIES["first_step_retrieval"](spark, "/root/testdata/sf0.01").cache()
+    compare(df, con, catalog.ORACLES["first_step_retrieval"])
+    asked = {r.query_id // STEP for r in df.select("query_id").distinct().collect()}
+    later = {c for (c,) in con.sql("SELECT conv_id FROM conversations WHERE turn = 0 AND text <> '' AND conv_id >= 20").fetchall()}  # others of their file are before them
+    assert len(later) > 70 and later <= asked
