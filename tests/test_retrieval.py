@@ -337,3 +337,48 @@ def test_every_proof_asks_with_its_first_step(spark):
     asked = {r.query_id // STEP for r in df.select("query_id").distinct().collect()}
     later = {c for (c,) in con.sql("SELECT conv_id FROM conversations WHERE turn = 0 AND text <> '' AND conv_id >= 20").fetchall()}  # others of their file are before them
     assert len(later) > 70 and later <= asked
+
+
+@pytest.mark.parametrize("kind", ["bm25", "tfidf"])
+def test_queries_that_see_files_whole_are_scored_together(kind, monkeypatch):
+    """Queries of a file with dependencies are few parts, and a piece's rows are scored for all queries at once."""
+    import numpy as np
+    import pyarrow as pa
+
+    from gneiss.operators import sparse
+
+    rng = np.random.default_rng(5)
+    n, queries, k = 200, 300, 3
+    h = [np.sort(rng.choice(np.arange(1, 60), rng.integers(0, 9), replace=False)) for _ in range(n)]
+    tf = [rng.integers(1, 4, len(x)) for x in h]
+    size = [int(x.sum()) for x in tf]
+    file, line = ["f" if i % 3 else "g" for i in range(n)], list(range(n))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(file), pa.array(line), pa.array(size), pa.array(h), pa.array(tf)], ["id", "file", "line", "size", "h", "tf"])
+    asked, terms = [], {q: rng.choice(np.arange(1, 80), 5, replace=False).tolist() for q in range(queries)}
+    for q in terms:
+        seen = [i for i in range(n) if file[i] == "g" or line[i] < q]
+        asked += [{"qid": q, "file": "f", "at": q, "h": t, "f": 1, "n": len(seen) if t == 0 else sum(t in h[i] for i in seen), "size": sum(size[i] for i in seen)} for t in [0, *terms[q]]]
+    block = sparse.Block(pa.Table.from_pylist(asked), {"f": ["g"]}, kind, 1.8, 0.75)
+    assert len(block.parts) == 1
+    monkeypatch.setattr(sparse, "ENTRIES", 50)  # some pairs at a time
+    monkeypatch.setattr(sparse, "ROWS", 64)
+    calls, plain = [], sparse.Postings.scores
+    monkeypatch.setattr(sparse.Postings, "scores", lambda p, part, q, some: calls.append(len(some)) or plain(p, part, q, some))
+    got = {}
+    for r in pa.Table.from_batches(sparse.best_in_task(type("B", (), {"value": block}), k)(iter([rows.slice(0, 90), rows.slice(90)]))).to_pylist():
+        got.setdefault(r["qid"], []).append((r["id"], r["score"]))
+    assert len(calls) < 20
+    for q in terms:
+        mine = [a for a in asked if a["qid"] == q]
+        every, total = mine[0]["n"], mine[0]["size"]
+        scores = []
+        for i in [i for i in range(n) if file[i] == "g" or line[i] < q]:
+            s = 0.0
+            for a in mine[1:]:
+                for t, c in zip(h[i].tolist(), tf[i].tolist(), strict=True):
+                    if t == a["h"] and kind == "bm25":
+                        s += math.log((every - a["n"] + 0.5) / (a["n"] + 0.5) + 1) * c * 2.8 / (c + 1.8 * (0.25 + 0.75 * size[i] * every / total))
+                    elif t == a["h"]:
+                        s += c / size[i] * math.log(every / a["n"]) ** 2
+            scores.append((-round(s, 6), i))
+        assert [(i, pytest.approx(-s, abs=2e-6)) for s, i in sorted(scores)[:k]] == got[q]
